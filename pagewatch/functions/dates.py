@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pagewatch import fixed_values as fv
 from pagewatch.functions.text import any_word, non_empty, normalize_space
@@ -85,28 +85,6 @@ def deadline_status(start: Column, end: Column, as_of: Column) -> Column:
     )
 
 
-def date_columns(title: Column, sources: Column, as_of: Column) -> dict[str, Column]:
-    """Period columns from an ordered ``array<struct<name,text>>`` of text sources.
-
-    The title is read along with every source, the first source with a period
-    wins, and the others only confirm or contradict it. The helper column
-    ``_periods`` must be added first (see ``with_dates``).
-    """
-    first = F.try_element_at(F.col("_periods"), F.lit(1))
-    period = F.struct(first["period"]["start"], first["period"]["end"])
-    start, end = first["period"]["start"], first["period"]["end"]
-    same = lambda p: (p["period"]["start"] == start) & (p["period"]["end"] == end)
-    return {
-        "application_start_date": iso_or_blank(start),
-        "application_end_date": iso_or_blank(end),
-        "deadline_status": deadline_status(start, end, as_of),
-        "date_source": F.array_join(
-            F.transform(F.filter(F.col("_periods"), same), lambda p: p["name"]), ", "
-        ),
-        "date_conflict": F.exists(F.col("_periods"), lambda p: ~same(p)),
-    }
-
-
 def periods_of(title: Column, sources: Column, context_words: Sequence[str] = fv.RANGE_CONTEXT_WORDS) -> Column:
     return F.filter(
         F.transform(
@@ -120,6 +98,31 @@ def periods_of(title: Column, sources: Column, context_words: Sequence[str] = fv
     )
 
 
+def with_dates(
+    df: DataFrame, sources: Column, as_of: Column, *, title: str = "title", notice_date: str = "notice_date"
+) -> DataFrame:
+    """Add the period columns from an ordered ``array<struct<name,text>>`` of text sources.
+
+    The title is read along with every source, the first source with a period
+    wins, and the others only confirm or contradict it.
+    """
+    df = df.withColumn("_periods", periods_of(F.col(title), sources))
+    first = F.try_element_at(F.col("_periods"), F.lit(1))
+    start, end = first["period"]["start"], first["period"]["end"]
+    df = df.withColumns({"_start": start, "_end": end})
+    same = lambda p: (p["period"]["start"] == F.col("_start")) & (p["period"]["end"] == F.col("_end"))
+    return df.withColumns(
+        {
+            notice_date: iso_or_blank(parse_date(F.col(notice_date))),
+            "application_start_date": iso_or_blank(F.col("_start")),
+            "application_end_date": iso_or_blank(F.col("_end")),
+            "deadline_status": deadline_status(F.col("_start"), F.col("_end"), as_of),
+            "date_source": F.array_join(F.transform(F.filter("_periods", same), lambda p: p["name"]), ", "),
+            "date_conflict": F.exists("_periods", lambda p: ~same(p)),
+        }
+    ).drop("_periods", "_start", "_end")
+
+
 def age_days(notice_date: Column, as_of: Column) -> Column:
     return F.datediff(as_of, parse_date(notice_date))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from pagewatch import fixed_values as fv
-from pagewatch.functions.text import normalize_space
+from pagewatch.functions.text import normalize_space, strip
 
 
 def content_fingerprint(title: Column, text: Column, attachments: Column, images: Column) -> Column:
@@ -31,14 +31,7 @@ def notice_key(url: Column, university: Column, title: Column, attachments: Colu
 
 
 def _clean_list(values: Column) -> Column:
-    return F.array_join(
-        F.sort_array(F.filter(F.transform(values, normalize_edges), lambda v: v != "")), "|"
-    )
-
-
-def normalize_edges(value: Column) -> Column:
-    edge = fv.WHITESPACE
-    return F.regexp_replace(value, f"^{edge}|{edge}$", "")
+    return F.array_join(F.sort_array(F.filter(F.transform(values, lambda v: strip(v)), lambda v: v != "")), "|")
 
 
 def graduate_fingerprint(

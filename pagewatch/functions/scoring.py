@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagewatch import fixed_values as fv
-from pagewatch.functions.text import any_word
+from pagewatch.functions.text import contains_any
 
 MAX_VOCABULARY = 5_000
 
@@ -42,59 +42,74 @@ class Vocabulary:
         ]
         return cls(tuple(words))
 
-    def literal(self) -> Column:
-        return F.array(
-            *[
-                F.struct(
-                    F.lit(w.family).alias("family"),
-                    F.lit(w.polarity).alias("polarity"),
-                    F.lit(w.word).alias("word"),
-                    F.lit(w.word.lower()).alias("needle"),
-                    F.lit(w.points).alias("points"),
-                )
-                for w in self.words
-            ]
-        )
-
-
-def with_keyword_hits(df: DataFrame, vocabulary: Vocabulary, text: Column) -> DataFrame:
-    """Add ``hits``: the vocabulary entries found in ``text``, in vocabulary order.
-
-    Row-local, so the corpus is neither shuffled nor joined. The text is
-    lower-cased in its own projection and read twice, which keeps the optimizer
-    from copying ``lower`` into the per-word test.
+    def indexes(self, family: str, polarity: str) -> list[int]:
+        return [i for i, w in enumerate(self.words) if (w.family, w.polarity) == (family, polarity)]
+
+
+def keyword_flags(lowered: Column, vocabulary: Vocabulary) -> Column:
+    """One boolean per vocabulary entry: is its word a substring of the lower-cased text?
+
+    A flat array of ``contains`` calls stays inside generated code and needs
+    neither a join nor a shuffle; scores and words are then read off the flags.
     """
-    lowered = df.withColumn("_lower", F.lower(text))
-    hits = F.filter(vocabulary.literal(), lambda w: F.contains(F.col("_lower"), w["needle"]))
-    guarded = F.when(F.length("_lower") > 0, hits).otherwise(F.filter(vocabulary.literal(), lambda w: F.lit(False)))
-    return lowered.withColumn("hits", guarded).drop("_lower")
+    if not vocabulary.words:
+        return F.array().cast("array<boolean>")
+    return F.array(*[F.contains(lowered, F.lit(w.word.lower())) for w in vocabulary.words])
 
 
-def keyword_hits_long(df: DataFrame, vocabulary: Vocabulary, key: str, text: Column) -> DataFrame:
-    """One row per (notice, vocabulary entry) hit."""
-    found = with_keyword_hits(df, vocabulary, text)
-    return found.select(key, F.explode("hits").alias("hit")).select(
-        key, "hit.family", "hit.polarity", "hit.word", "hit.points"
-    )
+def _points(flags: Column, vocabulary: Vocabulary, entries: list[int]) -> Column:
+    total = F.lit(0)
+    for i in entries:
+        total = total + F.when(flags[i], vocabulary.words[i].points).otherwise(0)
+    return total
 
 
-def _family(hits: Column, family: str, positive_wins: bool) -> Column:
-    mine = F.filter(hits, lambda w: w["family"] == family)
-    if not positive_wins:
-        return mine
-    positive = F.filter(mine, lambda w: w["polarity"] == "positive")
-    return F.when(F.size(positive) > 0, positive).otherwise(mine)
+def _any_flag(flags: Column, entries: list[int]) -> Column:
+    hit = F.lit(False)
+    for i in entries:
+        hit = hit | flags[i]
+    return hit
 
 
-def family_score(hits: Column, family: str) -> Column:
-    counted = _family(hits, family, family == "computer")
-    return F.aggregate(counted, F.lit(0), lambda acc, w: acc + w["points"])
+def family_score(flags: Column, vocabulary: Vocabulary, family: str, positive_wins: bool = False) -> Column:
+    positive, negative = vocabulary.indexes(family, "positive"), vocabulary.indexes(family, "negative")
+    penalty = _points(flags, vocabulary, negative)
+    if positive_wins:
+        penalty = F.when(_any_flag(flags, positive), 0).otherwise(penalty)
+    return _points(flags, vocabulary, positive) + penalty
 
 
-def matched_words(hits: Column) -> Column:
-    """Distinct words over the three families in order; ignored negatives do not count."""
-    groups = [_family(hits, family, family == "computer") for family in fv.FAMILIES]
-    return F.array_distinct(F.transform(F.concat(*groups), lambda w: w["word"]))
+def matched_words(flags: Column, vocabulary: Vocabulary, winners: Sequence[str] = ("computer",)) -> Column:
+    """Distinct words found, family by family; negatives a positive hit overrules are left out."""
+    found = []
+    for family in fv.FAMILIES:
+        positive, negative = vocabulary.indexes(family, "positive"), vocabulary.indexes(family, "negative")
+        found += [F.when(flags[i], vocabulary.words[i].word) for i in positive]
+        overruled = _any_flag(flags, positive) if family in winners else F.lit(False)
+        found += [F.when(flags[i] & ~overruled, vocabulary.words[i].word) for i in negative]
+    if not found:
+        return F.array().cast("array<string>")
+    return F.array_distinct(F.array_compact(F.array(*found)))
+
+
+def keyword_hits_long(df: DataFrame, vocabulary: Vocabulary, key: str, text: Column) -> DataFrame:
+    """One row per (notice, vocabulary entry) hit."""
+    names = F.array(
+        *[
+            F.struct(
+                F.lit(w.family).alias("family"), F.lit(w.polarity).alias("polarity"),
+                F.lit(w.word).alias("word"), F.lit(w.points).alias("points"),
+            )
+            for w in vocabulary.words
+        ]
+    )
+    flagged = df.select(key, F.lower(text).alias("_lower")).select(
+        key, keyword_flags(F.col("_lower"), vocabulary).alias("_flags")
+    )
+    exploded = flagged.select(key, F.posexplode("_flags").alias("ord", "hit")).where("hit")
+    return exploded.select(key, "ord", F.get(names, F.col("ord")).alias("w")).select(
+        key, "ord", "w.family", "w.polarity", "w.word", "w.points"
+    )
 
 
 def freshness(deadline_status: Column) -> Column:
@@ -144,27 +159,34 @@ def with_classification(
     exclusion_terms: Sequence[str] = fv.HARD_EXCLUSION_TERMS,
 ) -> DataFrame:
     """Add scores, statuses, grade, matched words and reason; one narrow stage."""
-    haystack = F.concat_ws("\n", F.col(title), F.col(text))
-    scored = with_keyword_hits(df, vocabulary, haystack)
-    scored = scored.withColumns(
+    haystack = F.concat(F.col(title), F.lit("\n"), F.col(text))
+    flagged = (
+        df.withColumn("_haystack", haystack)
+        .withColumn("_lower", F.lower("_haystack"))
+        .withColumn("_flags", keyword_flags(F.col("_lower"), vocabulary))
+        .withColumn("_excluded", contains_any(F.col("_haystack"), exclusion_terms))
+        .drop("_haystack", "_lower")
+    )
+    flags = F.col("_flags")
+    scored = flagged.withColumns(
         {
-            "registration_score": family_score(F.col("hits"), "registration"),
-            "external_score": family_score(F.col("hits"), "external"),
-            "computer_score": family_score(F.col("hits"), "computer"),
+            "registration_score": family_score(flags, vocabulary, "registration"),
+            "external_score": family_score(flags, vocabulary, "external"),
+            "computer_score": family_score(flags, vocabulary, "computer", positive_wins=True),
             "freshness_score": freshness(F.col(status)),
-            "matched_keywords": matched_words(F.col("hits")),
+            "matched_keywords": matched_words(flags, vocabulary),
         }
-    ).drop("hits")
+    ).drop("_flags")
     reg, ext, comp = F.col("registration_score"), F.col("external_score"), F.col("computer_score")
     scored = scored.withColumns(
         {
-            "grade": F.when(any_word(haystack, exclusion_terms), "D").otherwise(
+            "grade": F.when(F.col("_excluded"), "D").otherwise(
                 grade(reg, ext, comp, F.col("freshness_score"), F.col(status))
             ),
             "external_applicant_status": external_status(ext),
             "computer_course_status": computer_status(comp),
         }
-    )
+    ).drop("_excluded")
     return scored.withColumn(
         "reason",
         reason(

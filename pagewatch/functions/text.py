@@ -34,6 +34,14 @@ def any_word(text: Column, words: Sequence[str]) -> Column:
     return text.rlike("|".join(re.escape(word) for word in words))
 
 
+def contains_any(text: Column, words: Sequence[str]) -> Column:
+    """Like ``any_word`` for a plain column and a short list, without a regex."""
+    hit = F.lit(False)
+    for word in words:
+        hit = hit | F.contains(text, F.lit(word))
+    return hit
+
+
 def words_in(text: Column, words: Sequence[str]) -> Column:
     """The words found in ``text``, in list order."""
     if not words:
@@ -52,9 +60,14 @@ def distinct_in_order(values: Column) -> Column:
     return F.array_distinct(F.filter(values, lambda v: v.isNotNull() & (v != "")))
 
 
+def strip(value: Column) -> Column:
+    """Without Unicode whitespace at either end."""
+    return F.regexp_replace(value, f"^{fv.WHITESPACE}|{fv.WHITESPACE}$", "")
+
+
 def list_values(text: Column) -> Column:
-    """Elements of a ``;``-separated cell, trimmed, blanks dropped."""
-    return F.filter(F.transform(F.split(text, ";"), F.trim), lambda v: v != "")
+    """Elements of a ``;``-separated cell, stripped, blanks dropped."""
+    return F.filter(F.transform(F.split(text, ";"), lambda v: strip(v)), lambda v: v != "")
 
 
 def join_list(values: Column) -> Column:

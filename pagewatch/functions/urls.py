@@ -100,10 +100,7 @@ def canonical_url(url: Column, redirects: int = 5) -> Column:
 
     Wrappers are rare, so the steps run only for urls that hold one.
     """
-    unwrapped = url
-    for _ in range(redirects):
-        unwrapped = _unwrapped(unwrapped)
-    # Nested CASE text would grow five-fold per level, so fold over a counter instead.
+    # Nesting the step would copy its input several times per level, so fold over a counter.
     folded = F.aggregate(F.sequence(F.lit(1), F.lit(redirects)), url, lambda acc, _i: _unwrapped(acc))
     target = F.when(F.contains(url, F.lit("/redirect?")), folded).otherwise(url)
     return _stripped(target)
