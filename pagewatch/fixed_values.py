@@ -7,10 +7,13 @@ stored texts. Functions take the lists as parameters with these defaults.
 # ---------------------------------------------------------------- fixed values
 # Whitespace as Unicode defines it plus the four ASCII separators. Written as
 # code points so that Java regex and RE2 agree on it.
-WHITESPACE = (
-    r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_RARE_WHITESPACE = (
+    r"\x09-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+WHITESPACE = rf"[\x20{_RARE_WHITESPACE}]+"
+# Whitespace that is not already one plain blank.
+UNTIDY_WHITESPACE = rf"[{_RARE_WHITESPACE}][\x20{_RARE_WHITESPACE}]*|\x20[\x20{_RARE_WHITESPACE}]+"
 
 # Scoring and grading
 FAMILIES = ("registration", "external", "computer")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagewatch import fixed_values as fv
+from pagewatch.functions.staging import computed_once
 from pagewatch.functions.text import any_word, non_empty, normalize_space
 
 FULLWIDTH_DIGITS = "０１２３４５６７８９"
@@ -106,10 +107,9 @@ def with_dates(
     The title is read along with every source, the first source with a period
     wins, and the others only confirm or contradict it.
     """
-    df = df.withColumn("_periods", periods_of(F.col(title), sources))
+    df = computed_once(df, {"_periods": periods_of(F.col(title), sources)})
     first = F.try_element_at(F.col("_periods"), F.lit(1))
-    start, end = first["period"]["start"], first["period"]["end"]
-    df = df.withColumns({"_start": start, "_end": end})
+    df = computed_once(df, {"_start": first["period"]["start"], "_end": first["period"]["end"]})
     same = lambda p: (p["period"]["start"] == F.col("_start")) & (p["period"]["end"] == F.col("_end"))
     return df.withColumns(
         {

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagewatch import fixed_values as fv
+from pagewatch.functions.staging import computed_once
 from pagewatch.functions.text import contains_any
 
 MAX_VOCABULARY = 5_000
@@ -103,9 +104,8 @@ def keyword_hits_long(df: DataFrame, vocabulary: Vocabulary, key: str, text: Col
             for w in vocabulary.words
         ]
     )
-    flagged = df.select(key, F.lower(text).alias("_lower")).select(
-        key, keyword_flags(F.col("_lower"), vocabulary).alias("_flags")
-    )
+    lowered = computed_once(df.select(key, text.alias("_lower")), {"_lower": F.lower("_lower")})
+    flagged = lowered.select(key, keyword_flags(F.col("_lower"), vocabulary).alias("_flags"))
     exploded = flagged.select(key, F.posexplode("_flags").alias("ord", "hit")).where("hit")
     return exploded.select(key, "ord", F.get(names, F.col("ord")).alias("w")).select(
         key, "ord", "w.family", "w.polarity", "w.word", "w.points"
@@ -159,23 +159,25 @@ def with_classification(
     exclusion_terms: Sequence[str] = fv.HARD_EXCLUSION_TERMS,
 ) -> DataFrame:
     """Add scores, statuses, grade, matched words and reason; one narrow stage."""
-    haystack = F.concat(F.col(title), F.lit("\n"), F.col(text))
-    flagged = (
-        df.withColumn("_haystack", haystack)
-        .withColumn("_lower", F.lower("_haystack"))
-        .withColumn("_flags", keyword_flags(F.col("_lower"), vocabulary))
-        .withColumn("_excluded", contains_any(F.col("_haystack"), exclusion_terms))
-        .drop("_haystack", "_lower")
-    )
+    texts = df.withColumn("_haystack", F.concat(F.col(title), F.lit("\n"), F.col(text)))
+    texts = computed_once(texts, {"_lower": F.lower("_haystack"), "_haystack": F.col("_haystack")})
+    flagged = computed_once(
+        texts,
+        {
+            "_flags": keyword_flags(F.col("_lower"), vocabulary),
+            "_excluded": contains_any(F.col("_haystack"), exclusion_terms),
+        },
+    ).drop("_haystack", "_lower")
     flags = F.col("_flags")
-    scored = flagged.withColumns(
+    scored = computed_once(
+        flagged,
         {
             "registration_score": family_score(flags, vocabulary, "registration"),
             "external_score": family_score(flags, vocabulary, "external"),
             "computer_score": family_score(flags, vocabulary, "computer", positive_wins=True),
             "freshness_score": freshness(F.col(status)),
             "matched_keywords": matched_words(flags, vocabulary),
-        }
+        },
     ).drop("_flags")
     reg, ext, comp = F.col("registration_score"), F.col("external_score"), F.col("computer_score")
     scored = scored.withColumns(

@@ -12,7 +12,7 @@ from pagewatch import fixed_values as fv
 
 def normalize_space(text: Column) -> Column:
     """Squeeze every Unicode whitespace run (NBSP, U+3000 included) to one blank."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), fv.WHITESPACE, " "))
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), fv.UNTIDY_WHITESPACE, " "))
 
 
 def truncate(text: Column, limit: int = 500) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
 from pagewatch import fixed_values as fv
+from pagewatch.functions.staging import bind
 from pagewatch.functions.text import any_word, non_empty, normalize_space
 
 # RFC 3986, appendix B: scheme, authority, path, query (fragment dropped).
@@ -46,8 +49,12 @@ def build_url(scheme: Column, authority: Column, path: Column, query: Column | N
 
 def _without_dots(path: Column) -> Column:
     """Resolve ``.`` and ``..`` segments by folding over the path."""
-    segments = F.split(path, "/")
-    last = F.element_at(segments, -1)
+    return bind(
+        path, lambda p: F.when(p.rlike(r"(^|/)\.\.?(/|$)"), bind(F.split(p, "/"), _fold_segments)).otherwise(p)
+    )
+
+
+def _fold_segments(segments: Column) -> Column:
     kept = F.aggregate(
         segments,
         F.array().cast("array<string>"),
@@ -56,14 +63,22 @@ def _without_dots(path: Column) -> Column:
         .otherwise(F.concat(acc, F.array(s))),
     )
     joined = F.array_join(kept, "/")
-    folded = F.when(last.isin(".", "..") & ~joined.endswith("/"), F.concat(joined, F.lit("/"))).otherwise(joined)
-    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), folded).otherwise(path)
+    ends_in_folder = F.element_at(segments, -1).isin(".", "..") & ~joined.endswith("/")
+    return F.when(ends_in_folder, F.concat(joined, F.lit("/"))).otherwise(joined)
 
 
 def resolve_reference(base: Column, reference: Column) -> Column:
-    """Absolute URL of ``reference`` found on page ``base``."""
+    """Absolute URL of ``reference`` found on page ``base``.
+
+    Absolute references, the common case, are passed on without taking the base apart.
+    """
+    return bind(F.trim(reference), lambda ref: F.when(
+        ref.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), ref
+    ).otherwise(_resolved_on(base, ref)))
+
+
+def _resolved_on(base: Column, ref: Column) -> Column:
     b = UrlParts(base)
-    ref = F.trim(reference)
     bare = F.regexp_replace(ref, r"#.*$", "")
     fragment = F.regexp_extract(ref, r"(#.+)$", 1)
     ref_path = F.regexp_extract(bare, r"^([^?]*)", 1)
@@ -71,16 +86,14 @@ def resolve_reference(base: Column, reference: Column) -> Column:
     root = F.concat(b.scheme, F.lit("://"), b.authority)
     directory = F.coalesce(non_empty(F.regexp_extract(b.full_path, r"^(.*/)", 1)), F.lit("/"))
     query_tail = F.when(b.query != "", F.concat(F.lit("?"), b.query)).otherwise(F.lit(""))
-    absolute = (
+    return (
         F.when(ref == "", F.regexp_replace(base, r"#.*$", ""))
-        .when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), ref)
         .when(ref.startswith("//"), F.concat(b.scheme, F.lit(":"), ref))
         .when(ref.startswith("#"), F.concat(root, b.full_path, query_tail, fragment))
         .when(ref.startswith("?"), F.concat(root, b.full_path, bare, fragment))
         .when(ref.startswith("/"), F.concat(root, _without_dots(ref_path), ref_query, fragment))
         .otherwise(F.concat(root, _without_dots(F.concat(directory, ref_path)), ref_query, fragment))
     )
-    return absolute
 
 
 def _decoded(value: Column) -> Column:
@@ -190,26 +203,34 @@ def _private_ipv4(host: Column) -> Column:
     octet = r"(0|[1-9][0-9]{0,2})"
     pattern = rf"^{octet}\.{octet}\.{octet}\.{octet}$"
     parts = [F.regexp_extract(host, pattern, i).try_cast("bigint") for i in range(1, 5)]
+    inside = lambda n: functools.reduce(
+        operator.or_, [n.between(_ipv4_number(low), _ipv4_number(high)) for low, high in fv.PRIVATE_IPV4]
+    )
     number = ((parts[0] * 256 + parts[1]) * 256 + parts[2]) * 256 + parts[3]
-    inside = F.lit(False)
-    for low, high in fv.PRIVATE_IPV4:
-        inside = inside | number.between(_ipv4_number(low), _ipv4_number(high))
-    is_literal = F.greatest(*parts) <= 255
-    return F.coalesce(is_literal & inside, F.lit(False))
+    return F.coalesce((F.greatest(*parts) <= 255) & bind(number, inside), F.lit(False))
 
 
 def _private_ipv6(host: Column) -> Column:
     """Literal IPv6 addresses outside the globally reachable space."""
-    address = F.regexp_replace(host, r"%.*$", "")
+    return bind(F.regexp_replace(host, r"%.*$", ""), _reserved_ipv6)
+
+
+def _reserved_ipv6(address: Column) -> Column:
     dotted = F.regexp_extract(address, r"^::ffff:([0-9.]+)$", 1)
     halves = F.split(address, "::", 2)
     left = F.filter(F.split(halves[0], ":"), lambda s: s != "")
     right = F.filter(F.split(F.coalesce(F.try_element_at(halves, F.lit(2)), F.lit("")), ":"), lambda s: s != "")
     gap = F.greatest(F.lit(8) - F.size(left) - F.size(right), F.lit(0))
+    mapped = F.when(dotted != "", _private_ipv4(dotted))
     words = F.transform(
         F.concat(left, F.array_repeat(F.lit("0"), gap), right),
         lambda s: F.conv(s, 16, 10).try_cast("bigint"),
     )
+    return F.coalesce(mapped, bind(words, _reserved_words), F.lit(False))
+
+
+def _reserved_words(words: Column) -> Column:
+    """Is an address, given as eight 16-bit words, outside the globally reachable space?"""
     w = [F.try_element_at(words, F.lit(i)) for i in range(1, 9)]
     zero = lambda n: F.array_max(F.slice(words, 1, n)) == 0
     protocol = (w[0] == 0x2001) & (w[1] < 0x200)
@@ -219,7 +240,7 @@ def _private_ipv6(host: Column) -> Column:
         | ((w[1] == 4) & (w[2] == 0x112))
         | w[1].between(0x20, 0x3F)
     )
-    private = (
+    return (
         (zero(7) & w[7].isin(0, 1))
         | (zero(5) & (w[5] == 0xFFFF))
         | ((w[0] == 0x64) & (w[1] == 0xFF9B) & (w[2] == 1))
@@ -231,24 +252,24 @@ def _private_ipv6(host: Column) -> Column:
         | w[0].between(0xFC00, 0xFDFF)
         | w[0].between(0xFE80, 0xFEBF)
     )
-    is_literal = F.contains(host, F.lit(":"))
-    mapped = F.when(dotted != "", _private_ipv4(dotted))
-    return F.when(is_literal, F.coalesce(mapped, private, F.lit(False))).otherwise(F.lit(False))
 
 
 def is_public_http_url(url: Column) -> Column:
     """Absolute http(s) url without credentials whose host is not a local or reserved address."""
     parts = UrlParts(F.coalesce(url, F.lit("")))
-    host = parts.host
-    local = (host == "localhost") | host.endswith(".localhost")
-    return (
-        parts.scheme.isin("http", "https")
-        & (host != "")
-        & ~F.contains(parts.authority, F.lit("@"))
-        & ~local
-        & ~_private_ipv4(host)
-        & ~_private_ipv6(host)
-    )
+    address = F.struct(parts.scheme.alias("scheme"), parts.authority.alias("authority"), parts.host.alias("host"))
+
+    def safe(a: Column) -> Column:
+        host = a["host"]
+        reserved = (
+            F.when(F.contains(host, F.lit(":")), _private_ipv6(host))
+            .when(host.rlike("^[0-9.]+$"), _private_ipv4(host))
+            .otherwise((host == "localhost") | host.endswith(".localhost"))
+        )
+        plain = a["scheme"].isin("http", "https") & (host != "") & ~F.contains(a["authority"], F.lit("@"))
+        return F.when(plain, ~reserved).otherwise(False)
+
+    return bind(address, safe)
 
 
 def looks_like_notice(

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pagewatch import fixed_values as fv
 from pagewatch.functions import rules
 from pagewatch.operators.dedupe import item_fingerprint, last_per_key
+from pagewatch.operators.ordering import drop_layout, sorted_ranges, with_last_before
 
 STATE_FIELDS = ("content_fingerprint", "grade", "deadline_status", "checked_at")
 
@@ -70,6 +71,26 @@ def mark_changes(items: DataFrame, state: DataFrame, seen: DataFrame) -> DataFra
     ).drop("_known", "_has", *[f"_p_{c}" for c in compared])
 
 
+def changes_across_runs(snapshots: DataFrame, run: str = "run") -> DataFrame:
+    """Change type of every (url, run) against the run in which the url was seen last.
+
+    The table form of ``mark_changes`` for a history of runs, one row per url and run.
+    """
+    compared = ("content_fingerprint", "grade", "deadline_status")
+    layout = sorted_ranges(snapshots, ["url"], [run])
+    before = F.struct(*compared)
+    marked = drop_layout(with_last_before(layout, ["url"], {"_before": before}))
+    kind = change_type(
+        F.col("_before").isNotNull(),
+        F.lit(False),
+        {c: F.col(f"_before.{c}") for c in compared},
+        {c: F.col(c) for c in compared},
+    )
+    return marked.withColumns(
+        {"change_type": kind, "previous_grade": F.coalesce("_before.grade", F.lit(""))}
+    ).drop("_before")
+
+
 def update_notice_state(state: DataFrame, items: DataFrame, seq: str = "seq") -> DataFrame:
     """Upsert by url: rows not observed stay, within a run the last row wins, blank urls are skipped."""
     fields = ["url", *STATE_FIELDS]

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagewatch import fixed_values as fv
+from pagewatch.functions.staging import computed_once
 from pagewatch.functions.text import any_word, normalize_space, truncate, words_in
 from pagewatch.functions.urls import is_public_http_url, resolve_reference
 
@@ -35,7 +36,7 @@ def page_evidence(parsed: DataFrame, words: CourseWords) -> DataFrame:
     text = normalize_space(F.col("page_text"))
     rows = parsed.where(F.col("parse_error").isNull() & is_public_http_url(F.col("url")))
     return (
-        rows.select("url", text.alias("_text"))
+        computed_once(rows.select("url", "page_text"), {"_text": text})
         .where(has_course_signal(F.col("_text"), words))
         .select(
             "url",

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pagewatch import fixed_values as fv
 from pagewatch.functions import urls
 from pagewatch.functions.dates import first_date
+from pagewatch.functions.staging import computed_once
 from pagewatch.functions.text import any_word, count_words, non_empty, normalize_space
 from pagewatch.operators.ordering import drop_layout, sorted_ranges, with_rank
 
@@ -32,15 +33,13 @@ def candidate_links(parsed: DataFrame, board_key: str = "board_idx", keyword_hin
     test, so the tests come before the grouping.
     """
     links = page_links(parsed, [board_key])
-    resolved = links.withColumn(
-        "full_url", urls.link_url(F.col("page_url"), F.col("href"), F.col("onclick"), F.col("data_params"))
-    ).where(urls.is_public_http_url(F.col("full_url")))
-    titled = resolved.withColumn(
-        "title",
-        normalize_space(
-            F.coalesce(non_empty(F.col("text")), non_empty(F.col("title_attr")), F.col("context_text"))
-        ),
-    ).where(urls.looks_like_notice(F.col("title"), F.col("full_url"), F.col("page_url"), keyword_hint))
+    named = F.coalesce(non_empty(F.col("text")), non_empty(F.col("title_attr")), F.col("context_text"))
+    target = urls.link_url(F.col("page_url"), F.col("href"), F.col("onclick"), F.col("data_params"))
+    resolved = computed_once(links, {"full_url": target, "title": normalize_space(named)})
+    titled = resolved.where(
+        urls.is_public_http_url(F.col("full_url"))
+        & urls.looks_like_notice(F.col("title"), F.col("full_url"), F.col("page_url"), keyword_hint)
+    )
     rows = titled.select(
         board_key,
         "pos",
@@ -117,7 +116,7 @@ def discovered_links(
     links = page_links(parsed, [board_key])
     text = normalize_space(F.col("text"))
     target = urls.resolve_reference(F.col("page_url"), F.col("href"))
-    rows = links.select(board_key, "pos", text.alias("text"), target.alias("url")).where(
+    rows = computed_once(links, {"text": text, "url": target}).select(board_key, "pos", "text", "url").where(
         any_word(F.lower(F.concat_ws(" ", "text", "url")), [w.lower() for w in words])
     )
     order = Window.partitionBy(board_key).orderBy("pos")

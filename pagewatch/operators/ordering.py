@@ -17,6 +17,15 @@ from pagewatch.durable import durable
 _ROW_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a costly row-local step over a table of few splits.
+
+    A table with more splits than cores, any large one, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() > cores else df.repartition(cores)
+
+
 def sorted_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Rows in global (keys, order) order with ``_at`` increasing along it and ``_range`` numbering the ranges."""
     columns = [*keys, *order]

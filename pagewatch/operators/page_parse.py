@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from pagewatch import fixed_values as fv
+from pagewatch.operators.ordering import spread
 
 _LINK = pa.struct(
     [(n, pa.string()) for n in ("href", "title_attr", "onclick", "data_params", "text")]
@@ -264,4 +265,4 @@ def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
             if rows:
                 yield flush(batch, start, rows)
 
-    return pages.select(*kept, html).mapInArrow(run, f"{kept_ddl}, {PARSED_DDL}, parse_error STRING")
+    return spread(pages.select(*kept, html)).mapInArrow(run, f"{kept_ddl}, {PARSED_DDL}, parse_error STRING")

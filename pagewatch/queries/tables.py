@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pagewatch import fixed_values as fv
 from pagewatch.functions import dates, text
-from pagewatch.functions.scoring import Vocabulary
+from pagewatch.functions.hashing import content_fingerprint
+from pagewatch.functions.scoring import Vocabulary, with_classification
+from pagewatch.operators.ordering import spread
 
 AS_OF_TEXT = "2026-06-15"
 CHECKED_AT = "2026-06-15T09:00:00+09:00"
@@ -37,7 +39,7 @@ def day(offset: Column) -> Column:
 
 def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as crawled notices; exact copies share their url."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     start = day(F.col("n_chars") % 20)
     end = F.date_add(start, (F.col("n_chars") % 25).cast("int"))
     files = F.array(
@@ -152,15 +154,11 @@ def with_sql(body: str, *ctes: str) -> str:
 
 
 def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pagewatch.functions.scoring import with_classification
-
     return with_classification(notices(spark, sf_dir), VOCABULARY, text="body_text", exclusion_terms=EXCLUDED)
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graded notices with a fingerprint and made-up run flags."""
-    from pagewatch.functions.hashing import content_fingerprint
-
     kind = F.lit("grade_changed")
     for number, name in enumerate(("", "new", "content_changed", "unchanged")):
         kind = F.when(F.col("seq") % 5 == number, name).otherwise(kind)
