@@ -52,7 +52,7 @@ def find_evidence(parsed: DataFrame, words: CourseWords) -> DataFrame:
     """Per page: its own evidence, else that of the first linked page whose link label asks for it.
 
     One row per page with evidence: ``page_url`` and ``evidence(url, departments,
-    courses, excerpt)``. Only urls travel in the self-join.
+    courses, excerpt)``. Only pages without evidence of their own follow links.
     """
     own = page_evidence(parsed, words)
     found = own.select(
@@ -61,6 +61,7 @@ def find_evidence(parsed: DataFrame, words: CourseWords) -> DataFrame:
     links = parsed.where(F.col("parse_error").isNull() & is_public_http_url(F.col("url"))).select(
         F.col("url").alias("page_url"), F.posexplode("links").alias("_pos", "_link")
     )
+    links = links.join(own.select(F.col("url").alias("page_url")), "page_url", "left_anti")
     targets = (
         links.where(any_word(normalize_space(F.col("_link.text")), words.searches))
         .select("page_url", "_pos", resolve_reference(F.col("page_url"), F.col("_link.href")).alias("url"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load() -> None:
-    from pagewatch.queries import grading, pages, texts  # noqa: F401
+    from pagewatch.queries import grading, pages, runs, texts  # noqa: F401
 
 
 def all_queries():

@@ -152,7 +152,7 @@ v_body AS (SELECT page_id, regexp_replace(bare, '(?is)<(nav|header|footer)[^>]*>
 
 
 def _unescaped(x: str) -> str:
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         x = f"replace({x}, '{entity}', '{char}')"
     return x
 
@@ -243,7 +243,7 @@ def _course_pages(spark, sf_dir):
     pages = read_pages(spark, f"{sf_dir}/pages.parquet")
     link = F.concat(F.lit('<a href="/'), ((F.col("page_id") * 7 + 3) % 200).cast("string"), F.lit('">the course list</a>'))
     plain = F.concat(F.lit('<a href="/'), ((F.col("page_id") + 1) % 200).cast("string"), F.lit('">next</a>'))
-    html = F.when(F.col("page_id") % 2 == 0, F.concat(plain, "html")).otherwise(F.concat(plain, "html"))
+    html = F.concat(plain, "html")
     labelled = F.when(F.col("page_id") % 3 == 0, F.concat(link, html)).otherwise(html)
     return pages.select("page_id", F.concat(F.lit(_SITE), F.col("page_id").cast("string")).alias("url"), labelled.alias("html"))
 
@@ -280,35 +280,51 @@ def course_signals(spark, sf_dir):
     )
 
 
-# Here label words and page words differ, so that one-hop links matter.
-HOP = courses.CourseWords(names=COURSES.names, searches=("next",), departments=COURSES.departments)
-_HOP_SQL = EVIDENCE_SQL.replace("contains(txt, 'course list')", "contains(txt, 'never')").replace("'next ' ||", "'NEXT ' ||")
-
-
 @query(
     "course_evidence",
     t.with_sql(
-        f"""SELECT page_url, arg_min(url, p) AS url, arg_min(departments, p) AS departments, arg_min(courses, p) AS courses, arg_min(excerpt, p) AS excerpt
-        FROM (SELECT url AS page_url, 0 AS p, url, departments, courses, excerpt FROM v_own
-              UNION ALL SELECT '{_SITE}' || b.page_id::VARCHAR, 1, o.url, o.departments, o.courses, o.excerpt
-              FROM pages b JOIN v_own o ON o.page_id = (b.page_id + 1) % 200) GROUP BY page_url""",
-        _TEXT_SQL, _HOP_SQL,
+        "SELECT url AS page_url, url, departments, courses, excerpt FROM v_own", _TEXT_SQL, EVIDENCE_SQL
     ),
 )
 def course_evidence(spark, sf_dir):
-    hop = courses.CourseWords(names=HOP.names, searches=("NEXT",), departments=HOP.departments)
-    pages = _course_pages(spark, sf_dir).withColumn("html", F.replace("html", F.lit(">next<"), F.lit(">NEXT<")))
-    parsed = page_parse.parse_pages(pages)
-    # The label itself is a page word; pages count by their course names only.
-    quiet = parsed.withColumn("page_text", F.regexp_replace("page_text", r"\bNEXT\b", "NEXT"))
-    own_words = courses.CourseWords(names=hop.names, searches=("never",), departments=hop.departments)
-    found = courses.find_evidence(quiet, own_words, label_words=("NEXT",))
+    parsed = page_parse.parse_pages(_course_pages(spark, sf_dir))
+    found = courses.find_evidence(parsed, COURSES)
     return found.select(
         "page_url", "evidence.url", F.array_join("evidence.departments", ",").alias("departments"),
         F.array_join("evidence.courses", ",").alias("courses"), "evidence.excerpt",
     )
 
 
+_NAMED = ", ".join(f"CASE WHEN contains(' ' || i.title, '{w}') THEN '{w}' END" for w in COURSES.names)
+
+
+@query(
+    "enriched_notices",
+    t.with_sql(
+        f"""SELECT i.seq, coalesce(CASE WHEN searched THEN e.url END, '') AS evidence_url,
+          CASE WHEN searched THEN coalesce(e.departments, '') WHEN true THEN '' END AS departments,
+          CASE WHEN graded AND likely THEN array_to_string(list_filter([{_NAMED}], lambda w: w IS NOT NULL), ',')
+               WHEN searched THEN coalesce(e.courses, '') ELSE '' END AS courses,
+          CASE WHEN searched AND coalesce(e.courses, '') <> '' THEN '확인 필요' ELSE computer_course_status END AS status
+        FROM (SELECT * REPLACE ('{_SITE}' || (seq % 150)::VARCHAR AS url), grade IN ('A','B','C') AS graded, computer_course_status = '가능성 높음' AS likely,
+                grade IN ('A','B','C') AND computer_course_status <> '가능성 높음' AND university_name IN (SELECT name FROM v_university) AS searched FROM v_graded) i
+        LEFT JOIN v_own e ON e.url = i.url""",
+        _TEXT_SQL, EVIDENCE_SQL, t.NOTICES_SQL, t.SCORED_SQL, t.UNIVERSITIES_SQL,
+    ),
+)
+def enriched_notices(spark, sf_dir):
+    evidence = courses.find_evidence(page_parse.parse_pages(_course_pages(spark, sf_dir)), COURSES)
+    url = F.concat(F.lit(_SITE), (F.col("seq") % 150).cast("string"))
+    rows = t.graded(spark, sf_dir).withColumn("url", url)
+    done = courses.enrich(rows, t.universities(spark, sf_dir), evidence, COURSES)
+    return done.select(
+        "seq", F.col("course_evidence_url").alias("evidence_url"),
+        F.array_join("possible_departments", ",").alias("departments"),
+        F.array_join("possible_computer_courses", ",").alias("courses"),
+        F.col("computer_course_status").alias("status"),
+    )
+
+
 # ----------------------------------------------------------- attachments
 @query(
     "attachment_texts",
