@@ -210,11 +210,11 @@ PROBE = ("license", "tion", "the ", "http")
 
 @query(
     "keyword_probe",
-    f"""SELECT page_id, page_id % 3 = 0 AS skipped, CASE WHEN page_id % 3 = 0 THEN 0 ELSE
+    f"""SELECT page_id, contains(url, 'blog') AS skipped, CASE WHEN contains(url, 'blog') THEN 0 ELSE
     {" + ".join(f"contains(html, '{w}')::BIGINT" for w in PROBE)} END AS keyword_hits FROM pages""",
 )
 def keyword_probe(spark, sf_dir):
-    pages = read_pages(spark, f"{sf_dir}/pages.parquet").withColumn("enabled", F.col("page_id") % 3 != 0)
+    pages = read_pages(spark, f"{sf_dir}/pages.parquet").withColumn("enabled", ~F.contains("url", F.lit("blog")))
     return links.keyword_probe(pages, PROBE).select(
         "page_id", "skipped", F.col("keyword_hits").cast("bigint").alias("keyword_hits")
     )

@@ -14,7 +14,7 @@ from pagewatch.sources.config import active_boards, in_region, mark_skipped
 # --------------------------------------------------------- run snapshots
 RUNS_SQL = """
 v_run AS (SELECT 'https://c.example.com/' || (conv_id // 3)::VARCHAR AS url, conv_id % 3 * 1000 + turn AS run, turn,
-   sha256(CASE WHEN turn % 3 = 2 THEN role ELSE left(text, 400) END) AS content_fingerprint,
+   sha256(CASE WHEN turn % 3 = 2 THEN role ELSE text END) AS content_fingerprint,
    CASE WHEN length(text) > 900 THEN 'A' WHEN length(text) > 500 THEN 'B' WHEN length(text) > 200 THEN 'C' ELSE 'D' END AS grade,
    CASE WHEN role = 'user' THEN '모집중' ELSE '긴급' END AS deadline_status, strftime(DATE '2026-06-01' + turn::INT, '%Y-%m-%d') AS checked_at, conv_id
    FROM conversations)
@@ -22,13 +22,17 @@ v_run AS (SELECT 'https://c.example.com/' || (conv_id // 3)::VARCHAR AS url, con
 
 
 def _runs(spark, sf_dir):
-    c = t.table(spark, sf_dir, "conversations")
+    return snapshot_columns(t.table(spark, sf_dir, "conversations"))
+
+
+def snapshot_columns(conversations):
+    """conversations as snapshots of urls: three conversations make the runs of one url."""
     n = F.length("text")
-    return c.select(
+    return conversations.select(
         F.concat(F.lit("https://c.example.com/"), F.floor(F.col("conv_id") / 3).cast("string")).alias("url"),
         (F.col("conv_id") % 3 * 1000 + F.col("turn")).alias("run"),
         "turn",
-        F.sha2(F.when(F.col("turn") % 3 == 2, F.col("role")).otherwise(F.left("text", F.lit(400))), 256).alias(
+        F.sha2(F.when(F.col("turn") % 3 == 2, F.col("role")).otherwise(F.col("text")), 256).alias(
             "content_fingerprint"
         ),
         F.when(n > 900, "A").when(n > 500, "B").when(n > 200, "C").otherwise("D").alias("grade"),
@@ -61,28 +65,28 @@ def changes_across_runs(spark, sf_dir):
     return marked.select("url", "run", "change_type", "previous_grade")
 
 
-# State: what the even turns left behind; items: the rows of odd turns.
+# State: what user turns left behind; items: the assistant turns; seen: urls with a short turn.
 STATE_SQL = f"""
 {RUNS_SQL.strip()},
 v_state AS (SELECT url, arg_max(content_fingerprint, run) AS content_fingerprint, arg_max(grade, run) AS grade,
-   arg_max(deadline_status, run) AS deadline_status, arg_max(checked_at, run) AS checked_at FROM v_run WHERE turn % 2 = 0 AND conv_id % 5 <> 0 GROUP BY url),
-v_seen AS (SELECT DISTINCT url AS key FROM v_run WHERE conv_id % 4 = 0),
-v_now AS (SELECT *, run AS seq FROM v_run WHERE turn % 2 = 1)
+   arg_max(deadline_status, run) AS deadline_status, arg_max(checked_at, run) AS checked_at FROM v_run WHERE deadline_status = '모집중' AND grade <> 'D' GROUP BY url),
+v_seen AS (SELECT DISTINCT url AS key FROM v_run WHERE grade = 'D'),
+v_now AS (SELECT *, run AS seq FROM v_run WHERE deadline_status = '긴급')
 """
 
 
 def _state(spark, sf_dir):
-    rows = _runs(spark, sf_dir).where("turn % 2 = 0 AND conv_id % 5 <> 0").withColumn("seq", F.col("run"))
+    rows = _runs(spark, sf_dir).where("deadline_status = '모집중' AND grade <> 'D'").withColumn("seq", F.col("run"))
     nothing = rows.select("url", *changes.STATE_FIELDS).limit(0)
     return changes.update_notice_state(nothing, rows)
 
 
 def _seen(spark, sf_dir):
-    return _runs(spark, sf_dir).where("conv_id % 4 = 0").select(F.col("url").alias("key")).distinct()
+    return _runs(spark, sf_dir).where("grade = 'D'").select(F.col("url").alias("key")).distinct()
 
 
 def _now(spark, sf_dir):
-    return _runs(spark, sf_dir).where("turn % 2 = 1").withColumn("seq", F.col("run"))
+    return _runs(spark, sf_dir).where("deadline_status = '긴급'").withColumn("seq", F.col("run"))
 
 
 @query(
@@ -138,7 +142,7 @@ def bootstrap_coverage(spark, sf_dir):
     return changes.coverage_gaps(_now(spark, sf_dir), _seen(spark, sf_dir), _state(spark, sf_dir))
 
 
-_SENT_SQL = f"v_sent AS (SELECT * FROM v_item WHERE {t.TARGET_SQL} AND seq % 3 <> 0)"
+_SENT_SQL = f"v_sent AS (SELECT * FROM v_item WHERE {t.TARGET_SQL} AND grade = 'B')"
 
 
 def _sent(spark, sf_dir):
@@ -149,7 +153,7 @@ def _sent(spark, sf_dir):
     target = rules.is_alert_target(
         c("change_type"), c("is_new"), c("grade"), c("deadline_status"), c("notice_date"), t.as_of()
     )
-    return items, items.where(target & (c("seq") % 3 != 0))
+    return items, items.where(target & (c("grade") == "B"))
 
 
 @query(
@@ -182,11 +186,11 @@ def rows_for_notice_state(spark, sf_dir):
     t.with_sql(
         f"""SELECT i.seq, CASE WHEN i.fp IN (SELECT key FROM k) THEN false WHEN i.url = '' OR i.url NOT IN (SELECT key FROM k) THEN true
           WHEN p.fp IS NULL THEN false ELSE p.fp <> i.fp END AS is_new
-        FROM f i LEFT JOIN (SELECT url, arg_max(old, seq) AS fp FROM f WHERE url <> '' AND seq % 4 <> 3 GROUP BY url) p ON p.url = i.url""",
+        FROM f i LEFT JOIN (SELECT url, arg_max(old, seq) AS fp FROM f WHERE url <> '' AND grade <> 'B' GROUP BY url) p ON p.url = i.url""",
         t.NOTICES_SQL, t.SCORED_SQL,
-        f"""f AS (SELECT seq, url, {GRADUATE_PRINT_SQL} AS fp,
+        f"""f AS (SELECT seq, url, grade, {GRADUATE_PRINT_SQL} AS fp,
              {GRADUATE_PRINT_SQL.replace("notice_date", "CASE WHEN seq % 2 = 0 THEN notice_date ELSE 'x' END")} AS old FROM v_graded),
-        k AS (SELECT fp AS key FROM f WHERE seq % 7 = 0 UNION SELECT url FROM f WHERE seq % 3 = 0)""",
+        k AS (SELECT fp AS key FROM f WHERE grade = 'A' UNION SELECT url FROM f WHERE grade <> 'D')""",
     ),
 )
 def graduate_newness(spark, sf_dir):
@@ -194,10 +198,10 @@ def graduate_newness(spark, sf_dir):
 
     rows = t.graded(spark, sf_dir)
     old_date = F.when(F.col("seq") % 2 == 0, F.col("notice_date")).otherwise("x")
-    before = rows.where("seq % 4 <> 3").withColumn("notice_date", old_date)
+    before = rows.where("grade <> 'B'").withColumn("notice_date", old_date)
     seen = (
-        rows.where("seq % 7 = 0").select(item_fingerprint(rows).alias("key"))
-        .union(rows.where("seq % 3 = 0").select("url"))
+        rows.where("grade = 'A'").select(item_fingerprint(rows).alias("key"))
+        .union(rows.where("grade <> 'D'").select("url"))
         .distinct()
     )
     return changes.mark_graduate_new(rows, seen, before).select("seq", "is_new")

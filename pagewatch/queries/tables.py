@@ -39,7 +39,10 @@ def day(offset: Column) -> Column:
 
 def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as crawled notices; exact copies share their url."""
-    docs = spread(table(spark, sf_dir, "documents"))
+    return notice_columns(spread(table(spark, sf_dir, "documents")))
+
+
+def notice_columns(docs: DataFrame) -> DataFrame:
     start = day(F.col("n_chars") % 20)
     end = F.date_add(start, (F.col("n_chars") % 25).cast("int"))
     files = F.array(

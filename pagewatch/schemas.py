@@ -31,38 +31,40 @@ def _row(names: tuple[str, ...]) -> T.StructType:
 RESULTS = _row(fv.RESULT_FIELDS)
 GRADUATE_RESULTS = _row(fv.GRADUATE_FIELDS)
 HISTORY = _row(fv.HISTORY_FIELDS)
-UNIVERSITIES = T.StructType.fromDDL(
-    "name STRING, region STRING, region_name STRING, city STRING, domains ARRAY<STRING>, priority INT, notes STRING"
-)
-BOARDS = T.StructType.fromDDL(
-    "university_name STRING, board_type STRING, url STRING, enabled BOOLEAN, scan_page BOOLEAN, notes STRING"
-)
-PAGES = T.StructType.fromDDL("page_id BIGINT, url STRING, html STRING")
-NOTICE_STATE = T.StructType.fromDDL(
-    "url STRING, content_fingerprint STRING, grade STRING, deadline_status STRING, checked_at STRING"
-)
-SEEN = T.StructType.fromDDL("key STRING")
-PAGE_STATE = T.StructType.fromDDL(
-    "url STRING, etag STRING, last_modified STRING, content_hash STRING, checked_at STRING, "
-    "html STRING, extracted_text STRING"
-)
-DELIVERY_STATE = T.StructType.fromDDL(
-    "delivery_id STRING, status STRING, attempt_count BIGINT, logical_key STRING, message_preview STRING, "
-    "updated_at STRING, message_id STRING, error_type STRING, resolved_at STRING"
-)
-DELIVERY_EVENTS = T.StructType.fromDDL(
-    "delivery_id STRING, event STRING, status STRING, logical_key STRING, message STRING, "
-    "message_id STRING, error_type STRING, ts TIMESTAMP, event_id BIGINT"
-)
-SUMMARY_STATE = T.StructType.fromDDL(
-    "fingerprint STRING, candidate_count BIGINT, active_count BIGINT, disabled_count BIGINT"
+# Built from types rather than DDL text: workers import this module without a session.
+_KINDS = {
+    "string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "flag": T.BooleanType(),
+    "time": T.TimestampType(), "strings": T.ArrayType(T.StringType()),
+}
+
+
+def _table(**columns: str) -> T.StructType:
+    """A schema from ``kind="name name .."`` in the order given."""
+    return T.StructType(
+        [T.StructField(name, _KINDS[kind.rstrip("_")]) for kind, names in columns.items() for name in names.split()]
+    )
+
+
+UNIVERSITIES = _table(string="name region region_name city", strings="domains", int="priority", string_="notes")
+BOARDS = _table(string="university_name board_type url", flag="enabled scan_page", string_="notes")
+PAGES = _table(long="page_id", string="url html")
+NOTICE_STATE = _table(string="url content_fingerprint grade deadline_status checked_at")
+SEEN = _table(string="key")
+PAGE_STATE = _table(string="url etag last_modified content_hash checked_at html extracted_text")
+DELIVERY_STATE = _table(
+    string="delivery_id status", long="attempt_count",
+    string_="logical_key message_preview updated_at message_id error_type resolved_at",
 )
-FETCH_LOG = T.StructType.fromDDL(
-    "board_idx BIGINT, university_name STRING, board_type STRING, url STRING, seq BIGINT, "
-    "fetched BOOLEAN, candidates BIGINT, succeeded BOOLEAN, error STRING"
+DELIVERY_EVENTS = _table(
+    string="delivery_id event status logical_key message message_id error_type", time="ts", long="event_id"
 )
-ATTACHMENT_HEADERS = T.StructType.fromDDL("url STRING, content_disposition STRING, content_type STRING")
-PORTAL_PAYLOAD = T.StructType.fromDDL(
-    "Univdata ARRAY<STRUCT<ShortName: STRING, ServiceName: STRING, CategorytypeName: STRING, "
-    "Link: STRING, WriteFromTime: STRING, WriteToTime: STRING>>"
+SUMMARY_STATE = _table(string="fingerprint", long="candidate_count active_count disabled_count")
+ATTACHMENT_HEADERS = _table(string="url content_disposition content_type")
+PORTAL_PAYLOAD = T.StructType(
+    [
+        T.StructField(
+            "Univdata",
+            T.ArrayType(_table(string="ShortName ServiceName CategorytypeName Link WriteFromTime WriteToTime")),
+        )
+    ]
 )

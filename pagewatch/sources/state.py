@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pagewatch.operators.outbox import DurableStateError
 from pagewatch.sources.config import empty, path_missing
 
-COMMITS = T.StructType.fromDDL("version BIGINT, batch_id BIGINT")
+COMMITS = T.StructType([T.StructField("version", T.LongType()), T.StructField("batch_id", T.LongType())])
 
 
 class StateTable:
