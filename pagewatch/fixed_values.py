@@ -92,6 +92,11 @@ PRIVATE_IPV4 = (
     ("198.18.0.0", "198.19.255.255"), ("198.51.100.0", "198.51.100.255"),
     ("203.0.113.0", "203.0.113.255"), ("240.0.0.0", "255.255.255.255"),
 )
+# The same for IPv6, on the address written as 32 hex digits; the second pattern lists exceptions.
+RESERVED_IPV6 = (
+    r"^(0{31}[01]$|0{20}ffff|0064ff9b0001|0100000000000000|20010[01]|20010db8|2002|3fff0|f[cd]|fe[89ab])"
+)
+REACHABLE_IPV6 = r"^(200100010{23}[12]$|20010003|200100040112|2001002|2001003)"
 
 # Portals and graduate admission
 PORTAL_NEGATIVE_WORDS = (

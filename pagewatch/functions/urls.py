@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
@@ -199,15 +197,23 @@ def _ipv4_number(dotted: str) -> int:
     return number
 
 
+_PRIVATE_RANGES = ", ".join(
+    f"struct({_ipv4_number(low)}L AS low, {_ipv4_number(high)}L AS high)" for low, high in fv.PRIVATE_IPV4
+)
+
+
 def _private_ipv4(host: Column) -> Column:
     octet = r"(0|[1-9][0-9]{0,2})"
     pattern = rf"^{octet}\.{octet}\.{octet}\.{octet}$"
-    parts = [F.regexp_extract(host, pattern, i).try_cast("bigint") for i in range(1, 5)]
-    inside = lambda n: functools.reduce(
-        operator.or_, [n.between(_ipv4_number(low), _ipv4_number(high)) for low, high in fv.PRIVATE_IPV4]
+    octets = F.transform(
+        F.array(*[F.regexp_extract(host, pattern, i) for i in range(1, 5)]), lambda o: o.try_cast("bigint")
     )
-    number = ((parts[0] * 256 + parts[1]) * 256 + parts[2]) * 256 + parts[3]
-    return F.coalesce((F.greatest(*parts) <= 255) & bind(number, inside), F.lit(False))
+    number = F.aggregate(octets, F.lit(0).cast("bigint"), lambda acc, o: acc * 256 + o)
+
+    def inside(n: Column) -> Column:
+        return F.exists(F.expr(f"array({_PRIVATE_RANGES})"), lambda r: n.between(r["low"], r["high"]))
+
+    return F.coalesce((F.array_max(octets) <= 255) & bind(number, inside), F.lit(False))
 
 
 def _private_ipv6(host: Column) -> Column:
@@ -216,42 +222,15 @@ def _private_ipv6(host: Column) -> Column:
 
 
 def _reserved_ipv6(address: Column) -> Column:
-    dotted = F.regexp_extract(address, r"^::ffff:([0-9.]+)$", 1)
+    mapped = F.regexp_extract(address, r"^::ffff:([0-9.]+)$", 1)
+    groups = lambda half: F.filter(F.split(half, ":"), lambda s: s != "")
     halves = F.split(address, "::", 2)
-    left = F.filter(F.split(halves[0], ":"), lambda s: s != "")
-    right = F.filter(F.split(F.coalesce(F.try_element_at(halves, F.lit(2)), F.lit("")), ":"), lambda s: s != "")
+    left, right = groups(halves[0]), groups(F.coalesce(F.try_element_at(halves, F.lit(2)), F.lit("")))
     gap = F.greatest(F.lit(8) - F.size(left) - F.size(right), F.lit(0))
-    mapped = F.when(dotted != "", _private_ipv4(dotted))
-    words = F.transform(
-        F.concat(left, F.array_repeat(F.lit("0"), gap), right),
-        lambda s: F.conv(s, 16, 10).try_cast("bigint"),
-    )
-    return F.coalesce(mapped, bind(words, _reserved_words), F.lit(False))
-
-
-def _reserved_words(words: Column) -> Column:
-    """Is an address, given as eight 16-bit words, outside the globally reachable space?"""
-    w = [F.try_element_at(words, F.lit(i)) for i in range(1, 9)]
-    zero = lambda n: F.array_max(F.slice(words, 1, n)) == 0
-    protocol = (w[0] == 0x2001) & (w[1] < 0x200)
-    reachable = (
-        ((w[1] == 1) & (F.array_max(F.slice(words, 3, 5)) == 0) & w[7].isin(1, 2))
-        | (w[1] == 3)
-        | ((w[1] == 4) & (w[2] == 0x112))
-        | w[1].between(0x20, 0x3F)
-    )
-    return (
-        (zero(7) & w[7].isin(0, 1))
-        | (zero(5) & (w[5] == 0xFFFF))
-        | ((w[0] == 0x64) & (w[1] == 0xFF9B) & (w[2] == 1))
-        | ((w[0] == 0x100) & (w[1] == 0) & (w[2] == 0) & (w[3] == 0))
-        | (protocol & ~reachable)
-        | ((w[0] == 0x2001) & (w[1] == 0xDB8))
-        | (w[0] == 0x2002)
-        | ((w[0] == 0x3FFF) & (w[1] < 0x1000))
-        | w[0].between(0xFC00, 0xFDFF)
-        | w[0].between(0xFE80, 0xFEBF)
-    )
+    written = F.concat(left, F.array_repeat(F.lit("0"), gap), right)
+    digits = F.array_join(F.transform(written, lambda s: F.lpad(s, 4, "0")), "")
+    reserved = bind(digits, lambda d: d.rlike(fv.RESERVED_IPV6) & ~d.rlike(fv.REACHABLE_IPV6))
+    return F.when(mapped != "", _private_ipv4(mapped)).otherwise(reserved)
 
 
 def is_public_http_url(url: Column) -> Column:

@@ -82,7 +82,7 @@ def enrich(items: DataFrame, universities: DataFrame, evidence: DataFrame, words
     rest the university's homepage comes before the notice page.
     """
     domains = universities.select(
-        F.col("name").alias("university_name"), F.try_element_at("domains", F.lit(1)).alias("_domain")
+        F.col("name").alias("university_name"), F.get("domains", F.lit(0)).alias("_domain")
     )
     joined = items.join(domains, "university_name", "left")
     likely = F.col("computer_course_status") == fv.STATUS_LIKELY
