@@ -9,7 +9,7 @@ from pyspark.sql import Column, functions as F
 
 from pagewatch import fixed_values as fv
 from pagewatch.functions.dates import is_recent, is_stale
-from pagewatch.functions.text import any_word, normalize_space, words_in
+from pagewatch.functions.text import any_word, contains_any, words_in
 
 
 def grade_rank(grade: Column) -> Column:
@@ -108,20 +108,23 @@ class GraduateWords:
     terms: tuple[str, ...] = fv.TERM_WORDS
 
 
-def graduate_rule(title: Column, text: Column, strict_title: Column, words: GraduateWords = GraduateWords()) -> Column:
-    """Name of the rule that decides a graduate notice (a key of ``GRADUATE_REASONS``)."""
-    low_title = F.lower(normalize_space(title))
-    low_text = F.lower(normalize_space(F.concat_ws("\n", title, text)))
-    title_year = any_word(low_title, words.years)
-    year = title_year | any_word(low_text, words.years)
-    admission = any_word(low_text, words.admissions)
+def graduate_rule(
+    low_title: Column, low_text: Column, strict_title: Column, words: GraduateWords = GraduateWords()
+) -> Column:
+    """Name of the rule that decides a graduate notice (a key of ``GRADUATE_REASONS``).
+
+    Title and text (which includes the title) come squeezed and lower-cased.
+    """
+    title_year = contains_any(low_title, words.years)
+    year = title_year | contains_any(low_text, words.years)
+    admission = contains_any(low_text, words.admissions)
     general = F.contains(low_text, F.lit(words.general))
     return (
-        F.when(any_word(low_title, words.excluded_titles), "excluded")
-        .when(strict_title & ~(title_year & any_word(low_title, words.title_admissions)), "title")
-        .when(any_word(low_text, words.negatives) & ~general, "negative")
+        F.when(contains_any(low_title, words.excluded_titles), "excluded")
+        .when(strict_title & ~(title_year & contains_any(low_title, words.title_admissions)), "title")
+        .when(contains_any(low_text, words.negatives) & ~general, "negative")
         .when(year & general & admission, "general")
-        .when(year & any_word(low_text, words.schools) & admission, "school")
+        .when(year & contains_any(low_text, words.schools) & admission, "school")
         .otherwise("none")
     )
 
@@ -137,10 +140,10 @@ def graduate_reason(rule: Column) -> Column:
     return text
 
 
-def graduate_matches(title: Column, text: Column, rule: Column, words: GraduateWords = GraduateWords()) -> Column:
+def graduate_matches(
+    low_title: Column, low_text: Column, rule: Column, words: GraduateWords = GraduateWords()
+) -> Column:
     """Matched words list by list; a word in two lists appears twice. Empty when excluded by title."""
-    low_title = F.lower(normalize_space(title))
-    low_text = F.lower(normalize_space(F.concat_ws("\n", title, text)))
     found = F.concat(
         words_in(low_title, words.years),
         words_in(low_text, words.schools),

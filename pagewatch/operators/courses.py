@@ -53,6 +53,7 @@ def find_evidence(parsed: DataFrame, words: CourseWords) -> DataFrame:
 
     One row per page with evidence: ``page_url`` and ``evidence(url, departments,
     courses, excerpt)``. Only pages without evidence of their own follow links.
+    ``parsed`` is read more than once, so pass stored pages.
     """
     own = page_evidence(parsed, words)
     found = own.select(

@@ -39,11 +39,13 @@ def delivery_outcomes(events: DataFrame) -> DataFrame:
     """
     keys = ["delivery_id"]
     kind = F.col("event")
-    layout = sorted_ranges(events, keys, list(ORDER))
-    entered = with_last_before(layout, keys, {"_entered": F.when(kind != "resolve", F.lit(True))})
-    void = (kind == "resolve") & F.col("_entered").isNull()
+    at = F.struct(*ORDER)
+    # A resolve counts once something else happened to the id.
+    entries = events.where(kind != "resolve").groupBy(*keys).agg(F.min(at).alias("_entry"))
+    void = (kind == "resolve") & ~F.coalesce(at > F.col("_entry"), F.lit(False))
+    known = events.join(entries, keys, "left").withColumn("_void", void).drop("_entry")
     traced = with_last_before(
-        entered.withColumn("_void", void),
+        sorted_ranges(known, keys, list(ORDER)),
         keys,
         {
             "_set": F.when((kind != "begin") & ~F.col("_void"), F.col("status")),
@@ -60,7 +62,7 @@ def delivery_outcomes(events: DataFrame) -> DataFrame:
         .otherwise("accepted")
     )
     marked = traced.withColumn("status_before", before).withColumn("outcome", outcome)
-    return drop_layout(marked).drop("_entered", "_void", "_set", "_kind")
+    return drop_layout(marked).drop("_void", "_set", "_kind")
 
 
 def delivery_state(events: DataFrame) -> DataFrame:

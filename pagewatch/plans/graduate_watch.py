@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pagewatch import fixed_values as fv
 from pagewatch.durable import stored
 from pagewatch.functions import rules
-from pagewatch.functions.text import any_word
+from pagewatch.functions.staging import computed_once
+from pagewatch.functions.text import any_word, normalize_space
 from pagewatch.operators import attachments as att
 from pagewatch.operators import changes, dedupe, details, health
 from pagewatch.plans import course_watch
@@ -16,15 +17,22 @@ from pagewatch.sources.config import active_boards
 
 def rule_graded(notices: DataFrame, text: Column, words: rules.GraduateWords = rules.GraduateWords()) -> DataFrame:
     """Add grade, matched words and reason; standing pages may have any title."""
-    title, strict = F.col("title"), ~F.col("is_direct")
-    ruled = notices.withColumn("_rule", rules.graduate_rule(title, text, strict, words))
+    lowered = computed_once(
+        notices.withColumn("_whole", F.concat_ws("\n", F.col("title"), text)),
+        {
+            "_low_title": F.lower(normalize_space(F.col("title"))),
+            "_low_text": F.lower(normalize_space(F.col("_whole"))),
+        },
+    ).drop("_whole")
+    title, low_text = F.col("_low_title"), F.col("_low_text")
+    ruled = computed_once(lowered, {"_rule": rules.graduate_rule(title, low_text, ~F.col("is_direct"), words)})
     return ruled.withColumns(
         {
             "grade": rules.graduate_grade(F.col("_rule")),
-            "matched_keywords": rules.graduate_matches(title, text, F.col("_rule"), words),
+            "matched_keywords": rules.graduate_matches(title, low_text, F.col("_rule"), words),
             "reason": rules.graduate_reason(F.col("_rule")),
         }
-    ).drop("_rule")
+    ).drop("_rule", "_low_title", "_low_text")
 
 
 def graduate_items(

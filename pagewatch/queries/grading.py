@@ -394,7 +394,7 @@ _PRIVATE = " OR ".join(f"n BETWEEN {_number(a)} AND {_number(b)}" for a, b in fv
     SELECT l_orderkey, l_linenumber, url, CASE WHEN k IN (2, 3, 4) THEN false WHEN k = 5 THEN true ELSE NOT ({_PRIVATE}) END AS public FROM u""",
 )
 def public_urls(spark, sf_dir):
-    line = t.table(spark, sf_dir, "lineitem")
+    line = t.spread(t.table(spark, sf_dir, "lineitem"))
     k = F.col("l_linenumber") % 7
     h = (F.col("l_partkey") * 2654435761 + F.col("l_suppkey") * 40503 + F.col("l_orderkey") * 7919) % 4294967296
     n = F.when(k == 0, F.lit(167772160) + h % 16777216).when(k == 1, F.lit(3232235520) + h % 65536).otherwise(h)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagewatch import fixed_values as fv
+from pagewatch.durable import stored
 from pagewatch.functions.urls import looks_like_notice
 from pagewatch.operators import attachments, courses, details, links, page_parse
 from pagewatch.queries import tables as t
@@ -287,7 +288,7 @@ def course_signals(spark, sf_dir):
     ),
 )
 def course_evidence(spark, sf_dir):
-    parsed = page_parse.parse_pages(_course_pages(spark, sf_dir))
+    parsed = stored(page_parse.parse_pages(_course_pages(spark, sf_dir)))
     found = courses.find_evidence(parsed, COURSES)
     return found.select(
         "page_url", "evidence.url", F.array_join("evidence.departments", ",").alias("departments"),
@@ -313,7 +314,7 @@ _NAMED = ", ".join(f"CASE WHEN contains(' ' || i.title, '{w}') THEN '{w}' END" f
     ),
 )
 def enriched_notices(spark, sf_dir):
-    evidence = courses.find_evidence(page_parse.parse_pages(_course_pages(spark, sf_dir)), COURSES)
+    evidence = courses.find_evidence(stored(page_parse.parse_pages(_course_pages(spark, sf_dir))), COURSES)
     url = F.concat(F.lit(_SITE), (F.col("seq") % 150).cast("string"))
     rows = t.graded(spark, sf_dir).withColumn("url", url)
     done = courses.enrich(rows, t.universities(spark, sf_dir), evidence, COURSES)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagewatch.durable import stored
 from pagewatch.functions import hashing
 from pagewatch.operators import changes, health, outbox, page_state, reports
 from pagewatch.queries import tables as t
@@ -196,7 +197,7 @@ def rows_for_notice_state(spark, sf_dir):
 def graduate_newness(spark, sf_dir):
     from pagewatch.operators.dedupe import item_fingerprint
 
-    rows = t.graded(spark, sf_dir)
+    rows = stored(t.graded(spark, sf_dir).drop("body_text"))
     old_date = F.when(F.col("seq") % 2 == 0, F.col("notice_date")).otherwise("x")
     before = rows.where("grade <> 'B'").withColumn("notice_date", old_date)
     seen = (

@@ -118,7 +118,7 @@ def list_cells(spark, sf_dir):
 # ----------------------------------------------------------------- dates
 def _period_line(spark, sf_dir):
     """Order dates as application periods in several spellings (dates moved 25 years on)."""
-    o = t.table(spark, sf_dir, "orders")
+    o = t.spread(t.table(spark, sf_dir, "orders"))
     start = F.to_date(F.add_months("o_orderdate", 300))
     end = F.date_add(start, (F.col("o_orderkey") % 40).cast("int") - 3)
     full, short = F.date_format(start, "yyyy-MM-dd"), F.date_format(end, "MM.dd")
