@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pagewatch import fixed_values as fv, schemas
 from pagewatch.functions.scoring import MAX_VOCABULARY, Vocabulary, Word
 
-CORRUPT = "_corrupt"
-
 
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
@@ -21,15 +19,12 @@ def path_missing(error: AnalysisException) -> bool:
 
 def read_tolerant_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """JSON where invalid records and a missing file count as nothing."""
-    with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    reader = spark.read.schema(with_corrupt).option("multiLine", True).option("mode", "PERMISSIVE")
     try:
-        rows = reader.option("columnNameOfCorruptRecord", CORRUPT).json(path)
+        return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
     except AnalysisException as error:
         if path_missing(error):
             return empty(spark, schema)
         raise
-    return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 
 def read_universities(spark: SparkSession, path: str, region: str | None = None) -> DataFrame:
