@@ -64,15 +64,18 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
         [T.StructField(f"{f}_{p}", T.MapType(T.StringType(), T.IntegerType())) for f, p in groups]
     )
     raw = spark.read.schema(schema).option("multiLine", True).json(path)
-    parts = [
-        F.transform(
-            F.map_entries(F.coalesce(F.col(f"{f}_{p}"), F.create_map().cast("map<string,int>"))),
-            lambda e, f=f, p=p: F.struct(
-                F.lit(f).alias("family"), F.lit(p).alias("polarity"), e["key"].alias("word"), e["value"].alias("points")
+
+    def entries(family: str, polarity: str):
+        words = F.coalesce(F.col(f"{family}_{polarity}"), F.create_map().cast("map<string,int>"))
+        return F.transform(
+            F.map_entries(words),
+            lambda e: F.struct(
+                F.lit(family).alias("family"), F.lit(polarity).alias("polarity"),
+                e["key"].alias("word"), e["value"].alias("points"),
             ),
         )
-        for f, p in groups
-    ]
+
+    parts = [entries(f, p) for f, p in groups]
     return raw.select(F.posexplode(F.concat(*parts)).alias("ord", "w")).select("w.*", "ord")
 
 

@@ -215,7 +215,7 @@ def test_image_texts_can_regrade(spark):
 
     none = []
     notices = spark.createDataFrame(
-        [(1, "한국대", "공지", "시간제등록", "u1", "2026-06-12", "성인학습자", none, ["i1"]),
+        [(1, "한국대", "공지", "시간제등록생", "u1", "2026-06-12", "성인학습자", none, ["i1"]),
          (2, "한국대", "공지", "캠프", "u2", "2026-06-12", "", none, ["i1"])],
         "seq long, university_name string, board_type string, title string, url string, notice_date string, body_text string, "
         "attachment_urls array<string>, image_urls array<string>",
