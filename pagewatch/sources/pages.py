@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagewatch import schemas
+from pagewatch.operators.ordering import spread
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.PAGES).parquet(path)
+    return spread(spark.read.schema(schemas.PAGES).parquet(path))
 
 
 def stream_pages(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
