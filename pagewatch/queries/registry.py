@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from pagewatch.shipping import ship
 
+ship()
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -16,12 +16,7 @@ SQL: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(run: Query) -> Query:
-        @functools.wraps(run)
-        def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship(spark)
-            return run(spark, sf_dir)
-
-        QUERIES[name] = shipped
+        QUERIES[name] = run
         if sql is not None:
             SQL[name] = sql
         return run

@@ -1,30 +1,16 @@
-"""Make this package importable on the executors of a running session."""
+"""Make this package's Python jobs run where the package is not installed."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
+import sys
 
-from pyspark.sql import SparkSession
+from pyspark import cloudpickle
 
-_PACKAGE = os.path.dirname(os.path.abspath(__file__))
-_SHIPPED: set[str] = set()
 
+def ship() -> None:
+    """Send the package's functions and classes with each job instead of by name.
 
-def ship(spark: SparkSession) -> None:
-    """Add the package to the session's Python files, once per application.
-
-    ``spark-submit --py-files`` does the same before the start.
+    Covers executors and the worker that plans stateful streams. Not needed where
+    the package is installed on all machines or passed with ``--py-files``.
     """
-    application = spark.sparkContext.applicationId
-    if application in _SHIPPED:
-        return
-    archive = os.path.join(tempfile.mkdtemp(prefix="pagewatch-"), "pagewatch.zip")
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as bundle:
-        for folder, _, names in os.walk(_PACKAGE):
-            for name in sorted(n for n in names if n.endswith(".py")):
-                path = os.path.join(folder, name)
-                bundle.write(path, os.path.relpath(path, os.path.dirname(_PACKAGE)))
-    spark.sparkContext.addPyFile(archive)
-    _SHIPPED.add(application)
+    cloudpickle.register_pickle_by_value(sys.modules["pagewatch"])

@@ -14,6 +14,5 @@ from tests.session import session  # noqa: E402
 def spark():
     from pagewatch.shipping import ship
 
-    found = session()
-    ship(found)
-    return found
+    ship()
+    return session()
