@@ -153,7 +153,6 @@ DISCOVERED_LINKS = 20
 ATTACHMENT_BYTES = 8_000_000
 ARCHIVE_ENTRY_BYTES = 16_000_000
 ARCHIVE_TOTAL_BYTES = 64_000_000
-ATTACHMENT_CHARS = 12_000
 
 # Orders and field lists
 GRADE_ORDER = ("A", "B", "C", "D")

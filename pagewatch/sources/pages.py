@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagewatch import schemas
@@ -26,5 +28,5 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
 def read_attachments(spark: SparkSession, path: str, base_url: str) -> DataFrame:
     """Attachment files with the url they were fetched from (``base_url`` + path below ``path``)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    below = F.regexp_replace("path", "^.*?" + path.strip("/") + "/", "")
+    below = F.regexp_replace("path", "^.*?" + re.escape(path.strip("/")) + "/", "")
     return files.select(F.concat(F.lit(base_url.rstrip("/") + "/"), below).alias("url"), "length", "content")
