@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pagewatch.llm import exact, mixing, simhash
+from pagewatch.llm import bpe, exact, id_files, mixing, quality, simhash
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op4_bpe_round_trip": bpe.op4_bpe_round_trip,
     "op6_exact_dedup": exact.op6_exact_dedup,
     "op7_simhash_dedup": simhash.op7_simhash_dedup,
+    "op9_token_id_files": id_files.op9_token_id_files,
+    "op10_quality_rules": quality.op10_quality_rules,
 }
 
 SQL = {
