@@ -20,6 +20,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -255,8 +256,6 @@ def graded(docs: DataFrame, trees: Trees | None, doc_id: str = "doc_id", text: s
 
 def keep_good(docs: DataFrame, trees: Trees | None, text: str = "text") -> DataFrame:
     """The documents that pass, with all their columns; only the text goes to Python."""
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def passes(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         of = verdict_of(trees)

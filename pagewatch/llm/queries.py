@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pagewatch.llm import bpe, exact, id_files, mixing, quality, simhash
+from pagewatch.llm import bpe, exact, id_files, mixing, quality, simhash, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op3_warc": warc.op3_warc,
     "op4_bpe_round_trip": bpe.op4_bpe_round_trip,
     "op6_exact_dedup": exact.op6_exact_dedup,
     "op7_simhash_dedup": simhash.op7_simhash_dedup,
@@ -15,5 +16,6 @@ QUERIES = {
 
 SQL = {
     "op1_mixing": mixing.SQL,
+    "op3_warc": warc.SQL,
     "op6_exact_dedup": exact.SQL,
 }
