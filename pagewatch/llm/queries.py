@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pagewatch.llm import bpe, exact, id_files, mixing, quality, simhash, warc
+from pagewatch.llm import bpe, exact, id_files, language, mixing, quality, secret_scan, simhash, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_language_id": language.op2_language_id,
     "op3_warc": warc.op3_warc,
     "op4_bpe_round_trip": bpe.op4_bpe_round_trip,
     "op6_exact_dedup": exact.op6_exact_dedup,
     "op7_simhash_dedup": simhash.op7_simhash_dedup,
+    "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_token_id_files": id_files.op9_token_id_files,
     "op10_quality_rules": quality.op10_quality_rules,
 }
