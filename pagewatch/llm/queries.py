@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pagewatch.llm import bpe, exact, id_files, language, mixing, quality, secret_scan, simhash, warc
+from pagewatch.llm import bpe, exact, id_files, language, mixing, quality, secret_scan, simhash, warc, wrappers
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_language_id": language.op2_language_id,
     "op3_warc": warc.op3_warc,
     "op4_bpe_round_trip": bpe.op4_bpe_round_trip,
+    "op5_html_text": wrappers.op5_html_text,
     "op6_exact_dedup": exact.op6_exact_dedup,
     "op7_simhash_dedup": simhash.op7_simhash_dedup,
     "op8_secret_scan": secret_scan.op8_secret_scan,
