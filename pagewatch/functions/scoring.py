@@ -8,11 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagewatch import fixed_values as fv
-from pagewatch.functions.staging import computed_once
-from pagewatch.functions.text import contains_any
-
-MAX_VOCABULARY = 5_000
-
+from pagewatch.functions.staging import bind, computed_once
+from pagewatch.functions.text import FLAT_WORDS, any_of, contains_any, literal, total_of, word_flags
 
 @dataclass(frozen=True)
 class Word:
@@ -24,14 +21,10 @@ class Word:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Weighted words in configuration order; small by contract, so it travels as literals."""
+    """Weighted words in configuration order. Configuration, so it travels as literals."""
 
     words: tuple[Word, ...]
 
-    def __post_init__(self) -> None:
-        if len(self.words) > MAX_VOCABULARY:
-            raise ValueError(f"vocabulary has {len(self.words)} words, limit is {MAX_VOCABULARY}")
-
     @classmethod
     def from_maps(cls, maps: dict[str, dict[str, int]]) -> "Vocabulary":
         """From ``{"registration_positive": {word: points}, ...}``."""
@@ -50,59 +43,72 @@ class Vocabulary:
 def keyword_flags(lowered: Column, vocabulary: Vocabulary) -> Column:
     """One boolean per vocabulary entry: is its word a substring of the lower-cased text?
 
-    A flat array of ``contains`` calls stays inside generated code and needs
-    neither a join nor a shuffle; scores and words are then read off the flags.
+    Needs neither a join nor a shuffle; scores and words are then read off the flags.
     """
-    if not vocabulary.words:
-        return F.array().cast("array<boolean>")
-    return F.array(*[F.contains(lowered, F.lit(w.word.lower())) for w in vocabulary.words])
+    return word_flags(lowered, [w.word.lower() for w in vocabulary.words])
+
+
+def _flat(vocabulary: Vocabulary) -> bool:
+    return len(vocabulary.words) <= FLAT_WORDS
 
 
 def _points(flags: Column, vocabulary: Vocabulary, entries: list[int]) -> Column:
-    total = F.lit(0)
-    for i in entries:
-        total = total + F.when(flags[i], vocabulary.words[i].points).otherwise(0)
-    return total
+    if _flat(vocabulary):
+        return total_of([F.when(flags[i], vocabulary.words[i].points).otherwise(0) for i in entries])
+    own = set(entries)
+    points = literal([w.points if i in own else 0 for i, w in enumerate(vocabulary.words)], "int")
+    hit = F.zip_with(flags, points, lambda flag, p: F.when(flag, p).otherwise(0))
+    return F.aggregate(hit, F.lit(0), lambda total, p: total + p)
 
 
-def _any_flag(flags: Column, entries: list[int]) -> Column:
-    hit = F.lit(False)
-    for i in entries:
-        hit = hit | flags[i]
-    return hit
+def _any_flag(flags: Column, vocabulary: Vocabulary, entries: list[int]) -> Column:
+    if _flat(vocabulary):
+        return any_of([flags[i] for i in entries])
+    return F.exists(literal(entries, "int"), lambda i: F.get(flags, i))
 
 
 def family_score(flags: Column, vocabulary: Vocabulary, family: str, positive_wins: bool = False) -> Column:
     positive, negative = vocabulary.indexes(family, "positive"), vocabulary.indexes(family, "negative")
     penalty = _points(flags, vocabulary, negative)
     if positive_wins:
-        penalty = F.when(_any_flag(flags, positive), 0).otherwise(penalty)
+        penalty = F.when(_any_flag(flags, vocabulary, positive), 0).otherwise(penalty)
     return _points(flags, vocabulary, positive) + penalty
 
 
 def matched_words(flags: Column, vocabulary: Vocabulary, winners: Sequence[str] = ("computer",)) -> Column:
     """Distinct words found, family by family; negatives a positive hit overrules are left out."""
-    found = []
+    entries, overruled = [], {}
     for family in fv.FAMILIES:
         positive, negative = vocabulary.indexes(family, "positive"), vocabulary.indexes(family, "negative")
-        found += [F.when(flags[i], vocabulary.words[i].word) for i in positive]
-        overruled = _any_flag(flags, positive) if family in winners else F.lit(False)
-        found += [F.when(flags[i] & ~overruled, vocabulary.words[i].word) for i in negative]
-    if not found:
+        entries += [(i, "") for i in positive] + [(i, family if family in winners else "") for i in negative]
+        overruled[family] = _any_flag(flags, vocabulary, positive) if family in winners else F.lit(False)
+    if not entries:
         return F.array().cast("array<string>")
-    return F.array_distinct(F.array_compact(F.array(*found)))
+    words = [vocabulary.words[i].word for i, _ in entries]
+    if _flat(vocabulary):
+        found = [
+            F.when(flags[i] & ~overruled[family] if family else flags[i], word)
+            for (i, family), word in zip(entries, words, strict=True)
+        ]
+        return F.array_distinct(F.array_compact(F.array(*found)))
+    listed = literal(
+        [{"i": i, "w": word, "f": family} for (i, family), word in zip(entries, words, strict=True)],
+        "struct<i:int,w:string,f:string>",
+    )
+    loses = F.array(*[F.when(overruled[family], F.lit(family)) for family in fv.FAMILIES])
+
+    def counts(entry: Column, lost: Column) -> Column:
+        return F.get(flags, entry["i"]) & ~F.coalesce(F.array_contains(lost, entry["f"]), F.lit(False))
+
+    found = bind(F.array_compact(loses), lambda lost: F.filter(listed, lambda entry: counts(entry, lost)))
+    return F.array_distinct(F.transform(found, lambda entry: entry["w"]))
 
 
 def keyword_hits_long(df: DataFrame, vocabulary: Vocabulary, key: str, text: Column) -> DataFrame:
     """One row per (notice, vocabulary entry) hit."""
-    names = F.array(
-        *[
-            F.struct(
-                F.lit(w.family).alias("family"), F.lit(w.polarity).alias("polarity"),
-                F.lit(w.word).alias("word"), F.lit(w.points).alias("points"),
-            )
-            for w in vocabulary.words
-        ]
+    names = literal(
+        [{"family": w.family, "polarity": w.polarity, "word": w.word, "points": w.points} for w in vocabulary.words],
+        "struct<family:string,polarity:string,word:string,points:int>",
     )
     lowered = computed_once(df.select(key, text.alias("_lower")), {"_lower": F.lower("_lower")})
     flagged = lowered.select(key, keyword_flags(F.col("_lower"), vocabulary).alias("_flags"))

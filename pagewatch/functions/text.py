@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import operator
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -34,26 +36,63 @@ def any_word(text: Column, words: Sequence[str]) -> Column:
     return text.rlike("|".join(re.escape(word) for word in words))
 
 
+#: Lists up to this length become one generated test per word; longer ones are walked as one literal
+#: array, so that the plan stays small. The values are the same.
+FLAT_WORDS = 128
+
+
+def literal(values: Sequence, kind: str) -> Column:
+    """A literal array of any length: one constant, however many elements it has."""
+    return F.from_json(F.lit(json.dumps(list(values), ensure_ascii=False)), f"array<{kind}>")
+
+
+def word_flags(text: Column, words: Sequence[str]) -> Column:
+    """Per word: is it a substring of ``text``?"""
+    if not words:
+        return F.array().cast("array<boolean>")
+    if len(words) <= FLAT_WORDS:
+        return F.array(*[F.contains(text, F.lit(w)) for w in words])
+    return F.transform(literal(words, "string"), lambda w: F.contains(text, w))
+
+
 def contains_any(text: Column, words: Sequence[str]) -> Column:
-    """Like ``any_word`` for a plain column and a short list, without a regex."""
-    hit = F.lit(False)
-    for word in words:
-        hit = hit | F.contains(text, F.lit(word))
-    return hit
+    """Like ``any_word`` for a plain column, without a regex."""
+    if not words:
+        return F.lit(False)
+    if len(words) <= FLAT_WORDS:
+        return any_of([F.contains(text, F.lit(w)) for w in words])
+    return F.exists(literal(words, "string"), lambda w: F.contains(text, w))
 
 
 def words_in(text: Column, words: Sequence[str]) -> Column:
     """The words found in ``text``, in list order."""
     if not words:
         return F.array().cast("array<string>")
-    return F.array_compact(F.array(*[F.when(F.contains(text, F.lit(w)), F.lit(w)) for w in words]))
+    if len(words) <= FLAT_WORDS:
+        return F.array_compact(F.array(*[F.when(F.contains(text, F.lit(w)), F.lit(w)) for w in words]))
+    return F.filter(literal(words, "string"), lambda w: F.contains(text, w))
 
 
 def count_words(text: Column, words: Sequence[str]) -> Column:
-    total = F.lit(0)
-    for word in words:
-        total = total + F.contains(text, F.lit(word)).cast("int")
-    return total
+    if len(words) <= FLAT_WORDS:
+        return total_of([F.contains(text, F.lit(w)).cast("int") for w in words])
+    return F.size(words_in(text, words))
+
+
+def _halves(terms: Sequence[Column], join: Callable[[Column, Column], Column]) -> Column:
+    """Terms joined as a balanced tree: the nesting grows with the logarithm of their number."""
+    if len(terms) == 1:
+        return terms[0]
+    middle = len(terms) // 2
+    return join(_halves(terms[:middle], join), _halves(terms[middle:], join))
+
+
+def total_of(terms: Sequence[Column]) -> Column:
+    return _halves(terms, operator.add) if terms else F.lit(0)
+
+
+def any_of(conditions: Sequence[Column]) -> Column:
+    return _halves(conditions, operator.or_) if conditions else F.lit(False)
 
 
 def distinct_in_order(values: Column) -> Column:

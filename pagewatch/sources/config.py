@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from pagewatch import fixed_values as fv, schemas
-from pagewatch.functions.scoring import MAX_VOCABULARY, Vocabulary, Word
+from pagewatch.functions.scoring import Vocabulary, Word
 
 
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
@@ -80,6 +80,6 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def vocabulary(rows: DataFrame) -> Vocabulary:
-    """The vocabulary as plan literals; refuses tables beyond the vocabulary limit."""
-    found = rows.orderBy("ord").limit(MAX_VOCABULARY + 1).collect()
+    """The vocabulary, which is configuration, as plan literals."""
+    found = rows.orderBy("ord").collect()
     return Vocabulary(tuple(Word(r.family, r.polarity, r.word, r.points) for r in found))
