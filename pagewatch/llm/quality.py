@@ -213,16 +213,17 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     )
 
 
-def verdict_of(trees: Trees | None):
-    """The row function: text to counts, base verdict, score and final verdict."""
-
-    def of(text: str | None) -> tuple:
-        counts, features = statistics(text)
-        failed = base_failed(counts[0], counts[4])
-        score = 1.0 if trees is None else float(trees.score(np.array([features]))[0])
-        return (*counts, failed, not failed and (trees is None or score >= trees.threshold), score)
-
-    return of
+def judged(texts: list[str | None], trees: Trees | None) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, base verdicts, scores and final verdicts of a block of texts; the trees score the block at once."""
+    found = [statistics(t) for t in texts]
+    counts = [c for c, _ in found]
+    failed = np.array([base_failed(c[0], c[4]) for c in counts], bool)
+    if trees is None or not found:
+        score, good = np.ones(len(found)), np.ones(len(found), bool)
+    else:
+        score = trees.score(np.array([f for _, f in found]))
+        good = score >= trees.threshold
+    return counts, failed, score, good & ~failed
 
 
 def graded(docs: DataFrame, trees: Trees | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -240,15 +241,9 @@ def graded(docs: DataFrame, trees: Trees | None, doc_id: str = "doc_id", text: s
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                stats = [statistics(t) for t in part.column(1).to_pylist()]
-                counts = list(zip(*(c for c, _ in stats), strict=True))
-                failed = np.array([base_failed(c[0], c[4]) for c, _ in stats])
-                if trees is None:
-                    score, good = np.ones(len(stats)), np.ones(len(stats), bool)
-                else:
-                    score = trees.score(np.array([f for _, f in stats]))
-                    good = score >= trees.threshold
-                arrays = [part.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(failed), pa.array(good & ~failed), pa.array(score)]
+                counts, failed, score, kept = judged(part.column(1).to_pylist(), trees)
+                columns = [pa.array(c, pa.int64()) for c in zip(*counts, strict=True)]
+                arrays = [part.column(0), *columns, pa.array(failed), pa.array(kept), pa.array(score)]
                 yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, arrow, strict=True)], schema=arrow)
 
     return docs.select(doc_id, text).mapInArrow(run, schema)
@@ -258,9 +253,10 @@ def keep_good(docs: DataFrame, trees: Trees | None, text: str = "text") -> DataF
     """The documents that pass, with all their columns; only the text goes to Python."""
     @F.pandas_udf("boolean")
     def passes(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        of = verdict_of(trees)
         for block in texts:
-            yield pd.Series([of(None if t is None else str(t))[6] for t in block], dtype=bool)
+            words = [None if t is None else str(t) for t in block]
+            kept = [k for at in range(0, len(words), 512) for k in judged(words[at : at + 512], trees)[3].tolist()]
+            yield pd.Series(kept, dtype=bool)
 
     return docs.filter(passes(F.col(text)))
 
