@@ -96,7 +96,7 @@ def portal_grade(
 
 @dataclass(frozen=True)
 class GraduateWords:
-    """Word lists of the graduate rules; defaults are the fixed Korean lists."""
+    """Word lists of the graduate rules, compared without case; defaults are the fixed Korean lists."""
 
     years: tuple[str, ...] = fv.YEAR_WORDS
     schools: tuple[str, ...] = fv.SCHOOL_WORDS
@@ -107,6 +107,11 @@ class GraduateWords:
     excluded_titles: tuple[str, ...] = fv.EXCLUDED_TITLE_WORDS
     terms: tuple[str, ...] = fv.TERM_WORDS
 
+    def __post_init__(self) -> None:
+        for name, value in list(vars(self).items()):
+            low = value.lower() if isinstance(value, str) else tuple(word.lower() for word in value)
+            object.__setattr__(self, name, low)
+
 
 def graduate_rule(
     low_title: Column, low_text: Column, strict_title: Column, words: GraduateWords = GraduateWords()

@@ -26,19 +26,25 @@ def wanted_attachments(notices: DataFrame) -> DataFrame:
     )
 
 
-def typed_files(files: DataFrame, headers: DataFrame | None = None) -> DataFrame:
-    """Files (url, length, content) with their type; too large ones and archives are left out.
+def typed_files(files: DataFrame, headers: DataFrame | None = None, max_bytes: int | None = None) -> DataFrame:
+    """Files (url, length, content) with their type and, for files over ``max_bytes``, why they are refused.
 
-    The size test is a plain filter on ``length``, so a binaryFile scan skips the bytes.
+    A refused file keeps its row and loses its content.
     """
-    small = files.where(F.col("length") <= fv.ATTACHMENT_BYTES)
     if headers is None:
         none = F.lit("")
-        return small.withColumn("suffix", detect_suffix(F.col("url"), none, none)).where("suffix <> '.zip'")
-    rows = small.join(headers, "url", "left")
-    suffix = detect_suffix(F.col("url"), F.col("content_disposition"), F.col("content_type"))
-    return (
-        rows.withColumn("suffix", suffix).where("suffix <> '.zip'").drop("content_disposition", "content_type")
+        rows = files.withColumn("suffix", detect_suffix(F.col("url"), none, none))
+    else:
+        suffix = detect_suffix(F.col("url"), F.col("content_disposition"), F.col("content_type"))
+        rows = files.join(headers, "url", "left").withColumn("suffix", suffix).drop("content_disposition", "content_type")
+    if max_bytes is None:
+        return rows.withColumn("refused", F.lit(None).cast("string"))
+    large = F.col("length") > max_bytes
+    return rows.withColumns(
+        {
+            "refused": F.when(large, F.format_string(f"%d bytes, over {max_bytes}", "length")),
+            "content": F.when(~large, F.col("content")),
+        }
     )
 
 
@@ -47,11 +53,7 @@ def _local(tag: str) -> str:
 
 
 def _open_archive(content: bytes) -> zipfile.ZipFile:
-    archive = zipfile.ZipFile(io.BytesIO(content))
-    sizes = [entry.file_size for entry in archive.infolist()]
-    if max(sizes, default=0) > fv.ARCHIVE_ENTRY_BYTES or sum(sizes) > fv.ARCHIVE_TOTAL_BYTES:
-        raise ValueError("archive expands beyond the limit")
-    return archive
+    return zipfile.ZipFile(io.BytesIO(content))
 
 
 def docx_text(content: bytes) -> str:
@@ -108,23 +110,37 @@ def hwpx_text(content: bytes) -> str:
 CODECS: dict[str, Callable[[bytes], str]] = {".docx": docx_text, ".xlsx": xlsx_text, ".hwpx": hwpx_text}
 
 
-def extract_texts(files: DataFrame, codecs: dict[str, Callable[[bytes], str]] = CODECS) -> DataFrame:
-    """Text of every file (url, suffix, content); a broken file yields blank text and its error."""
+def extract_texts(
+    files: DataFrame, codecs: dict[str, Callable[[bytes], str]] = CODECS, max_expanded: int | None = None
+) -> DataFrame:
+    """Text of every file (url, suffix, content); a file without text has the reason in ``error``.
+
+    ``max_expanded`` refuses archives whose entries would take more bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(n, pa.string()) for n in ("url", "content_hash", "text", "error")])
         for batch in batches:
             for row in batch.to_pylist():
-                text, error = "", None
+                text, error = "", row["refused"]
                 try:
                     codec = codecs.get(row["suffix"])
-                    text = codec(row["content"]) if codec else ""
+                    if error is None and codec is None:
+                        error = f"no reader for {row['suffix'] or 'files without a type'}"
+                    elif error is None:
+                        content = row["content"] or b""
+                        if max_expanded is not None:
+                            with _open_archive(content) as archive:
+                                if (size := sum(e.file_size for e in archive.infolist())) > max_expanded:
+                                    raise ValueError(f"{size} bytes when expanded, over {max_expanded}")
+                        text = codec(content)
                 except Exception as exc:  # one broken file must not fail the job
                     error = f"{type(exc).__name__}: {exc}"
                 out = {"url": row["url"], "content_hash": row["content_hash"], "text": text, "error": error}
                 yield pa.RecordBatch.from_pylist([out], schema=schema)
 
-    hashed = files.select("url", "suffix", content_hash(F.col("content")).alias("content_hash"), "content")
+    refused = F.col("refused") if "refused" in files.columns else F.lit(None).cast("string").alias("refused")
+    hashed = files.select("url", "suffix", content_hash(F.col("content")).alias("content_hash"), "content", refused)
     return hashed.mapInArrow(run, EXTRACTED_DDL)
 
 
@@ -148,7 +164,9 @@ def with_attachment_texts(notices: DataFrame, texts: DataFrame, key: str = "seq"
     The list regrouped per notice is the notice's own array, never more.
     """
     order = notices.select(key, F.posexplode(F.array_distinct("attachment_urls")).alias("pos", "url"))
-    found = order.join(texts.select("url", "text").dropDuplicates(["url"]), "url")
+    # of several texts of one url the longest counts, of equally long ones the last in order
+    one = texts.groupBy("url").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
+    found = order.join(one, "url")
     if not keep_blank:
         found = found.where(F.coalesce("text", F.lit("")) != "")
     lists = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "url", "text"))).alias("_found"))

@@ -52,11 +52,18 @@ def mark_changes(items: DataFrame, state: DataFrame, seen: DataFrame) -> DataFra
     State and seen hold one row per url, so a hot url is skewed on the item side
     only, which adaptive execution splits.
     """
+    return mark_run(items, state, seen, keep_is_new=True)
+
+
+def mark_run(items: DataFrame, state: DataFrame, seen: DataFrame, keep_is_new: bool = False) -> DataFrame:
+    """``is_new``, ``change_type`` and ``previous_grade`` from one look at the seen keys and one at the state."""
     compared = ("content_fingerprint", "grade", "deadline_status")
     previous = state.where(F.col("url") != "").select(
         "url", F.lit(True).alias("_has"), *[F.col(c).alias(f"_p_{c}") for c in compared]
     )
     rows = _flag_known(items.drop("change_type", "previous_grade"), seen, "url", "_known")
+    if not keep_is_new:
+        rows = rows.withColumn("is_new", ~F.col("_known"))
     rows = rows.join(previous, "url", "left")
     return rows.withColumns(
         {

@@ -1,4 +1,4 @@
-"""Course evidence: pages that name courses, reached from a homepage or the notice itself."""
+"""Course evidence: homepages and notice pages that name courses."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pagewatch import fixed_values as fv
 from pagewatch.functions.staging import computed_once
 from pagewatch.functions.text import any_word, normalize_space, truncate, words_in
-from pagewatch.functions.urls import is_public_http_url, resolve_reference
+from pagewatch.functions.urls import is_public_http_url
 
 
 @dataclass(frozen=True)
@@ -35,7 +35,7 @@ def page_evidence(parsed: DataFrame, words: CourseWords) -> DataFrame:
     """What a page itself says: signal, courses, departments and an excerpt. Texts go no further."""
     text = normalize_space(F.col("page_text"))
     rows = parsed.where(F.col("parse_error").isNull() & is_public_http_url(F.col("url")))
-    return (
+    found = (
         computed_once(rows.select("url", "page_text"), {"_text": text})
         .where(has_course_signal(F.col("_text"), words))
         .select(
@@ -44,54 +44,54 @@ def page_evidence(parsed: DataFrame, words: CourseWords) -> DataFrame:
             matched_courses(F.col("_text"), words).alias("courses"),
             truncate(F.col("_text"), fv.EVIDENCE_CHARS).alias("excerpt"),
         )
-        .dropDuplicates(["url"])
     )
+    # of several pages of one url the greatest in field order counts
+    return found.groupBy("url").agg(F.max(F.struct("departments", "courses", "excerpt")).alias("e")).select("url", "e.*")
 
 
 def find_evidence(parsed: DataFrame, words: CourseWords) -> DataFrame:
-    """Per page: its own evidence, else that of the first linked page whose link label asks for it.
+    """One row per page with evidence: ``page_url`` and ``evidence(url, departments, courses, excerpt)``.
 
-    One row per page with evidence: ``page_url`` and ``evidence(url, departments,
-    courses, excerpt)``. Only pages without evidence of their own follow links.
-    ``parsed`` is read more than once, so pass stored pages.
+    A page whose link labels ask for courses has that label in its own text, so
+    it is evidence itself and no link has to be followed.
     """
     own = page_evidence(parsed, words)
-    found = own.select(
-        F.col("url").alias("page_url"), F.lit(-1).alias("_pos"), F.struct(*own.columns).alias("evidence")
-    )
-    links = parsed.where(F.col("parse_error").isNull() & is_public_http_url(F.col("url"))).select(
-        F.col("url").alias("page_url"), F.posexplode("links").alias("_pos", "_link")
-    )
-    links = links.join(own.select(F.col("url").alias("page_url")), "page_url", "left_anti")
-    targets = (
-        links.where(any_word(normalize_space(F.col("_link.text")), words.searches))
-        .select("page_url", "_pos", resolve_reference(F.col("page_url"), F.col("_link.href")).alias("url"))
-        .where(is_public_http_url(F.col("url")))
+    return own.select(F.col("url").alias("page_url"), F.struct(*own.columns).alias("evidence"))
+
+
+def _searched(items: DataFrame, universities: DataFrame) -> DataFrame:
+    """Items with the pages to search for evidence: ``_home`` and ``_self``, null where none is wanted."""
+    domains = universities.select(
+        F.col("name").alias("university_name"), F.get("domains", F.lit(0)).alias("_domain")
     )
-    linked = targets.join(own, "url").select("page_url", "_pos", F.struct(*own.columns).alias("evidence"))
-    return (
-        found.unionByName(linked)
-        .groupBy("page_url")
-        .agg(F.min_by("evidence", "_pos").alias("evidence"))
+    joined = items.join(domains, "university_name", "left")
+    likely = F.col("computer_course_status") == fv.STATUS_LIKELY
+    searched = F.col("grade").isin("A", "B", "C") & ~likely & (F.coalesce("_domain", F.lit("")) != "")
+    return joined.withColumns(
+        {
+            "_home": F.when(searched, F.concat(F.lit("https://www."), "_domain")),
+            "_self": F.when(searched & (F.col("url") != ""), F.col("url")),
+            "_searched": searched,
+        }
     )
 
 
+def wanted_pages(items: DataFrame, universities: DataFrame) -> DataFrame:
+    """Urls of the pages ``enrich`` will ask evidence of."""
+    rows = _searched(items.select("university_name", "computer_course_status", "grade", "url"), universities)
+    return rows.select(F.explode(F.array("_home", "_self")).alias("url")).where(F.col("url").isNotNull()).distinct()
+
+
 def enrich(items: DataFrame, universities: DataFrame, evidence: DataFrame, words: CourseWords) -> DataFrame:
     """Add departments, courses and evidence to A-C rows.
 
     Rows already likely to offer courses only have their title searched. For the
     rest the university's homepage comes before the notice page.
     """
-    domains = universities.select(
-        F.col("name").alias("university_name"), F.get("domains", F.lit(0)).alias("_domain")
-    )
-    joined = items.join(domains, "university_name", "left")
+    joined = _searched(items, universities)
+    searched = F.col("_searched")
     likely = F.col("computer_course_status") == fv.STATUS_LIKELY
     graded = F.col("grade").isin("A", "B", "C")
-    searched = graded & ~likely & (F.coalesce("_domain", F.lit("")) != "")
-    joined = joined.withColumn(
-        "_home", F.when(searched, F.concat(F.lit("https://www."), "_domain"))
-    ).withColumn("_self", F.when(searched & (F.col("url") != ""), F.col("url")))
     home = evidence.select(F.col("page_url").alias("_home"), F.col("evidence").alias("_e0"))
     own = evidence.select(F.col("page_url").alias("_self"), F.col("evidence").alias("_e1"))
     rows = joined.join(home, "_home", "left").join(own, "_self", "left")
@@ -113,4 +113,4 @@ def enrich(items: DataFrame, universities: DataFrame, evidence: DataFrame, words
                 searched & (F.size(F.coalesce(best["courses"], none)) > 0), fv.STATUS_CHECK
             ).otherwise(F.col("computer_course_status")),
         }
-    ).drop("_domain", "_home", "_self", "_e0", "_e1")
+    ).drop("_domain", "_home", "_self", "_searched", "_e0", "_e1")

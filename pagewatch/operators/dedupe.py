@@ -11,9 +11,13 @@ from pagewatch.functions.text import strip
 
 
 def first_per_key(df: DataFrame, key: Column, seq: str = "seq") -> DataFrame:
-    """First row by ``seq`` per key. Copies shrink to one row per task before the shuffle."""
-    best = df.groupBy(key.alias("_key")).agg(F.min_by(F.struct(*df.columns), seq).alias("_row"))
-    return best.select("_row.*")
+    """First row by ``seq`` per key; ``seq`` is unique.
+
+    Only keys and places are grouped, with a hash aggregate that combines in the
+    tasks; the rows are then found by their places.
+    """
+    first = df.groupBy(key.alias("_key")).agg(F.min(seq).alias("_first")).select("_first")
+    return df.join(first, F.col(seq).eqNullSafe(F.col("_first")), "left_semi")
 
 
 def last_per_key(df: DataFrame, key: Column, order: Column) -> DataFrame:

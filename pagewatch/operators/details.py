@@ -24,9 +24,10 @@ def posted_date(meta_dates: Column, date_texts: Column, page_text: Column) -> Co
     return F.coalesce(_first_found(meta_dates), _first_found(date_texts), first_date(labelled))
 
 
-def page_title(title_texts: Column, fallback: Column) -> Column:
+def page_title(title_texts: Column, fallback: Column, most: int | None = None) -> Column:
     named = F.filter(F.transform(title_texts, normalize_space), lambda t: t != "")
-    return F.coalesce(F.left(F.try_element_at(named, F.lit(1)), F.lit(fv.TITLE_CHARS)), fallback)
+    first = F.try_element_at(named, F.lit(1))
+    return F.coalesce(first if most is None else F.left(first, F.lit(most)), fallback)
 
 
 def main_text(body_texts: Column, body_text: Column) -> Column:
@@ -44,7 +45,8 @@ def attachment_urls(page_url: Column, links: Column) -> Column:
     return F.array_distinct(F.filter(targets, lambda u: urls.is_public_http_url(u)))
 
 
-def image_urls(page_url: Column, images: Column) -> Column:
+def image_urls(page_url: Column, images: Column, most: int | None = None) -> Column:
+    """Public content images in page order; all of them unless ``most`` says otherwise."""
     sources = F.transform(
         images,
         lambda i: F.trim(F.coalesce(non_empty(i["src"]), non_empty(i["data_src"]), i["data_original"])),
@@ -53,7 +55,8 @@ def image_urls(page_url: Column, images: Column) -> Column:
         F.filter(sources, lambda s: urls.is_content_image(s)), lambda s: urls.resolve_reference(page_url, s)
     )
     public = F.filter(targets, lambda u: urls.is_public_http_url(u))
-    return F.slice(distinct_in_order(public), 1, fv.MAX_IMAGES)
+    found = distinct_in_order(public)
+    return found if most is None else F.slice(found, 1, most)
 
 
 def crawled_notices(frontier: DataFrame, detail_pages: DataFrame) -> DataFrame:

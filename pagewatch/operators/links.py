@@ -43,7 +43,7 @@ def candidate_links(parsed: DataFrame, board_key: str = "board_idx", keyword_hin
     rows = titled.select(
         board_key,
         "pos",
-        F.left("title", F.lit(fv.TITLE_CHARS)).alias("title"),
+        "title",
         urls.canonical_url(F.col("full_url")).alias("url"),
         first_date(F.col("context_text")).alias("notice_date"),
     )
@@ -73,12 +73,16 @@ def _newest_first(board_key: str) -> Window:
     )
 
 
-def capped_frontier(candidates: DataFrame, board_key: str = "board_idx", cap: int = fv.LINKS_PER_BOARD) -> DataFrame:
-    """The newest ``cap`` candidates of every board, numbered; undated ones come last.
+def capped_frontier(
+    candidates: DataFrame, board_key: str = "board_idx", cap: int | None = fv.LINKS_PER_BOARD
+) -> DataFrame:
+    """The newest ``cap`` candidates of every board, numbered; undated ones come last. Without a cap, all of them.
 
     The cap is the crawler's own limit. Spark applies it before the shuffle
     (window group limit), so a board with very many links sends ``cap`` rows per task.
     """
+    if cap is None:
+        return ordered_candidates(candidates, board_key)
     numbered = candidates.withColumn("board_rank", F.row_number().over(_newest_first(board_key)))
     return numbered.where(F.col("board_rank") <= cap)
 
@@ -110,9 +114,9 @@ def keyword_probe(pages: DataFrame, words: Sequence[str] = fv.PROBE_WORDS) -> Da
 
 def discovered_links(
     parsed: DataFrame, board_key: str = "board_idx",
-    words: Sequence[str] = fv.DISCOVERY_WORDS, cap: int = fv.DISCOVERED_LINKS,
+    words: Sequence[str] = fv.DISCOVERY_WORDS, cap: int = fv.DISCOVERED_LINKS, most: int | None = None,
 ) -> DataFrame:
-    """The first ``cap`` anchors per board whose text or url holds one of ``words``."""
+    """The first ``cap`` anchors per board whose text or url holds one of ``words``; labels whole, or ``most`` characters of them."""
     links = page_links(parsed, [board_key])
     text = normalize_space(F.col("text"))
     target = urls.resolve_reference(F.col("page_url"), F.col("href"))
@@ -121,4 +125,4 @@ def discovered_links(
     )
     order = Window.partitionBy(board_key).orderBy("pos")
     numbered = rows.withColumn("link_rank", F.row_number().over(order)).where(F.col("link_rank") <= cap)
-    return numbered.select(board_key, "link_rank", F.left("text", F.lit(80)).alias("text"), "url")
+    return numbered.select(board_key, "link_rank", "text" if most is None else F.left("text", F.lit(most)).alias("text"), "url")

@@ -17,16 +17,6 @@ from pagewatch.durable import durable
 _ROW_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Use all cores for a costly row-local step over a table of few splits.
-
-    A table with more splits than cores, any large one, is left as it is. Meant
-    for plain scans, whose split count is known without running anything.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.isStreaming or scan.rdd.getNumPartitions() > cores else scan.repartition(cores)
-
-
 def sorted_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Rows in global (keys, order) order with ``_at`` increasing along it and ``_range`` numbering the ranges."""
     columns = [*keys, *order]

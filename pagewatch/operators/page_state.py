@@ -13,15 +13,14 @@ KEPT = ("html", "extracted_text")
 
 
 def page_updates(fetched: DataFrame, seq: str = "seq") -> DataFrame:
-    """Fetched pages as state rows; html above the cache limit is stored as blank."""
-    html = F.when(F.length("html") > fv.CACHED_HTML_CHARS, "").otherwise(F.col("html"))
+    """Fetched pages as state rows, html whole."""
     return fetched.select(
         "url",
         F.coalesce("etag", F.lit("")).alias("etag"),
         F.coalesce("last_modified", F.lit("")).alias("last_modified"),
         content_hash(F.col("content")).alias("content_hash"),
         "checked_at",
-        html.alias("html"),
+        "html",
         "extracted_text",
         seq,
     )

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pagewatch import fixed_values as fv, schemas
 from pagewatch.functions.rules import portal_grade
 from pagewatch.functions.text import any_word, non_empty, normalize_space
+from pagewatch.operators.ordering import drop_layout, sorted_ranges, with_position
 
 
 def portal_rows(
@@ -33,6 +34,12 @@ def portal_rows(
     )
 
 
+def numbered(rows: DataFrame, part: str, place: str) -> DataFrame:
+    """``seq`` from 0 in the order of (part, place): distinct however many files or pages there are."""
+    placed = with_position(sorted_ranges(rows, [part], [place]), "seq")
+    return drop_layout(placed).withColumn("seq", F.col("seq") - 1)
+
+
 def list_portal(parsed: DataFrame, as_of: Column, checked_at: Column, term: str = "") -> DataFrame:
     """Graduate sections of a portal list page; only clearly general graduate schools (A) are kept."""
     links = parsed.select("page_id", F.posexplode("links").alias("pos", "a")).where(
@@ -44,10 +51,9 @@ def list_portal(parsed: DataFrame, as_of: Column, checked_at: Column, term: str
         normalize_space(F.col("a.bare_text")).alias("name"),
         F.col("a.href").alias("href"), F.col("a.icon_title").alias("state"), "page_id", "pos",
     ).where(F.contains("heading", F.lit(fv.PORTAL_SCHOOL)) & F.contains("heading", F.lit(term)))
-    numbered = rows.withColumn("seq", F.col("page_id") * 100_000 + F.col("pos"))
     state = F.coalesce(non_empty(F.col("state")), F.lit(fv.STATUS_CHECK))
     return portal_rows(
-        numbered,
+        numbered(rows, "page_id", "pos"),
         portal=fv.PORTAL_LIST,
         name=F.col("name"),
         url=F.col("href"),
@@ -59,11 +65,10 @@ def list_portal(parsed: DataFrame, as_of: Column, checked_at: Column, term: str
 
 
 def payload_services(payloads: DataFrame, raw: str = "raw") -> DataFrame:
-    """Services of a JSON payload that travels as a string inside a JSON object."""
+    """Services of JSON payloads that travel as strings inside JSON objects; payloads stand in order of a hash."""
     data = F.from_json(F.get_json_object(raw, "$.d"), schemas.PORTAL_PAYLOAD)
-    return payloads.select(F.posexplode(data["Univdata"]).alias("pos", "s")).select(
-        F.col("pos").cast("bigint").alias("seq"), "s.*"
-    )
+    services = payloads.select(F.xxhash64(raw).alias("_payload"), F.posexplode(data["Univdata"]).alias("_pos", "s"))
+    return numbered(services, "_payload", "_pos").select("seq", "s.*")
 
 
 def api_portal(services: DataFrame, as_of: Column, checked_at: Column, term: str = "") -> DataFrame:

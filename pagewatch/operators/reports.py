@@ -106,42 +106,23 @@ def portal_digests(items: DataFrame, size: int = fv.DIGEST_SIZE, seq: str = "seq
     )
 
 
-# Item sets up to this size keep the plain one-string digest.
-PLAIN_SET_LIMIT = 10_000
-_BUCKET_DIGITS = 4
-
-
 def set_fingerprint(items: DataFrame, active_count: int, disabled_count: int) -> DataFrame:
     """One row telling whether the set of graduate items is the one of an earlier run.
 
-    The plain form hashes all sorted item fingerprints in one string. Past the
-    limit that string would have to pass through one task, so each hash bucket is
-    digested on its own and the bucket digests (at most 16**4) are hashed.
+    The item fingerprints are cut in three and each part is summed over all
+    items: sums combine in the tasks, don't depend on order, and count repeats.
+    The value is only compared with itself.
     """
-    prints = items.select(item_fingerprint(items).alias("fp")).groupBy("fp").agg(F.count("*").alias("n"))
-    head = f"{active_count}::{disabled_count}"
-    if items.limit(PLAIN_SET_LIMIT + 1).count() <= PLAIN_SET_LIMIT:
-        repeated = F.flatten(
-            F.transform(
-                F.sort_array(F.collect_list(F.struct("fp", F.col("n").cast("int").alias("n")))),
-                lambda p: F.array_repeat(p["fp"], p["n"]),
-            )
-        )
-        row = prints.agg(repeated.alias("parts"), F.coalesce(F.sum("n"), F.lit(0)).alias("candidate_count"))
-    else:
-        bucket = F.left("fp", F.lit(_BUCKET_DIGITS)).alias("bucket")
-        entries = F.sort_array(F.collect_list(F.concat_ws("*", "fp", F.col("n").cast("string"))))
-        digests = prints.groupBy(bucket).agg(
-            F.sha1(F.array_join(entries, "::")).alias("digest"), F.sum("n").alias("n")
-        )
-        row = digests.agg(
-            F.transform(F.sort_array(F.collect_list(F.struct("bucket", "digest"))), lambda b: b["digest"]).alias(
-                "parts"
-            ),
-            F.sum("n").alias("candidate_count"),
-        )
+    prints = items.select(item_fingerprint(items).alias("fp"))
+
+    def part(start: int, length: int) -> Column:
+        number = F.conv(F.substring("fp", start, length), 16, 10).cast("decimal(38,0)")
+        return F.coalesce(F.sum(number), F.lit(0)).cast("decimal(38,0)").cast("string")
+
+    row = prints.agg(F.count("*").alias("candidate_count"), part(1, 13).alias("a"), part(14, 13).alias("b"), part(27, 14).alias("c"))
+    head = F.lit(f"{active_count}::{disabled_count}")
     return row.select(
-        F.sha1(F.array_join(F.concat(F.array(F.lit(head)), F.col("parts")), "::")).alias("fingerprint"),
+        F.sha1(F.concat_ws("::", head, F.col("candidate_count").cast("string"), "a", "b", "c")).alias("fingerprint"),
         "candidate_count",
         F.lit(active_count).cast("bigint").alias("active_count"),
         F.lit(disabled_count).cast("bigint").alias("disabled_count"),

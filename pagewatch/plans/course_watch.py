@@ -12,6 +12,11 @@ from pagewatch.functions import dates, hashing, rules, scoring
 from pagewatch.operators import attachments as att
 from pagewatch.operators import changes, courses, dedupe, details, health, links, page_parse
 from pagewatch.sources.config import mark_skipped
+from pagewatch.sources.pages import latest_fetch
+
+
+#: A notice's place is its board and its rank on it; a board has fewer links than this many bits count.
+RANK_BITS = 32
 
 
 @dataclass
@@ -124,7 +129,7 @@ def _regraded_with_images(
     named = F.transform(
         "_ocr", lambda o: F.struct(F.concat(F.lit(fv.SOURCE_OCR_PREFIX), o["url"]).alias("name"), o["text"].alias("text"))
     )
-    evidence = F.map_from_entries(F.transform("_ocr", lambda o: F.struct(o["url"], F.left(o["text"], F.lit(1000)))))
+    evidence = F.map_from_entries(F.transform("_ocr", lambda o: F.struct(o["url"], o["text"])))
     again = chosen.join(found, "seq").withColumns(
         {
             "sources": F.concat("sources", named),
@@ -140,14 +145,16 @@ def _regraded_with_images(
 def crawl(
     pages: DataFrame, boards: DataFrame, universities: DataFrame, as_of: Column, *,
     seen: DataFrame | None = None, keyword_hint: str | None = None,
-    cap: int = fv.LINKS_PER_BOARD, max_age: int | None = fv.DEFAULT_MAX_AGE_DAYS,
+    cap: int | None = None, max_age: int | None = fv.DEFAULT_MAX_AGE_DAYS,
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Pages to notices: ``(notices, board outcomes, failures, parsed pages)``.
 
-    ``pages`` is (page_id, url, html). The parsed pages are stored once, because
+    ``pages`` is (page_id, url, html); of several fetches of a url that with the
+    greatest page_id, the latest, counts. Without ``cap`` all links of a board are
+    followed. The parsed pages are stored once, because
     board links, detail bodies and course evidence all read them.
     """
-    parsed = stored(page_parse.parse_pages(pages))
+    parsed = stored(page_parse.parse_pages(latest_fetch(pages)))
     known = mark_skipped(boards, universities)
     active = known.where(~F.col("skipped"))
     fetched = parsed.select("url", "contexts", "links", "parse_error")
@@ -161,7 +168,7 @@ def crawl(
     # The details feed the counters and the notices, so they are fixed once.
     notices = stored(
         details.crawled_notices(frontier.join(labels, "board_idx"), parsed).withColumn(
-            "seq", F.col("board_idx") * cap + F.col("board_rank")
+            "seq", F.shiftleft(F.col("board_idx").cast("bigint"), RANK_BITS) + F.col("board_rank")
         )
     )
     errors = board_pages.select(
@@ -179,7 +186,7 @@ def run(
     pages: DataFrame, boards: DataFrame, universities: DataFrame, vocabulary: scoring.Vocabulary,
     words: courses.CourseWords, *, seen: DataFrame, state: DataFrame, as_of: Column, checked_at: Column,
     attachment_texts: DataFrame | None = None, image_texts: DataFrame | None = None,
-    keyword_hint: str | None = None, cap: int = fv.LINKS_PER_BOARD,
+    keyword_hint: str | None = None, cap: int | None = None,
     max_age: int = fv.DEFAULT_MAX_AGE_DAYS,
 ) -> CourseRun:
     notices, outcomes, failed, parsed = crawl(
@@ -190,9 +197,10 @@ def run(
     items = graded_items(
         kept, universities, vocabulary, attachment_texts, as_of, checked_at, image_texts
     )
-    evidence = courses.find_evidence(parsed, words)
-    enriched = courses.enrich(items, universities, evidence, words)
-    unique = dedupe.dedupe_notices(enriched)
-    marked = changes.mark_changes(changes.mark_is_new(unique, seen), state, seen)
+    items = stored(items)
+    wanted = courses.wanted_pages(items, universities)
+    evidence = courses.find_evidence(parsed.join(wanted, "url", "left_semi"), words)
+    unique = dedupe.dedupe_notices(stored(courses.enrich(items, universities, evidence, words)))
+    marked = changes.mark_run(unique, state, seen)
     # Results, alerts, seen and state updates all start from the same rows.
     return CourseRun(stored(marked), counters, failed)

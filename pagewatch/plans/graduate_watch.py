@@ -11,6 +11,7 @@ from pagewatch.functions.staging import computed_once
 from pagewatch.functions.text import any_word, normalize_space
 from pagewatch.operators import attachments as att
 from pagewatch.operators import changes, dedupe, details, health
+from pagewatch.operators.portals import with_region
 from pagewatch.plans import course_watch
 from pagewatch.sources.config import active_boards
 
@@ -80,24 +81,30 @@ def all_notices(direct: DataFrame, crawled: DataFrame) -> DataFrame:
     return first.select(*fields).unionByName(rest.select(*fields))
 
 
-def with_portals(items: DataFrame, portals: DataFrame) -> DataFrame:
-    """Portal rows after all others."""
-    last = portals.withColumn("seq", F.col("seq") + F.lit(1 << 61))
-    return items.unionByName(last.select(*items.columns))
+def with_portals(items: DataFrame, *portals: DataFrame) -> DataFrame:
+    """Portal rows after all others, portal by portal; every row keeps a place of its own."""
+    for number, rows in enumerate(portals):
+        placed = rows.withColumn("seq", F.col("seq") + F.lit((1 << 61) + (number << 56)))
+        items = items.unionByName(placed.select(*items.columns))
+    return items
 
 
 def run(
     pages: DataFrame, boards: DataFrame, universities: DataFrame, *, seen: DataFrame, previous_results: DataFrame,
-    as_of: Column, checked_at: Column, portals: DataFrame | None = None, attachment_texts: DataFrame | None = None,
-    keyword_hint: str = "2026", cap: int = fv.GRADUATE_LINKS_PER_BOARD, max_age: int = fv.DEFAULT_MAX_AGE_DAYS,
+    as_of: Column, checked_at: Column, portals: tuple[DataFrame, ...] = (), known_only: bool = False, attachment_texts: DataFrame | None = None,
+    keyword_hint: str = "2026", cap: int | None = None, max_age: int = fv.DEFAULT_MAX_AGE_DAYS,
 ) -> DataFrame:
-    """Deduplicated graduate rows with ``is_new``. Urls are not skipped beforehand: pages change in place."""
+    """Deduplicated graduate rows with ``is_new``. Urls are not skipped beforehand: pages change in place.
+
+    ``portals`` are tables of portal rows; their regions come from the universities,
+    and ``known_only`` keeps rows of these universities only.
+    """
     notices, outcomes, _, parsed = course_watch.crawl(
         pages, boards, universities, as_of, keyword_hint=keyword_hint, cap=cap, max_age=max_age
     )
     kept = health.trusted(notices, health.run_counters(outcomes))
     direct = details.standing_pages(active_boards(boards, universities), parsed)
     items = graduate_items(all_notices(direct, kept), universities, attachment_texts, checked_at)
-    if portals is not None:
-        items = with_portals(items, portals)
-    return stored(changes.mark_graduate_new(dedupe.dedupe_graduate(items), seen, previous_results))
+    placed = [with_region(rows, universities, known_only) for rows in portals]
+    unique = dedupe.dedupe_graduate(stored(with_portals(items, *placed)))
+    return stored(changes.mark_graduate_new(unique, seen, previous_results))

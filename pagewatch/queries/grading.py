@@ -338,7 +338,8 @@ def portal_digests(spark, sf_dir):
 @query(
     "empty_summary",
     t.with_sql(
-        f"""SELECT sha1(array_to_string(['17', '4'] || list_sort(list(fp)), '::')) AS fingerprint, count(*) AS candidate_count,
+        f"""SELECT sha1(concat_ws('::', '17', '4', count(*), coalesce(sum(('0x' || substr(fp, 1, 13))::BIGINT), 0),
+          coalesce(sum(('0x' || substr(fp, 14, 13))::BIGINT), 0), coalesce(sum(('0x' || substr(fp, 27, 14))::BIGINT), 0))) AS fingerprint, count(*) AS candidate_count,
         17 AS active_count, 4 AS disabled_count, true AS send FROM (
           SELECT {GRADUATE_PRINT_SQL} AS fp FROM v_graded WHERE grade IN ('A', 'B'))""",
         t.NOTICES_SQL, t.SCORED_SQL,
@@ -394,7 +395,7 @@ _PRIVATE = " OR ".join(f"n BETWEEN {_number(a)} AND {_number(b)}" for a, b in fv
     SELECT l_orderkey, l_linenumber, url, CASE WHEN k IN (2, 3, 4) THEN false WHEN k = 5 THEN true ELSE NOT ({_PRIVATE}) END AS public FROM u""",
 )
 def public_urls(spark, sf_dir):
-    line = t.spread(t.table(spark, sf_dir, "lineitem"))
+    line = t.table(spark, sf_dir, "lineitem")
     k = F.col("l_linenumber") % 7
     h = (F.col("l_partkey") * 2654435761 + F.col("l_suppkey") * 40503 + F.col("l_orderkey") * 7919) % 4294967296
     n = F.when(k == 0, F.lit(167772160) + h % 16777216).when(k == 1, F.lit(3232235520) + h % 65536).otherwise(h)

@@ -216,7 +216,7 @@ v_fetch AS (SELECT 'https://c.example.com/' || conv_id::VARCHAR AS url, turn AS
    CASE WHEN turn % 3 = 0 THEN text WHEN turn % 3 = 1 THEN NULL ELSE repeat('x', 500001) END AS html,
    CASE WHEN turn % 2 = 1 THEN role END AS extracted_text FROM conversations),
 v_update AS (SELECT url, seq, etag, last_modified, sha256(content) AS content_hash, checked_at,
-   CASE WHEN length(html) > 500000 THEN '' ELSE html END AS html, extracted_text FROM v_fetch),
+   html, extracted_text FROM v_fetch),
 v_pages AS (SELECT url, arg_max(etag, seq) AS etag, arg_max(last_modified, seq) AS last_modified, arg_max(content_hash, seq) AS content_hash,
    arg_max(checked_at, seq) AS checked_at, arg_max(html, seq) FILTER (html IS NOT NULL) AS html,
    arg_max(extracted_text, seq) FILTER (extracted_text IS NOT NULL) AS extracted_text FROM v_update GROUP BY url)

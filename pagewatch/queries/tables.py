@@ -8,7 +8,6 @@ from pagewatch import fixed_values as fv
 from pagewatch.functions import dates, text
 from pagewatch.functions.hashing import content_fingerprint
 from pagewatch.functions.scoring import Vocabulary, with_classification
-from pagewatch.operators.ordering import spread
 
 AS_OF_TEXT = "2026-06-15"
 CHECKED_AT = "2026-06-15T09:00:00+09:00"
@@ -39,7 +38,7 @@ def day(offset: Column) -> Column:
 
 def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as crawled notices; exact copies share their url."""
-    return notice_columns(spread(table(spark, sf_dir, "documents")))
+    return notice_columns(table(spark, sf_dir, "documents"))
 
 
 def notice_columns(docs: DataFrame) -> DataFrame:
@@ -54,8 +53,8 @@ def notice_columns(docs: DataFrame) -> DataFrame:
         F.col("doc_id").alias("seq"),
         F.concat(F.lit("NATION_"), F.substring("source", 4, 10)).alias("university_name"),
         F.col("source").alias("board_type"),
-        F.left(text.normalize_space(F.substring_index("text", "\n", 1)), F.lit(fv.TITLE_CHARS)).alias("title"),
-        F.concat(F.lit("https://www.example.com/notice/"), F.substring(F.sha1("text"), 1, 16)).alias("url"),
+        text.normalize_space(F.substring_index("text", "\n", 1)).alias("title"),
+        F.concat(F.lit("https://www.example.com/notice/"), F.sha1("text")).alias("url"),
         dated.alias("notice_date"),
         text.normalize_space(F.col("text")).alias("body_text"),
         F.when(F.col("n_chars") % 3 == 0, F.array().cast("array<string>")).otherwise(files).alias("attachment_urls"),
@@ -87,8 +86,8 @@ v_dates AS (SELECT *, DATE '2026-06-01' + (n_chars % 20)::INT AS ds,
                    DATE '2026-06-01' + (n_chars % 20)::INT + (n_chars % 25)::INT AS de FROM documents),
 v_notice AS (
   SELECT doc_id AS seq, 'NATION_' || substr(source, 4, 10) AS university_name, source AS board_type,
-         left({ns("split_part(text, chr(10), 1)")}, 250) AS title,
-         'https://www.example.com/notice/' || substr(sha1(text), 1, 16) AS url,
+         {ns("split_part(text, chr(10), 1)")} AS title,
+         'https://www.example.com/notice/' || sha1(text) AS url,
          CASE WHEN n_chars % 11 = 0 THEN '' ELSE strftime(DATE '2026-06-01' + (n_chars % 30)::INT, '%Y-%m-%d') END AS notice_date,
          {ns("text")} AS body_text,
          CASE WHEN n_chars % 3 = 0 THEN []::VARCHAR[] ELSE [{", ".join(_FILES)}] END AS attachment_urls,

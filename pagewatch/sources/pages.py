@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pagewatch import schemas
-from pagewatch.operators.ordering import spread
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    return spread(spark.read.schema(schemas.PAGES).parquet(path))
+    return spark.read.schema(schemas.PAGES).parquet(path)
+
+
+def latest_fetch(pages: DataFrame) -> DataFrame:
+    """One row per url: the fetch with the greatest page_id. A task passes on one row per url at most."""
+    last = Window.partitionBy("url").orderBy(F.col("page_id").desc())
+    return pages.withColumn("_fetch", F.row_number().over(last)).where("_fetch = 1").drop("_fetch")
 
 
 def stream_pages(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:

@@ -163,7 +163,11 @@ def test_attachment_texts(spark):
     got = {r.url[-6:]: r for r in attachments.extract_texts(typed).collect()}
     assert got["a.docx"].text == "모집\t요강\n둘" and got["b.hwpx"].text == "하나 둘\n셋"
     assert got["c.docx"].text == "" and "BadZipFile" in got["c.docx"].error
-    assert got["/d.pdf"].text == "" and "/e.zip" not in got
+    assert got["/d.pdf"].text == "" and got["/e.zip"].error == "no reader for .zip"
+    refused = attachments.extract_texts(attachments.typed_files(frame, max_bytes=10)).where("error LIKE '%over 10'")
+    assert refused.count() == sum(len(c) > 10 for _, c in files) > 0
+    small = attachments.extract_texts(typed, max_expanded=50).where("text <> ''")
+    assert small.count() == 0
     known = spark.createDataFrame([("https://f.example/a.docx", got["a.docx"].content_hash, "remembered")], "url string, content_hash string, extracted_text string")
     again = {r.url[-6:]: r.text for r in attachments.extract_changed(typed, known).collect()}
     assert again["a.docx"] == "remembered" and again["b.hwpx"] == "하나 둘\n셋"

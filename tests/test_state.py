@@ -203,7 +203,7 @@ def test_digests_do_not_depend_on_input_order(spark):
     assert made[0] == made[1] and [n for _, _, n in made[0]] == [25, 5]
 
 
-def test_empty_summary(spark, monkeypatch):
+def test_empty_summary(spark):
     items = graduate(spark, {"title": "a"}, {"title": "b"})
     print_of = lambda *a: reports.set_fingerprint(*a).head().fingerprint
     base = print_of(items, 17, 4)
@@ -211,9 +211,11 @@ def test_empty_summary(spark, monkeypatch):
     stored = reports.set_fingerprint(items, 17, 4)
     assert not reports.sends_empty_summary(reports.set_fingerprint(items, 17, 4), stored).head().send
     assert reports.sends_empty_summary(reports.set_fingerprint(items, 17, 5), stored).head().send
-    monkeypatch.setattr(reports, "PLAIN_SET_LIMIT", 1)
-    large = print_of(items, 17, 4)
-    assert large == print_of(items.repartition(5), 17, 4) and large != print_of(items.where("title = 'a'").union(items), 17, 4)
+    assert base != print_of(items.where("title = 'a'").union(items), 17, 4)
+    # one definition at every size: a set is told from itself with one more item
+    many = items.where("title = 'a'").crossJoin(spark.range(10_001)).withColumn("title", F.col("id").cast("string"))
+    prints = [print_of(many.where(F.col("id") < n).drop("id"), 17, 4) for n in (9_999, 10_000, 10_001)]
+    assert len(set(prints)) == 3 and prints[2] == print_of(many.drop("id").repartition(7), 17, 4)
 
 
 def test_page_state(spark):
@@ -224,7 +226,7 @@ def test_page_state(spark):
     state = page_state.update_page_state(state, page_state.page_updates(second))
     got = {r.url: r for r in state.collect()}
     assert (got["u"].etag, got["u"].last_modified, got["u"].html, got["u"].extracted_text) == ("", "m2", "h", "text")
-    assert got["v"].html == ""
+    assert got["v"].html == "x" * 500_001
     assert [r.url for r in page_state.most_recent(state, 1).collect()] == ["u"]
     reuse = page_state.with_page_reuse(spark.createDataFrame([("u", "d"), ("v", "z")], "url string, content string"), state)
     assert {r.url: (r.unchanged, r.cached) for r in reuse.collect()} == {"u": (True, "h"), "v": (False, None)}
