@@ -26,6 +26,7 @@ import hashlib
 import heapq
 import json
 import re
+import struct
 import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -213,14 +214,15 @@ class Encoder(dict):
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.added = vocabulary, vocabulary.added
 
     def __missing__(self, word: str) -> bytes:
         raw = word.encode("utf-8", "replace")
         if len(raw) > WHOLE_BYTES:
             return b"".join(self.long_word([raw]))
         own = self.vocabulary
-        packed = np.array(merge([own.byte_ids[b] for b in raw], own.ranks), "<u4").tobytes()
+        ids = merge([own.byte_ids[b] for b in raw], own.ranks)
+        packed = struct.pack(f"<{len(ids)}I", *ids)
         self._remember(word, packed)
         return packed
 
@@ -268,7 +270,7 @@ class Encoder(dict):
     def blocks(self, text: str) -> Iterator[bytes]:
         """Packed ids of a whole text, block by block. Added tokens stand for themselves wherever they occur."""
         stretches = [(text, None)]
-        for token, i in self.vocabulary.added.items():
+        for token, i in self.added.items():
             if token in text:
                 parts = text.split(token)
                 stretches = [(p, i) for p in parts[:-1]] + [(parts[-1], None)]

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from pagewatch.durable import shared_folder, stored
-from pagewatch.llm.bpe import Encoder, Vocabulary, tokenizer_path
+from pagewatch.llm.bpe import Encoder, byte_letters, tokenizer_path
 from pagewatch.llm.common import text_of
 
 BLOCK = 1 << 16
@@ -42,16 +42,21 @@ LEVEL = 1
 
 
 class LibraryEncoder(Encoder):
-    """Whole words are encoded by the tokenizers library, once each."""
+    """Whole words are encoded by the tokenizers library's model, once each; their bytes are spelt as it spells them."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__(Vocabulary(path))
-        self.library = Tokenizer.from_file(path)
+        dict.__init__(self)
+        library = Tokenizer.from_file(path)
+        self.model = library.model
+        self.added = {token.content: i for i, token in library.get_added_tokens_decoder().items()}
+        self.letters = {byte: letter for letter, byte in byte_letters().items()}
 
     def _ids(self, word: str) -> bytes:
-        return np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        spelt = word.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
+        ids = [token.id for token in self.model.tokenize(spelt)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, word: str) -> bytes:
         packed = self._ids(word)
