@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pagewatch import fixed_values as fv
 from pagewatch.functions import rules
-from pagewatch.operators.dedupe import item_fingerprint, last_per_key
+from pagewatch.operators.dedupe import first_per_key, item_fingerprint, last_per_key
 from pagewatch.operators.ordering import drop_layout, sorted_ranges, with_last_before
 
 STATE_FIELDS = ("content_fingerprint", "grade", "deadline_status", "checked_at")
@@ -109,7 +109,7 @@ def update_notice_state(state: DataFrame, items: DataFrame, seq: str = "seq") ->
 
 
 def update_seen(seen: DataFrame, handled: DataFrame, key: str = "url") -> DataFrame:
-    return seen.select("key").union(handled.select(F.col(key).alias("key"))).distinct().orderBy("key")
+    return seen.select("key").union(handled.select(F.col(key).alias("key"))).distinct()
 
 
 def items_to_mark_seen(
@@ -120,7 +120,7 @@ def items_to_mark_seen(
         rules.marks_seen(F.col("is_new"), F.col("url"), F.col("grade"), F.col("notice_date"), as_of, max_age)
     )
     quiet = quiet.join(sent.select("url").distinct(), "url", "left_anti").select(*items.columns)
-    first = quiet.groupBy("url").agg(F.min_by(F.struct(*quiet.columns), seq).alias("_row")).select("_row.*")
+    first = first_per_key(quiet, F.col("url"), seq)
     return sent.select(*items.columns).unionByName(first)
 
 

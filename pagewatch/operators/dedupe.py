@@ -62,7 +62,7 @@ def history_rows(items: DataFrame, min_score: int = fv.HISTORY_MIN_SCORE) -> Dat
 
 
 def merge_history(existing: DataFrame, current: DataFrame) -> DataFrame:
-    """Merged history in field order; this run beats earlier ones, within a side the greatest row wins."""
+    """Merged history; this run beats earlier ones, within a side the greatest row wins."""
     fields = list(fv.HISTORY_FIELDS)
 
     def side(rows: DataFrame, number: int) -> DataFrame:
@@ -70,6 +70,6 @@ def merge_history(existing: DataFrame, current: DataFrame) -> DataFrame:
 
     both = side(existing, 0).unionByName(side(current, 1))
     kept = last_per_key(both, history_key(), F.struct("_side", *fields))
-    return kept.select(*fields).orderBy(*fields)
+    return kept.select(*fields)
 
 

@@ -38,6 +38,8 @@ def board_outcomes(boards: DataFrame, details: DataFrame, board_key: str = "boar
 
 
 def run_counters(outcomes: DataFrame) -> DataFrame:
+    """Counters of a run; ``details_skipped`` too where the outcomes carry it."""
+    skipped = [F.coalesce(F.sum("details_skipped"), F.lit(0)).alias("details_skipped")] if "details_skipped" in outcomes.columns else []
     return outcomes.agg(
         F.count("*").alias("boards_total"),
         F.count_if(F.col("outcome") == "succeeded").alias("boards_succeeded"),
@@ -45,6 +47,7 @@ def run_counters(outcomes: DataFrame) -> DataFrame:
         F.count_if(F.col("outcome") == "skipped").alias("boards_skipped"),
         F.coalesce(F.sum("details_total"), F.lit(0)).alias("details_total"),
         F.coalesce(F.sum("details_failed"), F.lit(0)).alias("details_failed"),
+        *skipped,
     )
 
 

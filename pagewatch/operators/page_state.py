@@ -45,7 +45,8 @@ def update_page_state(state: DataFrame, updates: DataFrame, seq: str = "seq") ->
 
 def most_recent(state: DataFrame, keep: int = fv.KEPT_PAGE_STATES) -> DataFrame:
     """The ``keep`` page states checked last: what a saved cache retains."""
-    return state.orderBy(F.col("checked_at").desc(), "url").limit(keep)
+    last = state.select("url", "checked_at").orderBy(F.col("checked_at").desc(), "url").limit(keep)
+    return state.join(last, ["url", "checked_at"], "left_semi")
 
 
 def conditional_headers(state: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -10,9 +11,10 @@ from pagewatch import fixed_values as fv
 from pagewatch.durable import stored
 from pagewatch.functions import dates, hashing, rules, scoring
 from pagewatch.operators import attachments as att
-from pagewatch.operators import changes, courses, dedupe, details, health, links, page_parse
+from pagewatch.operators import changes, courses, dedupe, details, health, links, page_parse, reports
 from pagewatch.sources.config import mark_skipped
 from pagewatch.sources.pages import latest_fetch
+from pagewatch.sources.state import StateTable
 
 
 #: A notice's place is its board and its rank on it; a board has fewer links than this many bits count.
@@ -159,10 +161,12 @@ def crawl(
     active = known.where(~F.col("skipped"))
     fetched = parsed.select("url", "contexts", "links", "parse_error")
     board_pages = active.join(fetched, "url", "left")
-    candidates = links.candidate_links(
-        board_pages.where(F.col("links").isNotNull()), keyword_hint=keyword_hint
+    candidates = stored(
+        links.candidate_links(board_pages.where(F.col("links").isNotNull()), keyword_hint=keyword_hint)
     )
     fresh = links.not_yet_handled(candidates, seen, as_of, max_age)
+    per_board = candidates.select("board_idx", F.lit(1).alias("n")).union(fresh.select("board_idx", F.lit(-1).alias("n")))
+    skipped = per_board.groupBy("board_idx").agg(F.sum("n").alias("details_skipped"))
     frontier = links.capped_frontier(fresh, cap=cap)
     labels = active.select("board_idx", "university_name", "board_type")
     # The details feed the counters and the notices, so they are fixed once.
@@ -178,6 +182,9 @@ def crawl(
     outcomes = health.board_outcomes(
         known.join(errors, "board_idx", "left"), notices.withColumnRenamed("detail_succeeded", "succeeded")
     )
+    outcomes = outcomes.join(skipped, "board_idx", "left").withColumn(
+        "details_skipped", F.coalesce("details_skipped", F.lit(0).cast("bigint"))
+    )
     failed = health.failures(outcomes, notices.withColumnRenamed("detail_succeeded", "succeeded"))
     return notices, outcomes, failed, parsed
 
@@ -204,3 +211,58 @@ def run(
     marked = changes.mark_run(unique, state, seen)
     # Results, alerts, seen and state updates all start from the same rows.
     return CourseRun(stored(marked), counters, failed)
+
+
+@dataclass
+class RunEnd:
+    """What a run leaves behind: DataFrames over the run's stored items."""
+
+    results: DataFrame
+    targets: DataFrame
+    history: DataFrame
+    state: DataFrame
+    seen: DataFrame
+    summary: DataFrame
+
+
+def finish(
+    items: DataFrame, *, history: DataFrame, state: DataFrame, seen: DataFrame, as_of: Column, checked_at: Column,
+    deliver: Callable[[DataFrame], DataFrame], counters: DataFrame | None = None, at_least: str | None = None,
+    max_age: int = fv.DEFAULT_MAX_AGE_DAYS,
+) -> RunEnd:
+    """The end of a run: results, alert targets handed out, then history, state and seen as they become.
+
+    ``deliver`` gets the targets and returns the rows sent; rows not sent leave
+    no trace in the state and are targets again next time. ``at_least`` narrows
+    the results and the targets to grades, but not what the state remembers.
+    """
+    graded = items if at_least is None else items.where(rules.at_least(F.col("grade"), at_least))
+    target = rules.is_alert_target(
+        F.col("change_type"), F.col("is_new"), F.col("grade"), F.col("deadline_status"), F.col("notice_date"), as_of, max_age
+    )
+    targets = graded.where(target)
+    sent = stored(deliver(targets))
+    settled = changes.items_to_update_state(items, sent, as_of, max_age)
+    handled = changes.items_to_mark_seen(items, sent, as_of, max_age)
+    # one row of counters and one number
+    facts = {} if counters is None else counters.head().asDict()
+    facts["sent_count"] = sent.count()
+    summary = reports.run_summary(
+        graded, as_of, max_age, checked_at=checked_at, **{name: F.lit(n).cast("bigint") for name, n in facts.items()}
+    )
+    return RunEnd(
+        graded,
+        targets,
+        dedupe.merge_history(history, dedupe.history_rows(graded)),
+        changes.update_notice_state(state, settled),
+        changes.update_seen(seen, handled),
+        summary,
+    )
+
+
+def commit(end: RunEnd, results: StateTable, history: StateTable, state: StateTable, seen: StateTable, run_id: int) -> None:
+    """Write what a run leaves: results and history, then state, then seen. A run written before writes nothing."""
+    results.write(end.results, run_id)
+    history.write(end.history, run_id)
+    state.write(end.state, run_id)
+    seen.write(end.seen, run_id)

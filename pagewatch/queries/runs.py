@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagewatch import schemas
 from pagewatch.durable import stored
 from pagewatch.functions import hashing
 from pagewatch.operators import changes, health, outbox, page_state, reports
+from pagewatch.plans import course_watch
 from pagewatch.queries import tables as t
 from pagewatch.queries.registry import query
 from pagewatch.queries.texts import GRADUATE_PRINT_SQL
-from pagewatch.sources.config import active_boards, in_region, mark_skipped
+from pagewatch.sources.config import active_boards, empty, in_region, mark_skipped
 
 # --------------------------------------------------------- run snapshots
 RUNS_SQL = """
@@ -170,6 +172,34 @@ def rows_to_mark_seen(spark, sf_dir):
     return changes.items_to_mark_seen(items, sent, t.as_of()).select("seq", "url")
 
 
+@query(
+    "run_end",
+    t.with_sql(
+        f"""SELECT 'target' AS part, url, grade, count(*) AS n FROM v_item WHERE {t.TARGET_SQL} GROUP BY url, grade
+        UNION ALL SELECT 'state', url, arg_max(grade, seq), 1 FROM v_item
+          WHERE NOT ({t.TARGET_SQL} AND url NOT IN (SELECT url FROM v_sent)) AND url <> '' GROUP BY url
+        UNION ALL SELECT DISTINCT 'seen', url, '', 1 FROM (SELECT url FROM v_sent UNION ALL
+          SELECT url FROM v_item WHERE is_new AND url <> '' AND (grade = 'C' OR {t.stale_sql()}))
+        UNION ALL SELECT 'summary', '', '', (SELECT count(*) FROM v_sent)""",
+        t.NOTICES_SQL, t.SCORED_SQL, t.ITEMS_SQL, _SENT_SQL,
+    ),
+)
+def run_end(spark, sf_dir):
+    """The end of a run in which only grade B rows could be sent."""
+    items = stored(t.items(spark, sf_dir).withColumns({"region": F.lit(""), "source_type": F.lit("board"), "checked_at": F.lit(t.CHECKED_AT)}))
+    end = course_watch.finish(
+        items, history=empty(spark, schemas.HISTORY), state=empty(spark, schemas.NOTICE_STATE), seen=empty(spark, schemas.SEEN),
+        as_of=t.as_of(), checked_at=F.lit(t.CHECKED_AT), deliver=lambda rows: rows.where("grade = 'B'"),
+    )
+    one, none = F.lit(1).cast("bigint").alias("n"), F.lit("")
+    return (
+        end.targets.groupBy("url", "grade").agg(F.count("*").alias("n")).select(F.lit("target").alias("part"), "url", "grade", "n")
+        .unionAll(end.state.select(F.lit("state"), "url", "grade", one))
+        .unionAll(end.seen.select(F.lit("seen"), F.col("key"), none, one))
+        .unionAll(end.summary.select(F.lit("summary"), none, none, "sent_count"))
+    )
+
+
 @query(
     "rows_for_notice_state",
     t.with_sql(

@@ -98,6 +98,16 @@ def stream_run_period_counts(spark, sf_dir):
     return _counts(drained(watch.run_counts(events, "event_type"), mode="complete"))
 
 
+@query(
+    "stream_closed_period_counts",
+    f"""SELECT * FROM ({_COUNTS_SQL}) WHERE strptime(starts, '%Y-%m-%d %H:%M') + INTERVAL 12 HOURS <=
+      (SELECT max(ts) - INTERVAL 1 DAY FROM events WHERE isodow(ts AT TIME ZONE 'UTC' AT TIME ZONE 'Asia/Seoul') <= 5)""",
+)
+def stream_closed_period_counts(spark, sf_dir):
+    """In append mode: a window leaves the state, and is counted, once the watermark has passed its end."""
+    return _counts(drained(watch.run_counts(_instants(stream(spark, sf_dir, "events")), "event_type")))
+
+
 def _instants(events: DataFrame) -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 

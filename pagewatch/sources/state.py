@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from pagewatch.operators.outbox import DurableStateError
 from pagewatch.sources.config import empty, path_missing
 
-COMMITS = T.StructType([T.StructField("version", T.LongType()), T.StructField("batch_id", T.LongType())])
+COMMITS = T.StructType(
+    [T.StructField("version", T.LongType()), T.StructField("batch_id", T.LongType()), T.StructField("folder", T.StringType())]
+)
 
 
 class StateTable:
     """A table replaced as a whole: each write makes a new version, a commit row makes it current.
 
-    A reader sees the last committed version or nothing; a write that dies leaves
-    a folder no commit names, which the next write replaces.
+    Every write goes to a folder of its own, which its commit row names, so
+    writers never touch each other's rows and a write that dies leaves a folder
+    no commit names. A version committed twice, by two writers at once, is an
+    error for every later reader, not a silent choice.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType) -> None:
@@ -29,17 +35,26 @@ class StateTable:
                 return empty(self.spark, COMMITS)
             raise
 
+    def _last(self) -> tuple[int, str | None]:
+        row = self._commits().agg(
+            F.max("version").alias("version"), F.max_by("folder", "version").alias("folder"),
+            (F.count("*") - F.count_distinct("version")).alias("twice"),
+        ).head()
+        if row.twice:
+            raise DurableStateError(f"two writers committed one version: {self.path}")
+        return row.version or 0, row.folder
+
     def version(self) -> int:
-        return self._commits().agg(F.max("version")).head()[0] or 0
+        return self._last()[0]
 
     def has_batch(self, batch_id: int) -> bool:
         return not self._commits().where(F.col("batch_id") == batch_id).isEmpty()
 
     def read(self) -> DataFrame:
-        version = self.version()
+        version, folder = self._last()
         if version == 0:
             return empty(self.spark, self.schema)
-        found = self.spark.read.parquet(f"{self.path}/v={version}")
+        found = self.spark.read.parquet(f"{self.path}/{folder or f'v={version}'}")
         kinds = {f.name: f.dataType for f in found.schema}
         if any(kinds.get(f.name) != f.dataType for f in self.schema):
             raise DurableStateError(f"state table has an unexpected layout: {self.path}")
@@ -50,8 +65,11 @@ class StateTable:
         if batch_id >= 0 and self.has_batch(batch_id):
             return self.version()
         version = self.version() + 1
-        rows.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/v={version}")
-        commit = self.spark.createDataFrame([(version, batch_id)], COMMITS)
+        folder = f"v={version}-{uuid.uuid4().hex}"
+        rows.select(*self.schema.names).write.parquet(f"{self.path}/{folder}")
+        if self.version() >= version:
+            raise DurableStateError(f"another writer has committed version {version}: {self.path}")
+        commit = self.spark.createDataFrame([(version, batch_id, folder)], COMMITS)
         commit.coalesce(1).write.mode("append").json(f"{self.path}/commits")
         return version
 

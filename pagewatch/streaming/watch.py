@@ -23,8 +23,11 @@ CHANGE_DDL = "url STRING, seq BIGINT, change_type STRING, previous_grade STRING,
 class ChangeProcessor(StatefulProcessor):
     """Keeps the last fingerprint, grade and status of a url and labels every later snapshot."""
 
+    def __init__(self, ttl_ms: int | None = None) -> None:
+        self._ttl_ms = ttl_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getValueState("last", ", ".join(f"{c} STRING" for c in COMPARED))
+        self._last = handle.getValueState("last", ", ".join(f"{c} STRING" for c in COMPARED), self._ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # A micro-batch is bounded by the source's file cap, and so is a key's share of it.
@@ -50,14 +53,16 @@ class ChangeProcessor(StatefulProcessor):
         pass
 
 
-def change_rows(snapshots: DataFrame) -> DataFrame:
+def change_rows(snapshots: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Label a stream of snapshots (url, seq, fingerprint, grade, status); blank urls carry no state.
 
-    Needs the RocksDB state store provider.
+    Needs the RocksDB state store provider. With ``ttl_ms`` a url not seen for that
+    long is forgotten, which bounds the state.
     """
     keyed = snapshots.where(F.col("url") != "").select("url", "seq", *COMPARED)
     return keyed.groupBy("url").transformWithStateInPandas(
-        statefulProcessor=ChangeProcessor(), outputStructType=CHANGE_DDL, outputMode="Append", timeMode="None"
+        statefulProcessor=ChangeProcessor(ttl_ms), outputStructType=CHANGE_DDL, outputMode="Append",
+        timeMode="None" if ttl_ms is None else "ProcessingTime",
     )
 
 
@@ -76,7 +81,7 @@ def watch_runs(
         if state.has_batch(batch_id) and seen.has_batch(batch_id):
             return
         known, stated = seen.read(), state.read()
-        marked = stored(changes.mark_changes(changes.mark_is_new(batch, known), stated, known))
+        marked = stored(changes.mark_run(batch, stated, known))
         target = rules.is_alert_target(
             F.col("change_type"), F.col("is_new"), F.col("grade"), F.col("deadline_status"),
             F.col("notice_date"), as_of, max_age,
@@ -91,10 +96,17 @@ def watch_runs(
     return writer.trigger(availableNow=True).start()
 
 
-def first_copies(notices: DataFrame) -> DataFrame:
-    """Drop notices whose dedupe key was seen before in the stream."""
+def first_copies(notices: DataFrame, ts: str | None = None, lateness: str = "7 days") -> DataFrame:
+    """Drop notices whose dedupe key was seen before in the stream.
+
+    With an event time ``ts`` keys are remembered for ``lateness`` behind the
+    watermark only, which bounds the state.
+    """
     key = notice_key(F.col("url"), F.col("university_name"), F.col("title"), F.col("attachment_urls"))
-    return notices.withColumn("_key", key).dropDuplicates(["_key"]).drop("_key")
+    keyed = notices.withColumn("_key", key)
+    if ts is not None:
+        return keyed.withWatermark(ts, lateness).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
+    return keyed.dropDuplicates(["_key"]).drop("_key")
 
 
 def split_stale(notices: DataFrame, as_of: Column, max_age: int = fv.DEFAULT_MAX_AGE_DAYS) -> tuple[DataFrame, DataFrame]:

@@ -243,7 +243,8 @@ def test_state_table(spark, tmp_path):
     assert sorted(r.key for r in table.read().collect()) == ["a", "b"]
     spark.range(1).write.parquet(str(tmp_path / "s" / "v=9"))  # a write that never committed
     assert table.version() == 3 and table.read().count() == 2
-    spark.range(1).write.mode("overwrite").parquet(str(tmp_path / "s" / "v=3"))
+    committed = spark.read.json(f"{table.path}/commits").where("version = 3").head().folder
+    spark.range(1).write.mode("overwrite").parquet(f"{table.path}/{committed}")
     with pytest.raises(outbox.DurableStateError):
         table.read()
 
@@ -337,3 +338,35 @@ def test_stale_split_and_copies(spark, tmp_path):
     frame = spark.createDataFrame([("a", "2026-06-14"), ("b", "2026-01-01"), ("c", "")], "url string, notice_date string")
     timely, stale = watch.split_stale(frame, as_of())
     assert sorted(r.url for r in timely.collect()) == ["a", "c"] and [r.url for r in stale.collect()] == ["b"]
+
+
+def test_writers_keep_their_own_folders(spark, tmp_path):
+    one = state_tables.StateTable(spark, str(tmp_path / "t"), schemas.SEEN)
+    rows = lambda *keys: spark.createDataFrame([(k,) for k in keys], "key string")
+    assert one.write(rows("a"), 1) == 1 and one.write(rows("b"), 1) == 1  # a replayed batch changes nothing
+    assert [r.key for r in one.read().collect()] == ["a"]
+    assert one.write(rows("c"), 2) == 2 and [r.key for r in one.read().collect()] == ["c"]
+    # a second writer that took the same version is found, not silently chosen
+    late = spark.createDataFrame([(2, 9, "v=2-other")], state_tables.COMMITS)
+    late.write.mode("append").json(f"{one.path}/commits")
+    with pytest.raises(state_tables.DurableStateError):
+        one.read()
+
+
+def test_long_vocabularies_score_like_short_ones(spark, monkeypatch):
+    from pagewatch.functions import scoring, text
+
+    families = ("registration", "external", "computer")
+    row = [(1, "w0x w7x w99x", "w4x w98x w5x w11x", "접수중"), (2, "", "", ""), (3, "w3x W2X", "w1x", "마감")]
+    frame = spark.createDataFrame(row, "seq long, title string, text string, deadline_status string")
+    vocabulary = scoring.Vocabulary(
+        tuple(scoring.Word(families[i % 3], "negative" if i % 4 == 3 else "positive", f"w{i}x", i % 7 + 1) for i in range(100))
+    )
+    read = lambda: sorted(map(tuple, scoring.with_classification(frame, vocabulary).collect()))
+    short = read()
+    for module in (scoring, text):
+        monkeypatch.setattr(module, "FLAT_WORDS", 10)
+    assert read() == short
+    large = scoring.Vocabulary(tuple(scoring.Word("registration", "positive", f"w{i}x", 1) for i in range(5_000)))
+    got = {r.seq: r.registration_score for r in scoring.with_classification(frame, large).collect()}
+    assert got == {1: 7, 2: 0, 3: 3}
