@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load() -> None:
-    from pagewatch.queries import grading, pages, runs, streams, texts  # noqa: F401
+    from pagewatch.queries import files, grading, pages, runs, streams, texts  # noqa: F401
 
 
 def all_queries():

@@ -189,14 +189,20 @@ def page_titles(spark, sf_dir):
 
 @query(
     "page_details",
-    t.with_sql(
-        """SELECT page_id, '' AS posted, 0 AS n_images, string_agg(url, ' ' ORDER BY pos) AS attachments
-        FROM (SELECT page_id, 0 AS pos, NULL AS url FROM pages) GROUP BY page_id""",
-        LINKS_SQL,
-    ),
+    """SELECT page_id, '2026-06-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') AS posted, page_id % 13 + 1 AS n_images,
+      regexp_extract(url, '^https?://[^/]+') || '/files/' || page_id || '.pdf' AS attachments FROM pages""",
 )
 def page_details(spark, sf_dir):
-    rows = _parsed(spark, sf_dir)
+    """pages with a date, up to thirteen images, a repeated one and a layout image, and a file in them."""
+    page = F.col("page_id")
+    images = F.transform(F.sequence(F.lit(0), (page % 13).cast("int")), lambda k: F.format_string('<img src="/photo/%d.png">', k))
+    extra = F.concat(
+        F.format_string('<meta property="article:published_time" content="2026-06-%02dT10:00:00">', page % 28 + 1),
+        F.array_join(images, ""), F.lit('<img src="/photo/0.png"><img src="/logo.png">'),
+        F.format_string('<a href="/files/%d.pdf">file</a>', page),
+    )
+    pages = read_pages(spark, f"{sf_dir}/pages.parquet").withColumn("html", F.concat(extra, "html"))
+    rows = page_parse.parse_pages(pages)
     files = details.attachment_urls(F.col("url"), F.col("links"))
     return rows.select(
         "page_id",
