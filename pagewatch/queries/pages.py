@@ -248,8 +248,9 @@ _SITE = "https://p.example.com/"
 def _course_pages(spark, sf_dir):
     """pages with sequential urls, each linking to another page under a course label."""
     pages = read_pages(spark, f"{sf_dir}/pages.parquet")
-    link = F.concat(F.lit('<a href="/'), ((F.col("page_id") * 7 + 3) % 200).cast("string"), F.lit('">the course list</a>'))
-    plain = F.concat(F.lit('<a href="/'), ((F.col("page_id") + 1) % 200).cast("string"), F.lit('">next</a>'))
+    total = pages.count()
+    link = F.concat(F.lit('<a href="/'), ((F.col("page_id") * 7 + 3) % total).cast("string"), F.lit('">the course list</a>'))
+    plain = F.concat(F.lit('<a href="/'), ((F.col("page_id") + 1) % total).cast("string"), F.lit('">next</a>'))
     html = F.concat(plain, "html")
     labelled = F.when(F.col("page_id") % 3 == 0, F.concat(link, html)).otherwise(html)
     return pages.select("page_id", F.concat(F.lit(_SITE), F.col("page_id").cast("string")).alias("url"), labelled.alias("html"))
@@ -313,7 +314,7 @@ _NAMED = ", ".join(f"CASE WHEN contains(' ' || i.title, '{w}') THEN '{w}' END" f
           CASE WHEN graded AND likely THEN array_to_string(list_filter([{_NAMED}], lambda w: w IS NOT NULL), ',')
                WHEN searched THEN coalesce(e.courses, '') ELSE '' END AS courses,
           CASE WHEN searched AND coalesce(e.courses, '') <> '' THEN '확인 필요' ELSE computer_course_status END AS status
-        FROM (SELECT * REPLACE ('{_SITE}' || (seq % 150)::VARCHAR AS url), grade IN ('A','B','C') AS graded, computer_course_status = '가능성 높음' AS likely,
+        FROM (SELECT * REPLACE ('{_SITE}' || (seq % (SELECT count(*) FROM pages))::VARCHAR AS url), grade IN ('A','B','C') AS graded, computer_course_status = '가능성 높음' AS likely,
                 grade IN ('A','B','C') AND computer_course_status <> '가능성 높음' AND university_name IN (SELECT name FROM v_university) AS searched FROM v_graded) i
         LEFT JOIN v_own e ON e.url = i.url""",
         _TEXT_SQL, EVIDENCE_SQL, t.NOTICES_SQL, t.SCORED_SQL, t.UNIVERSITIES_SQL,
@@ -321,7 +322,8 @@ _NAMED = ", ".join(f"CASE WHEN contains(' ' || i.title, '{w}') THEN '{w}' END" f
 )
 def enriched_notices(spark, sf_dir):
     evidence = courses.find_evidence(stored(page_parse.parse_pages(_course_pages(spark, sf_dir))), COURSES)
-    url = F.concat(F.lit(_SITE), (F.col("seq") % 150).cast("string"))
+    total = t.table(spark, sf_dir, "pages").count()
+    url = F.concat(F.lit(_SITE), (F.col("seq") % total).cast("string"))
     rows = t.graded(spark, sf_dir).withColumn("url", url)
     done = courses.enrich(rows, t.universities(spark, sf_dir), evidence, COURSES)
     return done.select(

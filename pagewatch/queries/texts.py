@@ -393,7 +393,7 @@ GRADUATE_PRINT_SQL = (
     t.with_sql(
         f"""SELECT fp, min(seq) AS seq, arg_min(title, seq) AS title FROM (
           SELECT *, {GRADUATE_PRINT_SQL} AS fp FROM (SELECT * REPLACE (CASE WHEN seq % 3 = 0 THEN '유웨이어플라이' ELSE board_type END AS board_type,
-             left(title, 12) AS title) FROM v_graded)) GROUP BY fp""",
+             university_name || ' ' || grade AS title) FROM v_graded)) GROUP BY fp""",
         t.NOTICES_SQL, t.SCORED_SQL,
     ),
 )
@@ -401,7 +401,7 @@ def deduped_graduate_notices(spark, sf_dir):
     rows = t.graded(spark, sf_dir).withColumns(
         {
             "board_type": F.when(F.col("seq") % 3 == 0, "유웨이어플라이").otherwise(F.col("board_type")),
-            "title": F.left("title", F.lit(12)),
+            "title": F.concat_ws(" ", "university_name", "grade"),
         }
     )
     kept = dedupe.dedupe_graduate(rows)

@@ -6,6 +6,8 @@ import __spark_entry__ as entry
 from tests.compare import duck, mismatch
 
 SMALL = "/root/testdata/sf0.001"
+#: Legitimately without rows on the smallest tables.
+MAY_BE_EMPTY = {"graduate_watch"}
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +20,8 @@ def test_query_matches_sql(spark, con, name):
     sql = entry.oracle_sql().get(name)
     problem = mismatch(spark, con, name, entry.queries()[name], sql, SMALL)
     if problem == "no rows":
-        return  # legitimately empty on very small tables
+        assert name in MAY_BE_EMPTY
+        return
     assert problem is None
 
 
