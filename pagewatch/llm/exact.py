@@ -79,13 +79,13 @@ def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     Rows are found again by id and full hash. Rows that share both are copies of
     one row; a row number, cut to one before any shuffle, leaves one of them.
     """
-    digest, name = fresh(docs, "digest", "number")
+    digest, name, kept_id, kept_digest = fresh(docs, "digest", "number", "kept_id", "kept_digest")
     kept = exact_groups(docs, doc_id, text, digest_all=True).filter("kept").select(
-        F.col("id").alias("_kept_id"), F.col("digest").alias("_kept_digest")
+        F.col("id").alias(kept_id), F.col("digest").alias(kept_digest)
     )
     rows = docs.withColumn(digest, F.sha2(normal_text(text), 256))
     found = rows.join(
-        kept, F.col(doc_id).eqNullSafe(F.col("_kept_id")) & (F.col(digest) == F.col("_kept_digest")), "left_semi"
+        kept, F.col(doc_id).eqNullSafe(F.col(kept_id)) & (F.col(digest) == F.col(kept_digest)), "left_semi"
     )
     order = Window.partitionBy(doc_id, digest).orderBy(digest)
     return found.withColumn(name, F.row_number().over(order)).filter(F.col(name) == 1).drop(name, digest)

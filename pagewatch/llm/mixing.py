@@ -81,23 +81,20 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: every document as often as it is taken, with all its columns.
 
-    Copies are found by id, text and source. Rows that share all three are
-    numbered within their key on both sides and meet one to one.
+    Copies are found by id, text and source; of rows that share all three the
+    first carries the copies of all.
     """
-    mark, number, copies = fresh(docs, "mark", "number", "copies")
-    plan = mix(docs, doc_id, text, source).groupBy("id", "mark", "source").agg(F.sum("copies").alias("taken"), F.count("*").alias("same"))
-    plan = plan.filter("taken > 0").select(*[F.col(c).alias(f"_its_{c}") for c in ("id", "mark", "source", "taken", "same")])
+    mark, number, copies, *its = fresh(docs, "mark", "number", "copies", "its_id", "its_mark", "its_source", "its_taken")
+    plan = mix(docs, doc_id, text, source).groupBy("id", "mark", "source").agg(F.sum("copies").alias("taken"))
+    plan = plan.filter("taken > 0").select(*[F.col(c).alias(own) for c, own in zip(("id", "mark", "source", "taken"), its, strict=True)])
     rows = docs.withColumn(mark, F.xxhash64(text_of(text)))
     met = rows.join(
         plan,
-        F.col(doc_id).eqNullSafe(F.col("_its_id"))
-        & (F.col(mark) == F.col("_its_mark"))
-        & F.col(source).eqNullSafe(F.col("_its_source")),
+        F.col(doc_id).eqNullSafe(F.col(its[0])) & (F.col(mark) == F.col(its[1])) & F.col(source).eqNullSafe(F.col(its[2])),
     )
-    # of rows alike in id, text and source the first carries the copies of all
     order = Window.partitionBy(doc_id, mark, source).orderBy(mark)
     first = met.withColumn(number, F.row_number().over(order)).filter(F.col(number) == 1)
-    return first.withColumn(copies, F.explode(F.expr("sequence(1L, _its_taken)"))).select(*[F.col(c) for c in docs.columns])
+    return first.withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col(its[3])))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

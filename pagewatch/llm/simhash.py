@@ -204,11 +204,11 @@ def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     Rows are found again by id and the text's mark; of rows that share both one
     stays, cut to one before any shuffle.
     """
-    name, mark = fresh(docs, "number", "mark")
+    name, mark, kept_id, kept_mark = fresh(docs, "number", "mark", "kept_id", "kept_mark")
     kept = _grouped(docs, doc_id, text)[1].select("chosen.*").distinct()
-    kept = kept.select(F.col("id").alias("_kept_id"), F.col("mark").alias("_kept_mark"))
+    kept = kept.select(F.col("id").alias(kept_id), F.col("mark").alias(kept_mark))
     found = docs.withColumn(mark, F.xxhash64(text_of(text))).join(
-        kept, F.col(doc_id).eqNullSafe(F.col("_kept_id")) & (F.col(mark) == F.col("_kept_mark")), "left_semi"
+        kept, F.col(doc_id).eqNullSafe(F.col(kept_id)) & (F.col(mark) == F.col(kept_mark)), "left_semi"
     )
     order = Window.partitionBy(doc_id, mark).orderBy(mark)
     return found.withColumn(name, F.row_number().over(order)).filter(F.col(name) == 1).drop(name, mark)

@@ -40,6 +40,6 @@ def documents(spark, texts=NASTY, extra=True):
     rows += [(None, "no id here", None, None, None), rows[-1], rows[-1]] if rows else []
     df = spark.createDataFrame(rows, DOCS)
     if extra:
-        for name in ("size", "kept", "digest", "mark", "number", "row", "id", "fp", "copies"):
+        for name in ("size", "kept", "digest", "mark", "number", "row", "id", "fp", "copies", "kept_id", "its_id", "_id", "_text", "first"):
             df = df.withColumn(name, F.lit(f"own {name}"))
     return df
