@@ -12,20 +12,26 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pagewatch.durable import durable
+from pagewatch.durable import stored
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
 
-def sorted_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Rows in global (keys, order) order with ``_at`` increasing along it and ``_range`` numbering the ranges."""
+def sorted_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], cheap: bool = False) -> DataFrame:
+    """Rows in global (keys, order) order with ``_at`` increasing along it and ``_range`` numbering the ranges.
+
+    Ranges are found from a sample, so the input is read twice; it is stored
+    first, unless the caller says that it is ``cheap`` to read. The layout is
+    stored too: every reader sees the same places and reads the columns it needs.
+    """
     columns = [*keys, *order]
+    source = df if cheap else stored(df)
     ranged = (
-        df.repartitionByRange(*columns)
+        source.repartitionByRange(*columns)
         .sortWithinPartitions(*columns)
         .withColumn("_at", F.monotonically_increasing_id())
     )
-    return durable(ranged).withColumn("_range", F.shiftright("_at", _ROW_BITS))
+    return stored(ranged).withColumn("_range", F.shiftright("_at", _ROW_BITS))
 
 
 def _ranges_in_order() -> Window:
