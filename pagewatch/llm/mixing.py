@@ -44,7 +44,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = L
     """
     totals = stored(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
     listed = totals.withColumn("none", F.col("source").isNull())
-    placed = with_position(sorted_ranges(listed, ["none"], ["source"]), "place")
+    placed = with_position(sorted_ranges(listed, ["none"], ["source"], cheap=True), "place")
     turn = F.array(*[F.lit(w) for w in weights])
     weighed = stored(placed.select("source", "source_size", F.element_at(turn, ((F.col("place") - 1) % len(weights) + 1).cast("int")).alias("weight")))
     budget = weighed.agg(F.sum("source_size")).first()[0] or 0
@@ -70,7 +70,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     )
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()))
     goals = targets(rows)
-    ranked = with_rank(sorted_ranges(rows, ["source"], ["size", "id", "mark", "row"]), ["source"], "rank")
+    ranked = with_rank(sorted_ranges(rows, ["source"], ["size", "id", "mark", "row"], cheap=True), ["source"], "rank")
     goals = goals.withColumnRenamed("source", "its_source")
     met = ranked.join(goals, F.col("source").eqNullSafe(F.col("its_source")))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
