@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagewatch import fixed_values as fv
+from pagewatch.durable import stored
 from pagewatch.functions import rules, text, urls
 from pagewatch.functions.scoring import keyword_hits_long
 from pagewatch.operators import dedupe, portals, reports
@@ -295,7 +296,7 @@ def report_preview(spark, sf_dir):
     ),
 )
 def course_report(spark, sf_dir):
-    return _numbered(reports.course_report(t.items(spark, sf_dir)))
+    return _numbered(reports.course_report(_report_items(spark, sf_dir)))
 
 
 @query(
@@ -306,16 +307,20 @@ def course_report(spark, sf_dir):
     ),
 )
 def graduate_report(spark, sf_dir):
-    return _numbered(reports.graduate_report(t.items(spark, sf_dir)))
+    return _numbered(reports.graduate_report(_report_items(spark, sf_dir)))
+
+
+def _report_items(spark, sf_dir):
+    """What the reports order by, graded once: sorting reads its input twice."""
+    return stored(t.items(spark, sf_dir).select("seq", "grade", "deadline_status", "university_name", "title"))
 
 
 def _numbered(ordered):
     """Line numbers of an already sorted frame: partition offsets plus the place in the partition."""
     from pagewatch.operators.ordering import drop_layout, with_position
-    from pagewatch.durable import durable
 
     rows = ordered.select("seq", F.monotonically_increasing_id().alias("_at"))
-    layout = durable(rows).withColumn("_range", F.shiftright("_at", 33))
+    layout = stored(rows).withColumn("_range", F.shiftright("_at", 33))
     placed = drop_layout(with_position(layout))
     return placed.select((F.col("position") - 1).alias("line"), "seq")
 
