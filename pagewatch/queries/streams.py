@@ -142,17 +142,28 @@ def _site(spark: SparkSession, sf_dir: str):
     return site, boards
 
 
-@query(
-    "course_watch",
-    f"""SELECT 'https://b.example.com/bbs/' || d::VARCHAR AS url, '모집요강 ' || d::VARCHAR AS title,
+_COURSE_WATCH_SQL = f"""SELECT 'https://b.example.com/bbs/' || d::VARCHAR AS url, '모집요강 ' || d::VARCHAR AS title,
            '2026-06-' || lpad((p % 28 + 1)::VARCHAR, 2, '0') AS notice_date, 'new' AS change_type, true AS is_new
         FROM (SELECT d, arg_min(page_id, page_id) AS p FROM (
             SELECT page_id, (page_id + 1) % {_PAGE_COUNT} AS d FROM pages UNION ALL SELECT page_id, (page_id + 2) % {_PAGE_COUNT} FROM pages)
-          WHERE '2026-06-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') >= '2026-06-08' GROUP BY d)""",
-)
+          WHERE '2026-06-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') >= '2026-06-08' GROUP BY d)"""
+
+
+@query("course_watch", _COURSE_WATCH_SQL)
 def course_watch_run(spark, sf_dir):
     """Crawl, grade, dedupe and compare the whole site against empty state."""
+    return _watched(spark, sf_dir, *_site(spark, sf_dir))
+
+
+@query("course_watch_of_fetches", _COURSE_WATCH_SQL)
+def course_watch_of_fetches(spark, sf_dir):
+    """The same over a corpus that holds every page three times: twice as it is, and an earlier fetch of it."""
     site, boards = _site(spark, sf_dir)
+    earlier = site.withColumns({"page_id": F.col("page_id") - (1 << 40), "html": F.lit("<p>an earlier fetch</p>")})
+    return _watched(spark, sf_dir, site.unionAll(earlier).unionAll(site), boards)
+
+
+def _watched(spark, sf_dir, site, boards):
     run = course_watch.run(
         site, boards, t.universities(spark, sf_dir), t.VOCABULARY, COURSES,
         seen=empty(spark, schemas.SEEN), state=empty(spark, schemas.NOTICE_STATE),
