@@ -170,7 +170,7 @@ class IdReader:
 
 
 def file_system(uri: str):
-    """The store of a folder that all executors share, and the path in it."""
+    """The store of a folder that all executors share, and the path in it: any store that pyarrow's file systems open."""
     import pyarrow.fs
 
     if "://" not in uri and not uri.startswith("file:"):
