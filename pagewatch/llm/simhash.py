@@ -198,14 +198,12 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return rows.join(classes, "fp").select("id", "fp", F.col("chosen.id").alias("component"))
 
 
-def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component stays, that with its smallest id, with all its columns.
+def rows_kept(docs: DataFrame, kept: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows whose id and mark are in ``kept``, with all their columns.
 
-    Rows are found again by id and the text's mark; of rows that share both one
-    stays, cut to one before any shuffle.
+    Of rows that share both one stays, cut to one before any shuffle.
     """
     name, mark, kept_id, kept_mark = fresh(docs, "number", "mark", "kept_id", "kept_mark")
-    kept = _grouped(docs, doc_id, text)[1].select("chosen.*").distinct()
     kept = kept.select(F.col("id").alias(kept_id), F.col("mark").alias(kept_mark))
     found = docs.withColumn(mark, F.xxhash64(text_of(text))).join(
         kept, F.col(doc_id).eqNullSafe(F.col(kept_id)) & (F.col(mark) == F.col(kept_mark)), "left_semi"
@@ -214,6 +212,11 @@ def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     return found.withColumn(name, F.row_number().over(order)).filter(F.col(name) == 1).drop(name, mark)
 
 
+def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each component stays, that with its smallest id, with all its columns."""
+    return rows_kept(docs, _grouped(docs, doc_id, text)[1].select("chosen.*").distinct(), doc_id, text)
+
+
 def op7_simhash_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_groups(docs).select(
