@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagewatch.llm import bpe, exact, id_files, language, mixing, quality, secret_scan, simhash, warc, wrappers
+from pagewatch.llm import alignment, bpe, exact, filter_audit, id_files, language, mixing, packing, quality, secret_scan, simhash, warc, wrappers
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,10 +15,16 @@ QUERIES = {
     "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_token_id_files": id_files.op9_token_id_files,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_tokenizer_alignment": alignment.op11_tokenizer_alignment,
+    "op12_best_fit_packing": packing.op12_best_fit_packing,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
 SQL = {
     "op1_mixing": mixing.SQL,
     "op3_warc": warc.SQL,
     "op6_exact_dedup": exact.SQL,
+    "op11_tokenizer_alignment": alignment.op11_tokenizer_alignment,
+    "op12_best_fit_packing": packing.op12_best_fit_packing,
+    "op13_filter_audit": filter_audit.SQL,
 }
