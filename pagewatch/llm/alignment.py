@@ -39,7 +39,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pagewatch.durable import stored
 from pagewatch.llm.bpe import BLOCK_CHARS, REMEMBERED, tokenizer_path
 from pagewatch.llm.common import text_of
-from pagewatch.llm.id_files import LibraryEncoder
+from pagewatch.llm.words import WordEncoder
 
 #: A chunk ends with the document that brings it to so many links.
 CHUNK_LINKS = 1 << 18
@@ -52,19 +52,12 @@ WIDE = 1 << 12
 DIFFERS = 0xFFFFFFFF
 
 
-class ByteTokens(LibraryEncoder):
+class ByteTokens(WordEncoder):
     """Tokenizer A. Strings of special tokens are plain text; ``lengths`` are the tokens' bytes."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         super().__init__(path)
         self.added = {}
-        vocabulary = Tokenizer.from_file(path).get_vocab(with_added_tokens=False)
-        self.bytes_of = [b""] * (max(vocabulary.values()) + 1)
-        byte_of = {letter: byte for byte, letter in self.letters.items()}
-        for token, i in vocabulary.items():
-            self.bytes_of[i] = bytes(byte_of[c] for c in token)
         self.lengths = np.array([len(b) for b in self.bytes_of], np.int64)
 
 

@@ -44,7 +44,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pagewatch.durable import stored
 from pagewatch.llm.bpe import tokenizer_path
 from pagewatch.llm.common import each_row, text_of
-from pagewatch.llm.id_files import LibraryEncoder
+from pagewatch.llm.words import WordEncoder
 from pagewatch.operators.ordering import sorted_ranges, with_position, with_rank
 
 CAPACITY = 1024
@@ -74,7 +74,7 @@ def pieces_of(
     end = np.array([end_id], "<u4").tobytes()
 
     def make():
-        encoder = LibraryEncoder(path)
+        encoder = WordEncoder(path)
 
         def of(key, words):
             ids = b"".join([*encoder.blocks(words), end])

@@ -63,3 +63,22 @@ def test_long_words_with_bounded_lookahead(encoder, library):
 def test_null_and_empty(encoder):
     assert bpe.round_trip(encoder, None) == bpe.round_trip(encoder, "")
     assert bpe.round_trip(encoder, None)[0] == 0
+
+
+def test_words_merged_by_rank_equal_the_library():
+    import public_tokenizers
+
+    from pagewatch.llm.id_files import LibraryEncoder
+    from pagewatch.llm.words import WordEncoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    fast, library = WordEncoder(path), LibraryEncoder(path)
+    assert fast.merge is not None
+    rng = random.Random(12)
+    tokens = [b.decode() for b in fast.bytes_of if b.isascii()]
+    for _ in range(20_000):
+        word = "".join(rng.choice(tokens) for _ in range(rng.randrange(1, 6)))
+        if rng.random() < 0.5:
+            word = "".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 0x3000), rng.randrange(0x1F300, 0x1F700)])) for _ in range(rng.randrange(1, 20)))
+        assert fast._ids(word) == library._ids(word), repr(word)
+    assert fast._ids("ab" * 60_000) == library._ids("ab" * 60_000)
