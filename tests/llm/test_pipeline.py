@@ -5,7 +5,8 @@ from collections import Counter
 import corpus_pipeline
 from pagewatch.llm import quality
 from tests.llm.data import documents
-from tests.llm.test_documents import brute_components, brute_exact
+from tests.llm.test_documents import brute_exact
+from tests.llm.test_near import brute_kept
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -27,14 +28,14 @@ def test_each_stage_works_on_what_the_one_before_kept(spark):
     verdicts = quality.graded(docs, quality.learn(docs, labels)).filter("kept")
     assert Counter(r["doc_id"] for r in good.collect()) == Counter(r["id"] for r in verdicts.collect())
     marked = {r["doc_id"] for r in labels.filter("quality = 1").collect()}
-    lost = [r for r in verdicts.sparkSession.createDataFrame([(1,)], "x int").collect()] and marked - {d for d, _ in rows(good)}
+    lost = marked - {d for d, _ in rows(good)}
     failed = {r["id"] for r in quality.graded(docs, None).filter("base_failed").collect()}
     assert not lost - failed  # clean documents stay
     kept = {d for d, _ in rows(single)}
     want, groups = brute_exact(rows(good))
     assert kept == {k[1] for k in want} and single.count() == groups
-    want, groups = brute_components(rows(single))
-    assert {d for d, _ in rows(apart)} == {k[2] for k in want} and apart.count() == groups
+    want, groups = brute_kept(rows(single))
+    assert {d for d, _ in rows(apart)} == want and apart.count() == groups
     assert {d for d, _ in rows(mixed)} <= {d for d, _ in rows(apart)}
     assert Counter(r["doc_id"] for r in ids.collect()) == Counter(d for d, _ in rows(mixed))
 
