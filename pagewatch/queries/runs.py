@@ -326,7 +326,12 @@ v_event AS (SELECT sha256('chat' || chr(10) || {key}) AS delivery_id, ts, event_
 
 
 def _events(spark, sf_dir, per_day: bool):
-    e, kind = t.table(spark, sf_dir, "events"), F.col("event_type")
+    return event_columns(t.table(spark, sf_dir, "events"), per_day)
+
+
+def event_columns(e, per_day: bool):
+    """events as a delivery log: an id per user and day, or three ids that share all events."""
+    kind = F.col("event_type")
     user = F.col("user_id")
     key = (
         F.concat(user.cast("string"), F.lit(" "), F.date_format("ts", "yyyy-MM-dd"))
@@ -399,12 +404,15 @@ def delivery_outcomes(spark, sf_dir):
     )
 
 
-@query("delivery_state", _recursive("SELECT * FROM v_state", True))
+DELIVERY_SQL, HOT_DELIVERY_SQL = (_recursive("SELECT * FROM v_state", per_day) for per_day in (True, False))
+
+
+@query("delivery_state", DELIVERY_SQL)
 def delivery_state(spark, sf_dir):
     return outbox.delivery_state(_events(spark, sf_dir, True))
 
 
-@query("delivery_state_of_hot_ids", _recursive("SELECT * FROM v_state", False))
+@query("delivery_state_of_hot_ids", HOT_DELIVERY_SQL)
 def delivery_state_of_hot_ids(spark, sf_dir):
     """Three ids share all events: a third of the table each."""
     return outbox.delivery_state(_events(spark, sf_dir, False))

@@ -12,10 +12,10 @@ from pagewatch.plans import course_watch, graduate_watch
 from pagewatch.queries import tables as t
 from pagewatch.queries.pages import COURSES
 from pagewatch.queries.registry import query
-from pagewatch.queries.runs import RUNS_SQL, snapshot_columns
+from pagewatch.queries.runs import DELIVERY_SQL, HOT_DELIVERY_SQL, RUNS_SQL, event_columns, snapshot_columns
 from pagewatch.sources.config import empty
 from pagewatch.sources.pages import read_pages
-from pagewatch.streaming import watch
+from pagewatch.streaming import delivery, watch
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -34,6 +34,10 @@ def drained(rows: DataFrame, mode: str = "append") -> DataFrame:
     writer = rows.writeStream.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True)
     if mode == "append":
         writer = writer.outputMode("append").format("parquet").option("path", f"{folder}/rows")
+    elif mode == "update":  # a replayed batch writes its own folder again
+        writer = writer.outputMode("update").foreachBatch(
+            lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        )
     else:
         writer = writer.outputMode(mode).foreachBatch(
             lambda batch, _id: batch.write.mode("overwrite").parquet(f"{folder}/rows")
@@ -112,6 +116,40 @@ def _instants(events: DataFrame) -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+@query(
+    "stream_late_events",
+    """SELECT event_id, event_type, coalesce(ts < (SELECT max(b.ts) FROM events b WHERE b.event_id % 4 < e.event_id % 4) - INTERVAL 5 DAY, false) AS late
+    FROM events e""",
+)
+def stream_late_events(spark, sf_dir):
+    """events as four files, one a micro-batch, and a watermark five days behind: one stream, a timely and a late output."""
+    folder = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    events = t.table(spark, sf_dir, "events")
+    for number in range(4):
+        events.where(F.col("event_id") % 4 == number).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    rows = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    outputs = watch.split_late(rows, "ts", 5 * 86_400, f"{folder}/out", f"{folder}/progress")
+    both = [spark.read.schema(events.schema).parquet(path).withColumn("late", F.lit(i == 1)) for i, path in enumerate(outputs)]
+    return both[0].unionByName(both[1]).select("event_id", "event_type", "late")
+
+
+def _delivered(spark, sf_dir, per_day: bool):
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    events = event_columns(_instants(stream(spark, sf_dir, "events")), per_day)
+    return delivery.latest_entries(drained(delivery.delivery_updates(events), mode="update"))
+
+
+@query("stream_delivery_state", DELIVERY_SQL)
+def stream_delivery_state(spark, sf_dir):
+    """The outbox folded by keyed stream state."""
+    return _delivered(spark, sf_dir, True)
+
+
+@query("stream_delivery_state_of_hot_ids", HOT_DELIVERY_SQL)
+def stream_delivery_state_of_hot_ids(spark, sf_dir):
+    return _delivered(spark, sf_dir, False)
+
+
 # ---------------------------------------------------------- both watches
 _PAGE_COUNT = "(SELECT count(*) FROM pages)"
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pagewatch import fixed_values as fv, schemas
 from pagewatch.operators import changes, dedupe, outbox, page_state, reports
 from pagewatch.operators.ordering import sorted_ranges, with_last_before, with_position, with_rank
-from pagewatch.sources import config, state as state_tables
+from pagewatch.sources import config, state as state_tables, tableset
 from pagewatch.sources.sinks import write_results
 from pagewatch.streaming import watch
 
@@ -312,26 +312,110 @@ def test_change_stream_equals_table(spark, tmp_path):
     assert sorted(got) == sorted(table)
 
 
-def test_runs_as_batches(spark, tmp_path):
-    schema = "seq long, url string, content_fingerprint string, grade string, deadline_status string, checked_at string, notice_date string"
-    frames = [
-        spark.createDataFrame([(0, "a", "1", "A", "모집중", "r1", AS_OF), (1, "b", "1", "A", "모집중", "r1", AS_OF), (2, "c", "1", "C", "모집중", "r1", AS_OF)], schema),
-        spark.createDataFrame([(0, "a", "1", "A", "모집중", "r2", AS_OF), (1, "b", "1", "A", "모집중", "r2", AS_OF), (2, "c", "2", "C", "모집중", "r2", AS_OF)], schema),
+RUN_ITEM = "seq long, url string, content_fingerprint string, grade string, deadline_status string, checked_at string, notice_date string"
+
+
+def run_frames(spark):
+    rows = lambda n, *more: [(0, "a", "1", "A", "모집중", f"r{n}", AS_OF), (1, "b", "1", "A", "모집중", f"r{n}", AS_OF), *more]
+    return [
+        spark.createDataFrame(rows(1, (2, "c", "1", "C", "모집중", "r1", AS_OF)), RUN_ITEM),
+        spark.createDataFrame(rows(2, (2, "c", "2", "C", "모집중", "r2", AS_OF)), RUN_ITEM),
     ]
-    state = state_tables.StateTable(spark, str(tmp_path / "state"), schemas.NOTICE_STATE)
-    known = state_tables.StateTable(spark, str(tmp_path / "seen"), schemas.SEEN)
-    log = []
+
+
+def run_store(spark, folder, buckets=8):
+    return tableset.TableSet(spark, str(folder), watch.RUN_TABLES, buckets)
+
+
+def test_runs_as_batches(spark, tmp_path):
+    store, log = run_store(spark, tmp_path / "store"), []
 
     def deliver(targets):
-        sent = targets.where("url = 'a'")  # b fails every time
         log.append(sorted(r.url for r in targets.collect()))
-        return sent
+        return targets.where("url = 'a'")  # b fails every time
 
-    stream = _files(spark, str(tmp_path / "in"), frames)
-    watch.watch_runs(stream, state, known, deliver, as_of(), str(tmp_path / "cp")).awaitTermination()
+    stream = _files(spark, str(tmp_path / "in"), run_frames(spark))
+    watch.watch_runs(stream, store, deliver, as_of(), str(tmp_path / "cp")).awaitTermination()
     assert log == [["a", "b"], ["b"]]
-    assert sorted(r.url for r in state.read().collect()) == ["a", "c"]
-    assert sorted(r.key for r in known.read().collect()) == ["a", "c"]
+    assert sorted(r.url for r in store.read("state").collect()) == ["a", "c"]
+    assert sorted(r.key for r in store.read("seen").collect()) == ["a", "c"]
+
+
+class Crash(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step", range(9))
+def test_a_run_that_dies_anywhere_ends_in_the_same_tables_and_delivers_once(spark, tmp_path, monkeypatch, step):
+    """Every durable write of a run, and the delivery itself, dies before or after it is done; then the run is repeated."""
+    first, second = run_frames(spark)
+    store, delivered = run_store(spark, tmp_path / "store", buckets=2), []
+    sends = lambda targets: targets.where("url != 'x'")
+
+    def deliver(targets):
+        delivered.extend(r.url for r in targets.collect())
+        crash("delivered")
+        return sends(targets)
+
+    places = ["before intent", "after intent", "delivered", "before sent", "after sent", "before state", "before seen", "before commit", "after commit"]
+    armed = {places[step]}
+
+    def crash(place):
+        if place in armed:
+            armed.clear()
+            raise Crash(place)
+
+    create, changed = tableset.Files.create, tableset.TableSet.changed
+
+    def creates(self, name, value):
+        kind = "commit" if name.startswith("commits") else name.rsplit("/", 1)[1].removesuffix(".json")
+        crash(f"before {kind}")
+        made = create(self, name, value)
+        crash(f"after {kind}")
+        return made
+
+    def changes_table(self, name, *rest):
+        crash(f"before {name}")
+        return changed(self, name, *rest)
+
+    monkeypatch.setattr(tableset.Files, "create", creates)
+    monkeypatch.setattr(tableset.TableSet, "changed", changes_table)
+    arrived = lambda targets: sends(targets).where(F.col("url").isin(delivered))
+    for batch_id, batch in enumerate((first, second)):
+        for _ in range(2):
+            try:
+                watch.run_once(batch, batch_id, store, deliver, as_of(), recover=arrived)
+            except Crash:
+                continue
+    nothing_sent = places[step] == "after intent"  # died with the intent durable and nothing sent: these stay targets of the next run
+    assert not armed and sorted(delivered) == ["a", "b"]
+    assert sorted(r.url for r in store.read("state").collect()) == ["a", "b", "c"]
+    assert sorted(r.key for r in store.read("seen").collect()) == ["a", "b", "c"]
+    assert store.current().number == 2 and (not nothing_sent or len(delivered) == 2)
+
+
+def test_a_change_rewrites_its_buckets_only(spark, tmp_path):
+    tables = {"state": tableset.Keyed(schemas.NOTICE_STATE, "url")}
+    store = tableset.TableSet(spark, str(tmp_path / "s"), tables, buckets=64)
+    rows = lambda urls, print_: spark.createDataFrame([(u, print_, "A", "", "t", i) for i, u in enumerate(urls)], "url string, content_fingerprint string, grade string, deadline_status string, checked_at string, seq long")
+    upsert = lambda old, new: changes.update_notice_state(old, new)
+    urls = [f"https://x/{i}" for i in range(300)]
+    first = store.commit(store.current(), 0, state=store.changed("state", rows(urls, "1"), upsert, store.current()))
+    some = urls[:3] + ["https://new/1"]
+    second = store.commit(first, 1, state=store.changed("state", rows(some, "2"), upsert, first))
+    differ = [b for b, folder in second.tables["state"].items() if folder != first.tables["state"][b]]
+    assert 1 <= len(differ) <= 4 and len(second.tables["state"]) == len(first.tables["state"]) > 50
+    got = {r.url: r.content_fingerprint for r in store.read("state").collect()}
+    assert got == {u: "1" for u in urls} | {u: "2" for u in some}
+    assert {r.url: r.content_fingerprint for r in store.read("state", first).collect()} == {u: "1" for u in urls}
+    # a second writer that starts from the same version is told
+    late = store.changed("state", rows(["https://x/9"], "3"), upsert, first)
+    with pytest.raises(outbox.DurableStateError):
+        store.commit(first, 2, state=late)
+    # what no kept version names goes: the late writer's folder, and the first one once all its buckets are replaced
+    third = store.commit(second, 3, state=store.changed("state", rows(urls, "4"), upsert, second))
+    assert store.retain(keep=2) == 1 and store.retain(keep=1) == 2
+    assert store.read("state").where("content_fingerprint = '4'").count() == 300 and store.current() == third
 
 
 def test_stale_split_and_copies(spark, tmp_path):
@@ -370,3 +454,48 @@ def test_long_vocabularies_score_like_short_ones(spark, monkeypatch):
     large = scoring.Vocabulary(tuple(scoring.Word("registration", "positive", f"w{i}x", 1) for i in range(5_000)))
     got = {r.seq: r.registration_score for r in scoring.with_classification(frame, large).collect()}
     assert got == {1: 7, 2: 0, 3: 3}
+
+
+def delivery_rows(rng, n, ids):
+    import datetime as dt
+
+    kinds = {"begin": None, "confirm": "delivered", "failure": "failed", "resolve": "delivered"}
+    out = []
+    for i in range(n):
+        kind = rng.choice(list(kinds))
+        status = rng.choice(["failed", "uncertain"]) if kind == "failure" else kinds[kind]
+        ts = dt.datetime(2026, 6, 1) + dt.timedelta(minutes=rng.randrange(60 * 24 * 20))
+        out.append((rng.choice(ids), kind, status, f"k{i}", f"m  {i}", f"id{i}" if kind == "confirm" else None, f"E{i % 3}" if kind == "failure" else None, ts, i))
+    return out
+
+
+@pytest.mark.parametrize("ids, lateness", [([f"d{i}" for i in range(12)], "60 days"), (["hot"], "60 days"), (["hot", "d1"], "1 day")])
+def test_delivery_stream_equals_the_table(spark, tmp_path, ids, lateness):
+    """Shuffled files with a wide lateness; with a narrow one files in order of time, so that buckets settle between batches."""
+    from pagewatch.queries.streams import drained
+    from pagewatch.streaming import delivery
+
+    rows = delivery_rows(random.Random(6), 160, ids)
+    if lateness == "1 day":
+        rows.sort(key=lambda r: r[7])
+    frames = [spark.createDataFrame(rows[i : i + 40], schemas.DELIVERY_EVENTS) for i in range(0, 160, 40)]
+    stream = _files(spark, str(tmp_path / "in"), frames)
+    updates = drained(delivery.delivery_updates(stream, lateness), mode="update")
+    want = outbox.delivery_state(spark.createDataFrame(rows, schemas.DELIVERY_EVENTS))
+    got = delivery.latest_entries(updates).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert updates.count() > len(ids)  # a row per id and batch
+
+
+def test_late_rows_go_to_their_own_output(spark, tmp_path):
+    import datetime as dt
+
+    day = lambda n: dt.datetime(2026, 6, n)
+    frames = [
+        spark.createDataFrame(rows, "n int, ts timestamp")
+        for rows in ([(0, day(10)), (1, day(1)), (2, None)], [(3, day(9)), (4, day(2)), (5, day(20))], [(6, day(11)), (7, day(18)), (8, None)])
+    ]
+    stream = _files(spark, str(tmp_path / "in"), frames)
+    folders = watch.split_late(stream, "ts", 3 * 86_400, str(tmp_path / "out"), str(tmp_path / "cp"))
+    timely, late = ([r.n for r in spark.read.parquet(f).orderBy("n").collect()] for f in folders)
+    assert (timely, late) == ([0, 1, 2, 3, 5, 7, 8], [4, 6])
