@@ -65,9 +65,10 @@ class PieceTokens(dict):
     """Tokenizer B, a sentencepiece model. As a mapping it gives a segment's packed ids.
 
     A character that no piece of several characters has is a token by itself, and
-    no piece has a space mark behind another character. So the model's result is
-    the same for segments that end before a mark and at such characters, and a
-    segment is encoded once. A model whose pieces are not like that takes texts whole.
+    no piece has a space mark behind another character, nor a letter beside a
+    character that is neither. So the model's result is the same for segments cut
+    at those places, and a segment is encoded once. A model whose pieces are not
+    like that takes larger segments, or texts whole.
     """
 
     MARK = "▁"
@@ -88,21 +89,21 @@ class PieceTokens(dict):
         self.before = len(self.model.encode(self.alone))
         self.cut = None
         if not any(re.search(f"[^{self.MARK}]{self.MARK}", p) for p in normal):
-            joins = "".join(map(re.escape, sorted(merged)))
+            apart = not any(x.isalpha() != y.isalpha() and self.MARK not in (x, y) for p in normal for x, y in zip(p, p[1:]))
+            kinds = [{c for c in merged if c.isalpha()}, {c for c in merged if not c.isalpha()}] if apart else [merged]
+            joins = ["".join(map(re.escape, sorted(kind))) for kind in kinds if kind]
             marks = f" {self.MARK}"
-            self.cut = re.compile(f"[{marks}]*[{joins}]+|[{marks}]+|[^{joins}{marks}]")
-
-    def __missing__(self, segment: str) -> bytes:
-        # after a character that stands alone, so that no space is put before the segment
-        ids = self.model.encode(self.alone + segment)[self.before :]
-        packed = struct.pack(f"<{len(ids)}I", *ids)
-        if b"".join(map(self.bytes_of.__getitem__, ids)) != segment.encode():
-            packed = struct.pack("<I", DIFFERS) + packed
-        if len(segment) < 256:
-            if len(self) >= REMEMBERED:
-                self.clear()
+            runs = "".join(f"[{marks}]*[{j}]+|" for j in joins)
+            self.cut = re.compile(f"{runs}[{marks}]+|[^{''.join(joins)}{marks}]")
+
+    def learn(self, segments: list[str]) -> None:
+        """Encode segments in one call, each after a character that stands alone, so that no space is put before it."""
+        for segment, ids in zip(segments, self.model.encode([self.alone + s for s in segments], num_threads=1), strict=True):
+            ids = ids[self.before :]
+            packed = struct.pack(f"<{len(ids)}I", *ids)
+            if b"".join(map(self.bytes_of.__getitem__, ids)) != segment.encode():
+                packed = struct.pack("<I", DIFFERS) + packed
             self[segment] = packed
-        return packed
 
     def blocks(self, text: str) -> Iterator[bytes]:
         """Packed ids of a text that begins with a space."""
@@ -119,6 +120,10 @@ class PieceTokens(dict):
                     size *= 2
                     continue
                 segments.pop()
+            if len(self) >= REMEMBERED:
+                self.clear()
+            if new := [s for s in set(segments) if s not in self]:
+                self.learn(new)
             yield b"".join(map(self.__getitem__, segments))
             at, size = at + sum(map(len, segments)), BLOCK_CHARS
 
