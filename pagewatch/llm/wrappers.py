@@ -9,11 +9,18 @@ is done pairwise, so every page of a host takes part: first where the pages are,
 then in groups of at most ``FAN`` wrappers until a host has one. Only wrappers
 are shuffled, never pages.
 
-Each element of a wrapper counts the characters and link characters its slots
-held. The main region is found by going down from the body to where the article
-text is; a page is then cut at that region. A page that does not fit its host's
-wrapper is cut by its own. Menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments are left out wherever they stand.
+Each element of a wrapper counts the characters and link characters it held.
+The main region is found by going down from the body to the articles, or as far
+as one element has nearly all of the text; a page is then cut at that region. A
+page of which that is not most of its text is cut by a wrapper of its own.
+Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+reader comments are left out wherever they stand. Class names, ids, roles and
+forms are hints for that: an element that holds the page's article is not left
+out for its name. Wrappers serve to find the region; what is left out inside it
+goes by elements and hints, not by slots and groups.
+
+Shapes are tags and classes. A wrapper keeps ``KEPT`` items an element, so it is
+bounded by that and ``DEEPEST``, not by the pages of its host.
 
 Null html counts as empty and gives the empty text; pages whose address has no
 host share one wrapper. Unclosed and misnested tags are closed as a browser
@@ -66,43 +73,96 @@ LEFT_OUT_NAMES = {
     "respond", "reply", "replies", "share", "sharing", "social", "related", "recommended", "newsletter", "subscribe", "signup", "login",
     "search", "widget", "pagination", "pager", "toolbar", "skip", "disclaimer",
 }
+READERS = {"comment", "comments", "commentlist", "disqus", "respond", "reply", "replies"}
+TELLING = {"has", "no", "with", "without", "is", "js", "open", "closed"}
 REGIONS = {"article", "main"}
 
 FAN = 64
 DEEPEST = 40
 WIDEST = 300
+#: Items of one element that a wrapper keeps; those of the fewest pages become one item that stands for any.
+KEPT = 120
+ANY = "*"
+#: An element is gone down into if it has at least this share of the article text; what stands beside it is kept otherwise.
+SHARE = 0.9
 
 
 class Node:
     """An element of a page: its shape, whether it is left out, and its children, which are texts and elements."""
 
-    __slots__ = ("tag", "shape", "out", "children", "parent")
+    __slots__ = ("tag", "shape", "out", "hint", "children", "parent", "own", "regions")
 
-    def __init__(self, tag: str, shape: str, out: bool, parent: Node | None):
-        self.tag, self.shape, self.out, self.parent = tag, shape, out, parent
+    def __init__(self, tag: str, shape: str, out: bool, parent: Node | None, hint: str = ""):
+        self.tag, self.shape, self.out, self.parent, self.hint = tag, shape, out, parent, hint
         self.children: list = []
+        self.own = self.regions = 0
 
 
-def _names(value: str) -> list[str]:
-    return re.findall(r"[a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower())
+def _names(value: str) -> set[str]:
+    """The parts of class names and ids, but for names that only tell of something (has-sidebar, no-comments)."""
+    out: set[str] = set()
+    for name in value.split():
+        parts = re.findall(r"[a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower())
+        if parts and parts[0] not in TELLING:
+            out.update(parts)
+    return out
 
 
 def _element(tag: str, attributes: str, parent: Node) -> Node:
-    shape, out = tag, tag in LEFT_OUT
+    """A node. Names, roles and forms are hints that it is left out, which ``_settle`` may take back."""
+    shape, out, hint = tag, tag in LEFT_OUT, "form" if tag == "form" else ""
     if tag not in INLINE and "=" in attributes:
         found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
-        named = f"{found.get('class', '')} {found.get('id', '')}"
-        if named != " ":
-            shape = re.sub(r"\d+", "0", f"{tag}.{'.'.join(sorted(found.get('class', '').split()))}#{found.get('id', '')}")
-            out = out or (tag not in ("body", "html") and not LEFT_OUT_NAMES.isdisjoint(_names(named)))
-        out = out or found.get("role", "").lower() in LEFT_OUT_ROLES
-        out = out or found.get("aria-hidden", "").lower() == "true"
+        classes = found.get("class", "")
+        if classes:
+            # ids name one element of one page and are no part of a template
+            shape = re.sub(r"\d+", "0", f"{tag}.{'.'.join(sorted(classes.split()))}")
+        if not out and tag not in ("body", "html"):
+            named = LEFT_OUT_NAMES & _names(f"{classes} {found.get('id', '')}")
+            if named:
+                hint = "readers" if named & READERS else "name"
+            elif found.get("role", "").lower() in LEFT_OUT_ROLES:
+                hint = "role"
+        out = out or bool(hint) or found.get("aria-hidden", "").lower() == "true"
     if tag == "header" and not out:
         above = parent
         while above is not None and above.tag not in REGIONS:
             above = above.parent
         out = above is None
-    return Node(tag, shape, out, parent)
+    return Node(tag, shape, out, parent, hint)
+
+
+def _settle(root: Node) -> None:
+    """Take back hints on what holds the page's article.
+
+    That is an element with all the ``article`` and ``main`` of the page that
+    stand outside of other elements left out, or, on pages without any, with most
+    of the text that is no link; readers' comments only in the first case.
+    """
+    order: list[tuple[Node, bool, bool]] = []
+    stack = [(root, False, False)]
+    while stack:
+        node, linked, hard = stack.pop()
+        order.append((node, linked, hard))
+        for child in node.children:
+            if not isinstance(child, str):
+                stack.append((child, linked or child.tag == "a", hard or (child.out and not child.hint)))
+    for node, linked, hard in reversed(order):
+        if hard:
+            continue
+        node.regions += node.tag in REGIONS
+        if not linked:
+            node.own += sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        if node.parent is not None:
+            node.parent.own += node.own
+            # a comment in an article of its own is no article of the page
+            node.parent.regions += 0 if node.hint == "readers" else node.regions
+    for node, _, hard in order:
+        if node.hint and node.out and not hard:
+            holds = node.regions > 0 and node.regions == root.regions
+            most = not root.regions and node.hint != "readers" and 2 * node.own > root.own
+            if holds or most:
+                node.out = False
 
 
 def parse(html: str) -> Node:
@@ -142,6 +202,7 @@ def parse(html: str) -> Node:
             at = end.end() if end else len(html)
         elif tag not in VOID and not (found[3].endswith("/") and tag in ("svg", "path", "use")):
             here = node
+    _settle(root)
     return root
 
 
@@ -297,65 +358,76 @@ def aligned(a: list, b: list, same_page: bool = False) -> list:
         if x < len(a):
             out.append(_merged(a[x], b[y], same_page))
         i, j = x + 1, y + 1
-    return folded(out)
+    return bounded(folded(out))
+
+
+def bounded(items: list) -> list:
+    """At most ``KEPT`` items: elements that few pages have become one optional repeated item without items of its own."""
+    if len(items) <= KEPT:
+        return items
+    ranked = sorted(range(len(items)), key=lambda i: (items[i][0] == "e" and items[i][1] != ANY, items[i][7] if items[i][0] == "e" else 0, -i), reverse=True)
+    kept = set(ranked[: KEPT - 1])
+    rest = [items[i] for i in range(len(items)) if i not in kept and items[i][0] == "e"]
+    some = ["e", ANY, all(i[2] for i in rest), True, True, sum(i[5] for i in rest), sum(i[6] for i in rest), max((i[7] for i in rest), default=1), []]
+    return [items[i] for i in sorted(kept)] + [some]
 
 
 def merge(a: list, b: list) -> list:
     return _merged(a, b, False)
 
 
-def region_of(wrapper: list) -> list[str]:
-    """The path of shapes from the root to the main region."""
-    path: list[str] = []
+def _tag(item: list) -> str:
+    return item[1].split(".")[0]
+
+
+def region_of(wrapper: list) -> list[list[str]]:
+    """The way from the root to the main region: per step the shapes of the elements gone into."""
+    path: list[list[str]] = []
     here = wrapper
     while True:
-        inner = [i for i in here[8] if i[0] == "e" and not i[2]]
+        inner = [i for i in here[8] if i[0] == "e" and not i[2] and i[1] != ANY]
         own = max((i[5] - i[6] for i in inner), default=0)
         if not inner or own <= 0:
             return path
-        best = max(inner, key=lambda i: (i[1].split(".")[0] in REGIONS, i[5] - i[6]))
-        tag = best[1].split(".")[0]
-        if tag in REGIONS and best[5] - best[6] >= 0.3 * own:
-            path.append(best[1])
-            below = _article(best)
-            return path + below
+        marked = [i for i in inner if _tag(i) in REGIONS and i[5] > i[6]]
+        if marked and sum(i[5] - i[6] for i in marked) >= 0.3 * own:
+            path.append(sorted({i[1] for i in marked}))
+            return path + (_article(marked[0]) if len(path[-1]) == 1 else [])
         best = max(inner, key=lambda i: i[5] - i[6])
-        tag = best[1].split(".")[0]
-        heading = any(i[1].split(".")[0] == "h1" for i in inner if i is not best)
-        share = (best[5] - best[6]) / max(here[5] - here[6], 1)
+        tag = _tag(best)
+        heading = any(_tag(i) == "h1" for i in inner if i is not best)
         if tag in ("html", "body"):
-            path.append(best[1])
+            path.append([best[1]])
             here = best
             continue
         deep = _article(best)
         if deep and tag not in REGIONS:
-            path += [best[1], *deep]
-            return path
+            return [*path, [best[1]], *deep]
+        share = (best[5] - best[6]) / max(here[5] - here[6], 1)
         holds = any(i[0] == "e" for i in best[8])
-        if tag in ("p", "ul", "ol", "table", "blockquote", "h1", "h2", "h3", "pre", "dl") or not holds or heading or share < 0.6:
+        if tag in ("p", "ul", "ol", "table", "blockquote", "h1", "h2", "h3", "pre", "dl") or not holds or heading or share < SHARE:
             return path
-        path.append(best[1])
+        path.append([best[1]])
         here = best
 
 
-def _article(item: list) -> list[str]:
-    """The way down to an article below an item that holds most of its text; none if there is no such article."""
-    stack = [(item, [])]
+def _article(item: list) -> list[list[str]]:
+    """The way down to the articles below an item that together hold most of its text; none if there are none such."""
+    stack: list[tuple[list, list[list[str]]]] = [(item, [])]
     while stack:
         here, path = stack.pop()
-        for child in here[8]:
-            if child[0] == "e" and not child[2]:
-                way = [*path, child[1]]
-                if child[1].split(".")[0] == "article" and child[5] >= 0.5 * item[5]:
-                    return way
-                stack.append((child, way))
+        inner = [c for c in here[8] if c[0] == "e" and not c[2] and c[1] != ANY]
+        found = [c for c in inner if _tag(c) == "article"]
+        if found and 2 * sum(c[5] for c in found) >= item[5]:
+            return [*path, sorted({c[1] for c in found})]
+        stack += [(c, [*path, [c[1]]]) for c in inner]
     return []
 
 
-def regions_at(root: Node, path: list[str]) -> list[Node]:
-    """The page's elements at a path of shapes; the path passes over inline elements."""
+def regions_at(root: Node, path: list[list[str]]) -> list[Node]:
+    """The page's elements at the end of a way, in page order; the way passes over inline elements."""
     here = [root]
-    for shape in path:
+    for shapes in path:
         found: list[Node] = []
         for node in here:
             stack = [c for c in reversed(node.children) if isinstance(c, Node)]
@@ -363,7 +435,7 @@ def regions_at(root: Node, path: list[str]) -> list[Node]:
                 child = stack.pop()
                 if child.out:
                     continue
-                if child.shape == shape:
+                if child.shape in shapes:
                     found.append(child)
                 elif child.tag in INLINE:
                     stack.extend(c for c in reversed(child.children) if isinstance(c, Node))
@@ -371,14 +443,15 @@ def regions_at(root: Node, path: list[str]) -> list[Node]:
     return here
 
 
-def main_text(html: str | None, path: list[str] | None) -> str:
-    """A page's main text: cut at the host's region, or at its own if it has no such place or nothing there."""
+def main_text(html: str | None, path: list[list[str]] | None) -> str:
+    """A page's main text: cut at the host's region where that holds most of the page's article text, else at its own."""
     root = parse(html or "")
-    blocks = blocks_of(regions_at(root, path)) if path else []
-    if not blocks:
-        own = region_of(wrapper_of(root))
-        blocks = blocks_of(regions_at(root, own) if own else [root])
-    return "\n".join(blocks)
+    regions = regions_at(root, path) if path else []
+    held = sum(chars - links for chars, links in map(_text, regions))
+    chars, links = _text(root)
+    if not regions or 2 * held < chars - links:
+        regions = regions_at(root, region_of(wrapper_of(root))) or [root]
+    return "\n".join(blocks_of(regions) or blocks_of([root]))
 
 
 def _hosts(pages: DataFrame) -> DataFrame:

@@ -162,3 +162,54 @@ def test_texts_of_given_pages(spark):
         parts = [" ".join(references.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1|br)>", body)]
         want[r["page_id"]] = "\n".join(x for x in parts if x)
     assert {r["page_id"]: r["text"] for r in wrappers.extracted(pages).collect()} == want
+
+
+ARTICLE = "".join(f"<p>Sentence {i} of the article says something of its own.</p>" for i in range(6))
+AROUND = [
+    '<div class="elementor-widget-container">{}</div>',
+    '<div class="page has-sidebar">{}</div>',
+    '<main class="search-results">{}</main>',
+    '<form id="aspnetForm" action="/">{}<input type="hidden" value="x"></form>',
+    '<div class="post no-comments" id="content">{}</div>',
+    '<section class="widget"><div class="menu-open"><article>{}</article></div></section>',
+]
+
+
+@pytest.mark.parametrize("around", AROUND)
+def test_names_of_containers_do_not_cost_the_article(around):
+    text = wrappers.main_text(f"<html><body><nav>Home About</nav>{around.format(ARTICLE)}<footer>Imprint</footer></body></html>", None)
+    assert text.split("\n") == [f"Sentence {i} of the article says something of its own." for i in range(6)]
+
+
+def test_nothing_beside_the_larger_block_is_dropped():
+    first, second = ARTICLE, "".join(f"<p>Second block {i} goes on with it.</p>" for i in range(4))
+    for page in (f"<div class=a>{first}</div><div class=b>{second}</div>", f"<article class=one>{first}</article><article class=two>{second}</article>"):
+        lines = wrappers.main_text(f"<html><body>{page}</body></html>", None).split("\n")
+        assert len(lines) == 10 and lines[-1] == "Second block 3 goes on with it."
+
+
+def test_comments_longer_than_the_article_stay_out():
+    comments = "".join(f"<article class='comment-body'><p>I think number {i} is wrong, and here is why, at length.</p></article>" for i in range(30))
+    for body in (f"<article>{ARTICLE}</article>", f"<div class=text>{ARTICLE}</div>"):
+        text = wrappers.main_text(f"<html><body>{body}<div id=comments>{comments}</div></body></html>", None)
+        assert "I think" not in text and "Sentence 5" in text
+
+
+def test_a_host_with_unique_names_has_a_bounded_wrapper_and_two_templates_work(spark):
+    pages = []
+    for i in range(400):
+        if i % 4:
+            heads = "".join(f"<h2 id='topic-{i}-{k}' class='t{'abcdefghij'[i % 10]}{chr(97 + i // 10 % 26)}{chr(97 + i // 260)}x{k}'>Topic {k}</h2><p>Text {i} {k} is here.</p>" for k in range(3))
+            pages.append((i, f"https://h.example/{i}", f"<html><body><article>{heads}</article></body></html>"))
+        else:
+            pages.append((i, f"https://h.example/{i}", f"<html><body><article>Teaser {i}.</article><div class=story>{ARTICLE}</div></body></html>"))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(6)
+    sizes = []
+    for n in (100, 400):
+        rows = wrappers.wrappers(df.where(f"page_id < {n}")).collect()
+        assert len(rows) == 1
+        sizes.append(len(rows[0]["wrapper"]))
+    assert sizes[1] < 2 * sizes[0] < 200_000
+    texts = {r["page_id"]: r["text"] for r in wrappers.extracted(df).collect()}
+    assert texts[1].split("\n") == [x for k in range(3) for x in (f"Topic {k}", f"Text 1 {k} is here.")]
+    assert "Sentence 5 of the article" in texts[4]
