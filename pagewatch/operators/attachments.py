@@ -92,19 +92,54 @@ def xlsx_text(content: bytes) -> str:
     return "\n".join(values)
 
 
+class _Lines:
+    """Collects the runs of text of each paragraph while a section is read; paragraphs may stand inside paragraphs."""
+
+    def __init__(self) -> None:
+        self.lines: list[tuple[int, list[str]]] = []
+        self._open: list[list[str]] = []
+        self._run: list[str] | None = None
+
+    def start(self, tag: str, _attributes: dict) -> None:
+        kind = _local(tag)
+        if kind == "p":
+            self._open.append([])
+            self.lines.append((len(self._open), self._open[-1]))
+        self._run = [] if kind == "t" else None
+
+    def data(self, text: str) -> None:
+        if self._run is not None:
+            self._run.append(text)
+
+    def end(self, tag: str) -> None:
+        if self._run is not None and (run := "".join(self._run).strip()):
+            # an inner paragraph's text is part of the outer ones too
+            for runs in self._open:
+                runs.append(run)
+        self._run = None
+        if _local(tag) == "p":
+            self._open.pop()
+
+    def close(self) -> list[str]:
+        return [line for _, runs in self.lines if (line := " ".join(runs))]
+
+
 def hwpx_text(content: bytes) -> str:
-    lines: list[str] = []
+    """Text of all sections, read piece by piece; a section that is not sound XML has none."""
+    found: list[str] = []
     with _open_archive(content) as archive:
-        sections = sorted(n for n in archive.namelist() if n.startswith("Contents/section") and n.endswith(".xml"))
-        for name in sections:
+        for name in sorted(archive.namelist()):
+            if not (name.startswith("Contents/section") and name.endswith(".xml")):
+                continue
+            parser = ElementTree.XMLParser(target=_Lines())
             try:
-                root = ElementTree.fromstring(archive.read(name))
+                with archive.open(name) as section:
+                    while piece := section.read(1 << 16):
+                        parser.feed(piece)
+                found += parser.close()
             except ElementTree.ParseError:
                 continue
-            for paragraph in (e for e in root.iter() if _local(e.tag) == "p"):
-                runs = [n.text.strip() for n in paragraph.iter() if _local(n.tag) == "t" and n.text]
-                lines.append(" ".join(runs).strip())
-    return "\n".join(line for line in lines if line)
+    return "\n".join(found)
 
 
 CODECS: dict[str, Callable[[bytes], str]] = {".docx": docx_text, ".xlsx": xlsx_text, ".hwpx": hwpx_text}

@@ -52,13 +52,18 @@ _BATCH_CHARS = 16_000_000
 
 
 class _Node:
-    __slots__ = ("tag", "attrs", "parent", "parts", "links", "chrome", "_text")
+    """An element. What links ask of the elements around them is handed down when an element is made."""
+
+    __slots__ = ("tag", "attrs", "parent", "parts", "links", "chrome", "near", "section", "_text")
 
     def __init__(self, tag: str, attrs: dict, parent: "_Node | None") -> None:
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.parts: list = []
         self.links = 0
         self.chrome = tag in _CHROME or (parent is not None and parent.chrome)
+        # the nearest row, item or article, and the nearest list section, around what stands in this element
+        self.near: _Node | None = self if tag in _CONTEXT else parent and parent.near
+        self.section: _Node | None = self if tag == "div" and self.has_class("list") else parent and parent.section
         self._text: dict[bool, str] = {}
 
     def text(self, with_chrome: bool = True, skip: frozenset = frozenset()) -> str:
@@ -94,51 +99,51 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.open = _Node("", {}, None)
         self.nodes: list[_Node] = []
+        #: by tag, the open elements' places in the chain of open ones, innermost last
+        self._chain: list[_Node] = []
+        self._places: dict[str, list[int]] = {}
         self.feed(html)
         self.close()
+        # children stand behind their parents, so one pass from the end counts the links below every element
+        for node in reversed(self.nodes):
+            node.parent.links += node.links + (node.tag == "a" and "href" in node.attrs)
+
+    def _innermost(self, tags: "set[str]") -> int:
+        return max((self._places[t][-1] for t in tags if self._places.get(t)), default=-1)
+
+    def _close_from(self, place: int) -> None:
+        """End the open element at a place of the chain and all inside it."""
+        while len(self._chain) > place:
+            self._places[self._chain.pop().tag].pop()
+        self.open = self._chain[-1] if self._chain else self.root
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in _SIBLINGS:
             same, limits = _SIBLINGS[tag]
-            node = self.open
-            while node.parent is not None and node.tag not in limits:
-                if node.tag in same:
-                    self.open = node.parent
-                    break
-                node = node.parent
+            place = self._innermost(same)
+            if place > self._innermost(limits):
+                self._close_from(place)
         values = {k: v or "" for k, v in reversed(attrs)}
         node = _Node(tag, values, self.open)
         self.open.parts.append(node)
         self.nodes.append(node)
-        if tag == "a" and "href" in values:
-            above = self.open
-            while above is not None:
-                above.links += 1
-                above = above.parent
         if tag not in _VOID:
+            self._places.setdefault(tag, []).append(len(self._chain))
+            self._chain.append(node)
             self.open = node
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        node = self.open
-        while node.parent is not None and node.tag != tag:
-            node = node.parent
-        if node.parent is not None:
-            self.open = node.parent
+        place = self._innermost({tag})
+        if place >= 0:
+            self._close_from(place)
 
     def handle_data(self, data: str) -> None:
         self.open.parts.append(data)
 
 
-def _up(node: _Node, test) -> "_Node | None":
-    above = node.parent
-    while above is not None and not test(above):
-        above = above.parent
-    return above
-
-
 def _inside(node: _Node, tag: str) -> "_Node | None":
     """First descendant with ``tag``."""
     stack = list(reversed(node.parts))
@@ -153,9 +158,8 @@ def _inside(node: _Node, tag: str) -> "_Node | None":
 
 def _context_node(link: _Node) -> "_Node | None":
     """Nearest row, item or article; else the nearest of three ancestors with fewer than three links."""
-    near = _up(link, lambda n: n.tag in _CONTEXT)
-    if near is not None:
-        return near
+    if link.parent is not None and link.parent.near is not None:
+        return link.parent.near
     above = link.parent
     for _ in range(3):
         if above is None or above.links < 3:
@@ -188,7 +192,7 @@ def parse_page(html: str) -> dict:
         if around is not None and id(around) not in contexts:
             contexts[id(around)] = len(context_texts)
             context_texts.append(around.text())
-        section = _up(node, lambda n: n.tag == "div" and n.has_class("list"))
+        section = node.parent.section
         heading = icon = bare = None
         if section is not None:
             if id(section) not in headings:

@@ -98,13 +98,13 @@ def api_portal(services: DataFrame, as_of: Column, checked_at: Column, term: str
 
 
 def with_region(rows: DataFrame, universities: DataFrame, restrict: bool) -> DataFrame:
-    """Fill region and city from the university table; with a region filter on, unknown universities go."""
-    places = universities.select(
-        F.col("name").alias("university_name"),
-        F.coalesce("region_name", "region", F.lit("")).alias("_region"),
-        F.coalesce("city", F.lit("")).alias("_city"),
-    )
-    joined = rows.join(places, "university_name", "inner" if restrict else "left")
-    return joined.withColumns(
-        {"region": F.coalesce("_region", F.lit("")), "city": F.coalesce("_city", F.lit(""))}
-    ).drop("_region", "_city")
+    """Fill region and city from the university table; with a region filter on, unknown universities go.
+
+    A name that the table has more than once counts once, with the least of its places.
+    """
+    own = F.struct(F.coalesce("region_name", "region", F.lit("")).alias("region"), F.coalesce("city", F.lit("")).alias("city"))
+    places = universities.groupBy(F.col("name").alias("university_name")).agg(F.min(own).alias("_place"))
+    if restrict:
+        rows = rows.join(places, "university_name", "left_semi")
+    joined = rows.join(places, "university_name", "left")
+    return joined.withColumns({c: F.coalesce(f"_place.{c}", F.lit("")) for c in ("region", "city")}).drop("_place")

@@ -50,6 +50,27 @@ def run_summary(
     ).withColumns(run_facts)
 
 
+def with_lists(
+    summary: DataFrame, items: DataFrame, failures: DataFrame | None, as_of: Column, max_age: int = fv.DEFAULT_MAX_AGE_DAYS,
+    shown: int = 5, seq: str = "seq",
+) -> DataFrame:
+    """The summary row with ``preview_items``, ``failed_boards`` and ``failed_details``: the first ``shown`` of each."""
+    place = F.struct(F.col(seq), "grade", "university_name", "title", "url")
+    top = preview(items, as_of, max_age, shown, seq).agg(F.collect_list(place).alias("_shown"))
+    ordered = F.sort_array(F.transform("_shown", lambda i: F.struct(rules.grade_rank(i["grade"]).alias("rank"), i[seq].alias("at"), i.alias("item"))))
+    out = summary.join(top, F.lit(True)).withColumn("preview_items", F.transform(ordered, lambda i: i["item"].dropFields(seq))).drop("_shown")
+    fields = ("university_name", "board_type", "url", "error")
+    for kind, name in (("board", "failed_boards"), ("detail", "failed_details")):
+        none = F.array().cast(f"array<struct<{', '.join(f'{f}:string' for f in fields)}>>")
+        if failures is None:
+            out = out.withColumn(name, none)
+            continue
+        first = failures.where(F.col("kind") == kind).orderBy("_board", "_seq", "url").limit(shown)
+        listed = first.agg(F.sort_array(F.collect_list(F.struct("_board", "_seq", *fields))).alias("_listed"))
+        out = out.join(listed, F.lit(True)).withColumn(name, F.transform("_listed", lambda i: F.struct(*[i[f].alias(f) for f in fields]))).drop("_listed")
+    return out
+
+
 def report_header(items: DataFrame) -> DataFrame:
     return items.agg(
         F.count("*").alias("total"),

@@ -228,13 +228,16 @@ class RunEnd:
 def finish(
     items: DataFrame, *, history: DataFrame, state: DataFrame, seen: DataFrame, as_of: Column, checked_at: Column,
     deliver: Callable[[DataFrame], DataFrame], counters: DataFrame | None = None, at_least: str | None = None,
-    max_age: int = fv.DEFAULT_MAX_AGE_DAYS,
+    max_age: int = fv.DEFAULT_MAX_AGE_DAYS, failures: DataFrame | None = None, facts: dict[str, int] | None = None,
 ) -> RunEnd:
     """The end of a run: results, alert targets handed out, then history, state and seen as they become.
 
     ``deliver`` gets the targets and returns the rows sent; rows not sent leave
     no trace in the state and are targets again next time. ``at_least`` narrows
-    the results and the targets to grades, but not what the state remembers.
+    the results and the targets to grades, but not what the state remembers. The
+    summary has counts, distributions, the crawl counters, ``facts`` (numbers that
+    the caller knows, such as ``university_count`` and ``crawled_count``), a preview
+    and the first failed boards and details.
     """
     graded = items if at_least is None else items.where(rules.at_least(F.col("grade"), at_least))
     target = rules.is_alert_target(
@@ -245,11 +248,11 @@ def finish(
     settled = changes.items_to_update_state(items, sent, as_of, max_age)
     handled = changes.items_to_mark_seen(items, sent, as_of, max_age)
     # one row of counters and one number
-    facts = {} if counters is None else counters.head().asDict()
-    facts["sent_count"] = sent.count()
+    facts = (facts or {}) | ({} if counters is None else counters.head().asDict()) | {"sent_count": sent.count()}
     summary = reports.run_summary(
         graded, as_of, max_age, checked_at=checked_at, **{name: F.lit(n).cast("bigint") for name, n in facts.items()}
     )
+    summary = reports.with_lists(summary, graded, failures, as_of, max_age)
     return RunEnd(
         graded,
         targets,

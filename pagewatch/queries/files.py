@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 
 from pagewatch import fixed_values as fv, schemas
 from pagewatch.durable import shared_folder, stored
-from pagewatch.operators import attachments, portals
+from pagewatch.operators import attachments, changes, page_parse, portals
 from pagewatch.queries import tables as t
 from pagewatch.queries.registry import query
+from pagewatch.queries.runs import STATE_SQL, snapshot_columns
+from pagewatch.sources.config import in_region
 from pagewatch.sources.sinks import write_results
-from pagewatch.sources.state import StateTable
+from pagewatch.sources.state import StateTable, read_seen_file
+from pagewatch.sources.tableset import Keyed, TableSet
 
 
 def _folder(spark, kind: str) -> str:
@@ -103,3 +106,66 @@ def portal_payloads(spark, sf_dir):
         url=F.col("Link"), board_type=F.lit(fv.PORTAL_API_BOARD), reason=F.lit(""), as_of=t.as_of(), checked_at=F.lit(t.CHECKED_AT),
     )
     return rows.groupBy("title", "url").agg(F.count("*").alias("n"), F.count_distinct("seq").alias("places"))
+
+
+@query(
+    "bucketed_state_rows",
+    t.with_sql(
+        """SELECT url, arg_max(content_fingerprint, o) AS content_fingerprint, arg_max(grade, o) AS grade, arg_max(deadline_status, o) AS deadline_status,
+        arg_max(checked_at, o) AS checked_at FROM (SELECT url, content_fingerprint, grade, deadline_status, checked_at, -1 AS o FROM v_state
+          UNION ALL SELECT url, content_fingerprint, grade, deadline_status, checked_at, seq FROM v_now) GROUP BY url""",
+        STATE_SQL,
+    ),
+)
+def bucketed_state_rows(spark, sf_dir):
+    """Two runs over bucketed tables: the second reads and rewrites the buckets its urls fall into; old versions go."""
+    rows = snapshot_columns(t.table(spark, sf_dir, "conversations")).withColumn("seq", F.col("run"))
+    store = TableSet(spark, _folder(spark, "state"), {"state": Keyed(schemas.NOTICE_STATE, "url")})
+    for number, when in enumerate(("deadline_status = '모집중' AND grade <> 'D'", "deadline_status = '긴급'")):
+        version = store.current()
+        folders = store.changed("state", stored(rows.where(when)), changes.update_notice_state, version)
+        store.commit(version, number, state=folders)
+    store.retain(keep=1)
+    return store.read("state")
+
+
+@query(
+    "seen_file_keys",
+    """SELECT DISTINCT key FROM (SELECT 'https://c.example.com/' || conv_id::VARCHAR AS key FROM conversations
+      UNION ALL SELECT role || ' ' || conv_id::VARCHAR FROM conversations WHERE conv_id // 100 % 2 = 1)""",
+)
+def seen_file_keys(spark, sf_dir):
+    """Seen files of a hundred conversations each, in turn a list of urls and the older object of urls and keys."""
+    bucket = F.floor(F.col("conv_id") / 100)
+    url = F.concat(F.lit("https://c.example.com/"), F.col("conv_id").cast("string"))
+    keys = F.collect_set(F.concat(F.col("role"), F.lit(" "), F.col("conv_id").cast("string"))).alias("keys")
+    each = t.table(spark, sf_dir, "conversations").groupBy(bucket.alias("bucket"), url.alias("url")).agg(keys)
+    files = each.groupBy("bucket").agg(F.collect_list("url").alias("urls"), F.map_from_entries(F.collect_list(F.struct("url", "keys"))).alias("object"))
+    folder = _folder(spark, "seen-files")
+    text = F.when(F.col("bucket") % 2 == 0, F.to_json("urls")).otherwise(F.to_json("object"))
+    files.select(text.alias("value"), "bucket").repartition("bucket").write.partitionBy("bucket").text(folder)
+    return read_seen_file(spark, folder)
+
+
+@query(
+    "list_portal_rows",
+    t.with_sql(
+        """SELECT u.name || ' 일반대학원' AS title, u.name AS university_name, 'https://p.example/' || page_id::VARCHAR AS url, 'A' AS grade,
+          coalesce(u.region_name, u.region) AS region, u.city FROM pages JOIN v_university u ON u.name = 'NATION_' || (page_id % 25)::VARCHAR
+        WHERE page_id % 3 <> 0 AND u.region = (SELECT min(r_name) FROM region)""",
+        t.UNIVERSITIES_SQL,
+    ),
+)
+def list_portal_rows(spark, sf_dir):
+    """A portal list page per page, with a heading that names the graduate school on two of three; known universities of one region only."""
+    page, name = F.col("page_id"), F.concat(F.lit("NATION_"), (F.col("page_id") % 25).cast("string"))
+    heading = F.when(page % 3 == 0, "편입학").otherwise("2026 후기 대학원")
+    section = F.concat(
+        F.lit('<div class="list"><h4>'), heading, F.lit('</h4><a href="https://p.example/'), page.cast("string"),
+        F.lit('"><i title="접수중">접</i>'), name, F.lit(" 일반대학원 <span>U</span></a></div>"),
+    )
+    pages = t.table(spark, sf_dir, "pages").select("page_id", F.lit("https://p.example").alias("url"), F.concat(section, "html").alias("html"))
+    rows = portals.list_portal(page_parse.parse_pages(pages), t.as_of(), F.lit(t.CHECKED_AT))
+    first = t.table(spark, sf_dir, "region").agg(F.min("r_name")).head()[0]
+    known = portals.with_region(rows, in_region(t.universities(spark, sf_dir), first), restrict=True)
+    return known.select("title", "university_name", "url", "grade", "region", "city")

@@ -172,32 +172,48 @@ def rows_to_mark_seen(spark, sf_dir):
     return changes.items_to_mark_seen(items, sent, t.as_of()).select("seq", "url")
 
 
+_SETTLED = f"NOT ({t.TARGET_SQL} AND url NOT IN (SELECT url FROM v_sent)) AND url <> ''"
+
+
 @query(
     "run_end",
     t.with_sql(
         f"""SELECT 'target' AS part, url, grade, count(*) AS n FROM v_item WHERE {t.TARGET_SQL} GROUP BY url, grade
-        UNION ALL SELECT 'state', url, arg_max(grade, seq), 1 FROM v_item
-          WHERE NOT ({t.TARGET_SQL} AND url NOT IN (SELECT url FROM v_sent)) AND url <> '' GROUP BY url
-        UNION ALL SELECT DISTINCT 'seen', url, '', 1 FROM (SELECT url FROM v_sent UNION ALL
+        UNION ALL SELECT 'result', url, grade, count(*) FROM v_item WHERE grade IN ('A', 'B', 'C') GROUP BY url, grade
+        UNION ALL SELECT 'state', url, arg_max(grade, seq), 1 FROM v_item WHERE {_SETTLED} GROUP BY url
+        UNION ALL SELECT DISTINCT 'state', url, 'before', 1 FROM v_item WHERE seq % 7 = 0 AND url NOT IN (SELECT url FROM v_item WHERE {_SETTLED})
+        UNION ALL SELECT DISTINCT 'seen', url, '', 1 FROM (SELECT url FROM v_sent UNION ALL SELECT url FROM v_item WHERE seq % 7 = 0 UNION ALL
           SELECT url FROM v_item WHERE is_new AND url <> '' AND (grade = 'C' OR {t.stale_sql()}))
-        UNION ALL SELECT 'summary', '', '', (SELECT count(*) FROM v_sent)""",
+        UNION ALL SELECT DISTINCT 'history', url, CASE WHEN url IN (SELECT url FROM v_item WHERE registration_score >= 40 AND grade <> 'D') THEN '' ELSE 'before' END, 1
+          FROM v_item WHERE (registration_score >= 40 AND grade <> 'D') OR seq % 7 = 0
+        UNION ALL SELECT 'preview', url, grade, 1 FROM (SELECT url, grade FROM v_item WHERE grade IN ('A', 'B') AND {t.CHANGED_SQL} AND {t.recent_sql()} ORDER BY grade, seq LIMIT 5)
+        UNION ALL SELECT 'summary', 'sent', '', (SELECT count(*) FROM v_sent)
+        UNION ALL SELECT 'summary', 'public', '', count(*) FILTER (grade <> 'D') FROM v_item WHERE grade IN ('A', 'B', 'C')
+        UNION ALL SELECT 'summary', 'crawled', '', count(*) FROM v_item""",
         t.NOTICES_SQL, t.SCORED_SQL, t.ITEMS_SQL, _SENT_SQL,
     ),
 )
 def run_end(spark, sf_dir):
-    """The end of a run in which only grade B rows could be sent."""
-    items = stored(t.items(spark, sf_dir).withColumns({"region": F.lit(""), "source_type": F.lit("board"), "checked_at": F.lit(t.CHECKED_AT)}))
+    """The end of a run from earlier state, with results from grade C up, in which only grade B rows could be sent."""
+    made = {"region": F.lit(""), "source_type": F.lit("board"), "checked_at": F.lit(t.CHECKED_AT)}
+    items = stored(t.items(spark, sf_dir).withColumns(made))
+    earlier = items.where("seq % 7 = 0").dropDuplicates(["url"])
+    fields = {f.name: F.col(f.name) if f.name in earlier.columns else F.lit("") for f in schemas.HISTORY}
     end = course_watch.finish(
-        items, history=empty(spark, schemas.HISTORY), state=empty(spark, schemas.NOTICE_STATE), seen=empty(spark, schemas.SEEN),
-        as_of=t.as_of(), checked_at=F.lit(t.CHECKED_AT), deliver=lambda rows: rows.where("grade = 'B'"),
+        items,
+        history=earlier.select(*[c.alias(n) for n, c in (fields | {"semester": F.lit("before")}).items()]),
+        state=earlier.select(*[(F.lit("before") if f.name == "grade" else F.col(f.name)).alias(f.name) for f in schemas.NOTICE_STATE]),
+        seen=earlier.select(F.col("url").alias("key")), as_of=t.as_of(), checked_at=F.lit(t.CHECKED_AT),
+        deliver=lambda rows: rows.where("grade = 'B'"), at_least="C", facts={"crawled_count": items.count()},
     )
     one, none = F.lit(1).cast("bigint").alias("n"), F.lit("")
-    return (
-        end.targets.groupBy("url", "grade").agg(F.count("*").alias("n")).select(F.lit("target").alias("part"), "url", "grade", "n")
-        .unionAll(end.state.select(F.lit("state"), "url", "grade", one))
-        .unionAll(end.seen.select(F.lit("seen"), F.col("key"), none, one))
-        .unionAll(end.summary.select(F.lit("summary"), none, none, "sent_count"))
-    )
+    counted = lambda part, rows: rows.groupBy("url", "grade").agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "url", "grade", "n")
+    out = counted("target", end.targets).unionAll(counted("result", end.results))
+    out = out.unionAll(end.state.select(F.lit("state"), "url", "grade", one)).unionAll(end.seen.select(F.lit("seen"), F.col("key"), none, one))
+    out = out.unionAll(end.history.select(F.lit("history"), "url", F.when(F.col("semester") == "before", "before").otherwise(""), one))
+    shown = end.summary.select(F.explode("preview_items").alias("i")).select(F.lit("preview"), "i.url", "i.grade", one)
+    numbers = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("n")) for k, c in (("sent", "sent_count"), ("public", "public_count"), ("crawled", "crawled_count"))]))
+    return out.unionAll(shown).unionAll(end.summary.select(numbers.alias("x")).select(F.lit("summary"), "x.k", none, "x.n"))
 
 
 @query(

@@ -41,7 +41,7 @@ def test_first_date(spark):
 
 
 RANGES = [
-    ("접수기간 2026-06-10 ~ 2026-06-20", ("2026-06-10", "2026-06-20")),
+    ("온라인 접수기간은 2026-09-03 ~ 2026-09-17 (18시까지)", ("2026-09-03", "2026-09-17")),
     ("신청 2026.07.01.~07.08.", ("2026-07-01", "2026-07-08")),
     ("접수 2026. 7. 1. ~ 2026. 7. 8.", None),
     ("접수기간 2026-06-20 ~ 2026-06-10", None),
@@ -172,7 +172,7 @@ def test_graduate_rules(spark):
         "대학원 추가모집 2026학년도 수험생 유의사항", "산업체 계약학과 2026학년도 대학원 모집요강",
         "대학원 2027학년도 학석사연계과정 신청 공고",
     ):
-        row = _graduate(spark, title, "일반대학원 모집요강 원서접수 입학전형")
+        row = _graduate(spark, title, "본 대학 일반대학원의 입학전형과 원서접수 일정, 모집요강을 알립니다")
         assert (row.grade, row.matched_keywords) == ("D", [])
     assert _graduate(spark, "대학원 안내", "2026 대학원 모집요강").grade == "D"
     assert _graduate(spark, "대학원 안내", "2026 대학원 모집요강", direct=True).grade == "B"

@@ -499,3 +499,19 @@ def test_late_rows_go_to_their_own_output(spark, tmp_path):
     folders = watch.split_late(stream, "ts", 3 * 86_400, str(tmp_path / "out"), str(tmp_path / "cp"))
     timely, late = ([r.n for r in spark.read.parquet(f).orderBy("n").collect()] for f in folders)
     assert (timely, late) == ([0, 1, 2, 3, 5, 7, 8], [4, 6])
+
+
+def test_summary_lists_show_the_first_of_each(spark):
+    items = spark.createDataFrame(
+        [(i, "AB"[i % 2], f"u{i}", f"t{i}", f"https://x/{i}", True, "new", "모집중", AS_OF) for i in range(8)],
+        "seq long, grade string, university_name string, title string, url string, is_new boolean, change_type string, deadline_status string, notice_date string",
+    )
+    failures = spark.createDataFrame(
+        [("board", 2, 0, "u", "b", "x2", "e"), ("board", 1, 0, "u", "b", "x1", "e")] + [("detail", 1, n, "u", "b", f"d{n}", "e") for n in range(7)],
+        "kind string, _board long, _seq long, university_name string, board_type string, url string, error string",
+    )
+    row = reports.with_lists(reports.run_summary(items, as_of()), items, failures, as_of()).head()
+    assert [i.url for i in row.preview_items] == [f"https://x/{n}" for n in (0, 2, 4, 6, 1)]
+    assert [f.url for f in row.failed_boards] == ["x1", "x2"] and [f.url for f in row.failed_details] == [f"d{n}" for n in range(5)]
+    empty = reports.with_lists(reports.run_summary(items.limit(0), as_of()), items.limit(0), None, as_of()).head()
+    assert (empty.deduped_count, empty.preview_items, empty.failed_boards) == (0, [], [])
