@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagewatch import fixed_values as fv
-from pagewatch.functions.staging import computed_once
+from pagewatch.functions.staging import bind, computed_once
 from pagewatch.functions.text import any_word, non_empty, normalize_space
 
 FULLWIDTH_DIGITS = "０１２３４５６７８９"
@@ -49,24 +49,26 @@ def application_range(text: Column, context_words: Sequence[str] = fv.RANGE_CONT
     Returns ``struct<start: date, end: date>`` or NULL.
     """
     pattern = "(?i)" + fv.RANGE_PATTERN
-    segments = F.filter(
-        F.split(fold_digits(text), r"[\n\r]|(?<=[.!?])" + fv.WHITESPACE),
-        lambda s: any_word(normalize_space(s), context_words),
-    )
+    pieces = F.split(fold_digits(text), r"[\n\r]|(?<=[.!?])" + fv.WHITESPACE)
+    segments = F.filter(F.transform(pieces, normalize_space), lambda s: any_word(s, context_words))
+    # a hit is taken apart in one pass: its groups, with a mark between that no text part of it has
+    mark = "\x1f"
+    groups = mark.join(f"${i}" for i in range(1, 7))
 
     def to_range(hit: Column) -> Column:
-        year, month, day, end_year, end_month, end_day = (
-            F.regexp_extract(hit, pattern, i) for i in range(1, 7)
-        )
-        return F.struct(
-            date_of(year, month, day).alias("start"),
-            date_of(F.coalesce(non_empty(end_year), year), end_month, end_day).alias("end"),
-        )
+        def dates_of(part: Column) -> Column:
+            year, month, day, end_year, end_month, end_day = (F.get(part, F.lit(i)) for i in range(6))
+            return F.struct(
+                date_of(year, month, day).alias("start"),
+                date_of(F.coalesce(non_empty(end_year), year), end_month, end_day).alias("end"),
+            )
+
+        return bind(F.split(F.regexp_replace(hit, pattern, groups), mark), dates_of)
 
     found = F.flatten(
         F.transform(
             segments,
-            lambda s: F.transform(F.regexp_extract_all(normalize_space(s), F.lit(pattern), F.lit(0)), to_range),
+            lambda s: F.transform(F.regexp_extract_all(s, F.lit(pattern), F.lit(0)), to_range),
         )
     )
     ordered = F.filter(found, lambda r: F.coalesce(r["end"] >= r["start"], F.lit(False)))

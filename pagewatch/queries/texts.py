@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagewatch import fixed_values as fv
+from pagewatch.durable import stored
 from pagewatch.functions import dates, hashing, text
 from pagewatch.operators import dedupe
 from pagewatch.queries import tables as t
@@ -404,8 +405,10 @@ def deduped_graduate_notices(spark, sf_dir):
             "title": F.concat_ws(" ", "university_name", "grade"),
         }
     )
-    kept = dedupe.dedupe_graduate(rows)
-    return kept.select(dedupe.item_fingerprint(kept).alias("fp"), "seq", "title")
+    print_ = dedupe.item_fingerprint(rows)
+    # graded once, into narrow rows that the dedupe reads twice
+    kept = dedupe.first_per_key(stored(rows.select(print_.alias("fp"), "seq", "title")), F.col("fp"))
+    return kept.select("fp", "seq", "title")
 
 
 _HISTORY = ", ".join(fv.HISTORY_FIELDS)
