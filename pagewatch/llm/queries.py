@@ -24,7 +24,5 @@ SQL = {
     "op1_mixing": mixing.SQL,
     "op3_warc": warc.SQL,
     "op6_exact_dedup": exact.SQL,
-    "op11_tokenizer_alignment": alignment.op11_tokenizer_alignment,
-    "op12_best_fit_packing": packing.op12_best_fit_packing,
     "op13_filter_audit": filter_audit.SQL,
 }
