@@ -11,8 +11,10 @@ and chosen by a hash.
 
 Texts that are null or without a letter are ``und`` with score 0, and so is every
 text if nothing was labelled. Labels unknown to ``FAMILIES`` form a family of
-their own. Long texts are counted in blocks. Repeated rows give equal results;
-an empty table gives none.
+their own. Long texts are counted in blocks, whose size changes no count. Repeated
+rows give equal results; an empty table gives none.
+
+The sample travels to the driver as the bins that are not zero and their values.
 """
 
 from __future__ import annotations
@@ -44,10 +46,11 @@ FAMILIES = {
 }
 OTHER = "other"
 UNKNOWN = "und"
-BINS = 1 << 12
+BIN_BITS = 13
+BINS = 1 << BIN_BITS
 ORDERS = 4
 BLOCK = 1 << 16
-TRAIN_ROWS = 1_200
+TRAIN_ROWS = 2_400
 HELD_REMAINDER, PARTS = 2, 4
 
 
@@ -62,21 +65,26 @@ def has_letter(text: str | None) -> bool:
 def counts_of(text: str) -> np.ndarray:
     """Counts of hashed n-grams of letters; other characters end a word, and a word's ends count as one blank."""
     total = np.zeros(BINS)
-    carry = np.full(ORDERS - 1, 32, np.uint64)
+    text = text.lower()
+    carry = np.zeros(0, np.uint64)
     for at in range(0, len(text), BLOCK):
-        part = text[at : at + BLOCK].lower()
-        points = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        points = np.frombuffer(text[at : at + BLOCK].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         ascii_letter = (points >= 97) & (points <= 122)
         points = np.where(ascii_letter | (points >= 192), points, 32)
-        points = np.concatenate([carry, points])
+        before = carry[-1:] if at else np.array([0], np.uint64)
+        points = points if at else np.concatenate([np.array([32], np.uint64), points])
         # runs of blanks become one
-        kept = points[np.concatenate([[True], (points[1:] != 32) | (points[:-1] != 32)])]
-        carry = kept[-(ORDERS - 1) :] if len(kept) >= ORDERS - 1 else np.concatenate([np.full(ORDERS - 1 - len(kept), 32, np.uint64), kept])
-        gram = np.zeros(len(kept), np.uint64)
+        points = points[(points != 32) | (np.concatenate([before, points[:-1]]) != 32)]
+        kept = np.concatenate([carry, points])
+        gram = kept
         for order in range(1, ORDERS + 1):
-            gram = gram[1:] * np.uint64(1_000_003) + kept[order - 1 :] if order > 1 else kept
-            mixed = (gram * np.uint64(0x9E3779B97F4A7C15) + np.uint64(order * 0x5851F42D)) >> np.uint64(52)
+            if order > 1:
+                gram = gram[:-1] * np.uint64(1_000_003) + kept[order - 1 :]
+            # those that end before this block are counted
+            own = gram[max(0, len(carry) - order + 1) :]
+            mixed = (own * np.uint64(0x9E3779B97F4A7C15) + np.uint64(order * 0x5851F42D)) >> np.uint64(64 - BIN_BITS)
             total += np.bincount(mixed.astype(np.int64), minlength=BINS)
+        carry = kept[-(ORDERS - 1) :]
     return total
 
 
@@ -85,9 +93,24 @@ def features(text: str) -> np.ndarray:
     return (root / max(np.linalg.norm(root), 1e-12)).astype(np.float32)
 
 
+def packed(row: np.ndarray) -> bytes:
+    """The bins that are not zero and their values."""
+    bins = np.flatnonzero(row)
+    return bins.astype("<u2").tobytes() + row[bins].astype("<f4").tobytes()
+
+
+def unpacked(found: list[bytes]) -> np.ndarray:
+    """A matrix of packed rows, with a last column of ones for the bias."""
+    x = np.zeros((len(found), BINS + 1), np.float32)
+    x[:, BINS] = 1
+    for row, packed_row in zip(x, found, strict=True):
+        n = len(packed_row) // 6
+        row[np.frombuffer(packed_row, "<u2", n)] = np.frombuffer(packed_row, "<f4", n, 2 * n)
+    return x
+
+
 def svm(rows: np.ndarray, sign: np.ndarray, strength: float = 10.0, rounds: int = 30, seed: int = 1) -> np.ndarray:
-    """Weights (the last one is the bias) of a linear support vector machine, by dual coordinate descent."""
-    rows = np.hstack([rows, np.ones((len(rows), 1), rows.dtype)])
+    """Weights of a linear support vector machine, by dual coordinate descent; the last column of ``rows`` is one, for the bias."""
     size, alpha, w = np.einsum("ij,ij->i", rows, rows), np.zeros(len(rows)), np.zeros(rows.shape[1])
     cap = strength * np.where(sign > 0, 1 / max((sign > 0).mean(), 1e-6), 1 / max((sign < 0).mean(), 1e-6)) / 2
     rng = np.random.default_rng(seed)
@@ -138,7 +161,7 @@ def fit(rows: np.ndarray, langs: list[str]) -> Model:
     families = sorted({family_of(x) for x in langs})
     members = [sorted({x for x in langs if family_of(x) == f}) for f in families]
     home = np.array([families.index(family_of(x)) for x in langs], int)
-    wide = rows.shape[1] + 1 if len(rows) else BINS + 1
+    wide = rows.shape[1]
     if len(families) > 1:
         weights = np.stack([svm(rows, np.where(home == k, 1.0, -1.0)) for k in range(len(families))])
     else:
@@ -175,12 +198,11 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     chosen = met.join(sizes, F.col("_of") == F.col("_lang")).filter("_place < _share").select("_text", "_of", "_place")
 
     def make():
-        return lambda words, of, place: (features(words).tobytes() if has_letter(words) else None, of, place)
+        return lambda words, of, place: (packed(features(words)) if has_letter(words) else None, of, place)
 
     found = each_row(chosen, make, "row binary, of string, place double", [("row", pa.binary()), ("of", pa.string()), ("place", pa.float64())])
     taken = found.filter("row is not null").orderBy("place", "of", "row").limit(rows).collect()
-    x = np.array([np.frombuffer(r["row"], np.float32) for r in taken], np.float32).reshape(-1, BINS)
-    return fit(x, [r["of"] for r in taken])
+    return fit(unpacked([r["row"] for r in taken]), [r["of"] for r in taken])
 
 
 def identified(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

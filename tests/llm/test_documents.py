@@ -397,12 +397,74 @@ def test_languages_of_awkward_texts(nasty, empty):
     assert language.learn(empty).predict("words")[0] == "und"
 
 
-def test_features_do_not_depend_on_blocks(monkeypatch):
-    text = "Über die Straße und the road,  la calle \U0001f600 1 2 " * 30
-    whole = language.counts_of(text)
+MIXED_TEXT = "Über die Straße and the road,  la calle \U0001f600 1 2 ΟΔΟΣ İstanbul   " * 30
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 7, 57, 1000])
+def test_features_do_not_depend_on_blocks(monkeypatch, block):
+    whole = language.counts_of(MIXED_TEXT)
     assert whole.sum() > 0
-    monkeypatch.setattr(language, "BLOCK", 57)
-    assert np.abs(language.counts_of(text) - whole).sum() <= 0.1 * whole.sum()
+    monkeypatch.setattr(language, "BLOCK", block)
+    assert (language.counts_of(MIXED_TEXT) == whole).all()
+
+
+def plain_counts(text):
+    """Grams counted one by one in Python numbers."""
+    letters = "".join(c if "a" <= c <= "z" or ord(c) >= 192 else " " for c in text.lower())
+    kept = re.sub(" +", " ", " " + letters)
+    out = [0] * language.BINS
+    for n in range(1, language.ORDERS + 1):
+        for i in range(len(kept) - n + 1):
+            gram = 0
+            for c in kept[i : i + n]:
+                gram = gram * 1_000_003 + ord(c)
+            out[((gram * 0x9E3779B97F4A7C15 + n * 0x5851F42D) % 2**64) >> (64 - language.BIN_BITS)] += 1
+    return out
+
+
+@pytest.mark.parametrize("text", ["", " ", "a", "ab  c", MIXED_TEXT, "İİ9é" * 5])
+def test_features_against_plain_counts(text):
+    assert language.counts_of(text).tolist() == (plain_counts(text) if text else [0] * language.BINS)
+    row = language.features(text)
+    assert (language.unpacked([language.packed(row)])[0, :-1] == row).all()
+
+
+def plain_prediction(model, text):
+    """Family by the greatest weight, then duels counted one by one."""
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    root = [c**0.5 for c in plain_counts(text)]
+    norm = sum(v * v for v in root) ** 0.5
+    x = {i: v / norm for i, v in enumerate(root) if v}
+
+    def value(w):
+        return sum(w[i] * v for i, v in x.items()) + w[-1]
+
+    z = [value(w) for w in model.family_weights]
+    k = max(range(len(z)), key=lambda i: z[i])
+    family = 1 / sum(np.exp(4 * (v - z[k])) for v in z)
+    langs = model.members[k]
+    if len(langs) == 1:
+        return langs[0], family
+    won, margin, chance = ([0.0] * len(langs) for _ in range(3))
+    for (a, b), w in zip(model.duels[k], model.duel_weights[k], strict=True):
+        d = value(w)
+        p = 1 / (1 + np.exp(-4 * d))
+        won[a if d >= 0 else b] += 1
+        margin[a], margin[b] = margin[a] + d, margin[b] - d
+        chance[a], chance[b] = chance[a] + p, chance[b] + 1 - p
+    best = sorted(range(len(langs)), key=lambda i: (-won[i], -margin[i], i))[0]
+    return langs[best], family * chance[best] / (len(langs) - 1)
+
+
+def test_languages_against_plain_prediction(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = language.learn(docs)
+    rows = {r["id"]: r for r in language.identified(docs, model).collect()}
+    for d, t in pairs(docs):
+        lang, score = plain_prediction(model, t)
+        assert rows[d]["lang_pred"] == lang
+        assert abs(rows[d]["score"] - score) < 1e-4
 
 
 # every operator on no rows at all
