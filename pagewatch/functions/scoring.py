@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagewatch import fixed_values as fv
-from pagewatch.functions.staging import bind, computed_once
+from pagewatch.functions.automaton import word_places
+from pagewatch.functions.staging import computed_once
 from pagewatch.functions.text import FLAT_WORDS, any_of, contains_any, literal, total_of, word_flags
 
 @dataclass(frozen=True)
@@ -41,11 +42,14 @@ class Vocabulary:
 
 
 def keyword_flags(lowered: Column, vocabulary: Vocabulary) -> Column:
-    """One boolean per vocabulary entry: is its word a substring of the lower-cased text?
+    """What the lower-cased text holds of the vocabulary.
 
-    Needs neither a join nor a shuffle; scores and words are then read off the flags.
+    Up to ``FLAT_WORDS`` words this is one boolean per entry: is its word a substring? Beyond, it is
+    the positions of the entries found, in one pass over the text. Needs neither a join nor a
+    shuffle; scores and words are then read off it.
     """
-    return word_flags(lowered, [w.word.lower() for w in vocabulary.words])
+    words = [w.word.lower() for w in vocabulary.words]
+    return word_flags(lowered, words) if _flat(vocabulary) else word_places(lowered, words)
 
 
 def _flat(vocabulary: Vocabulary) -> bool:
@@ -57,14 +61,14 @@ def _points(flags: Column, vocabulary: Vocabulary, entries: list[int]) -> Column
         return total_of([F.when(flags[i], vocabulary.words[i].points).otherwise(0) for i in entries])
     own = set(entries)
     points = literal([w.points if i in own else 0 for i, w in enumerate(vocabulary.words)], "int")
-    hit = F.zip_with(flags, points, lambda flag, p: F.when(flag, p).otherwise(0))
-    return F.aggregate(hit, F.lit(0), lambda total, p: total + p)
+    return F.aggregate(flags, F.lit(0), lambda total, i: total + F.get(points, i))
 
 
 def _any_flag(flags: Column, vocabulary: Vocabulary, entries: list[int]) -> Column:
     if _flat(vocabulary):
         return any_of([flags[i] for i in entries])
-    return F.exists(literal(entries, "int"), lambda i: F.get(flags, i))
+    own = set(entries)
+    return F.exists(flags, lambda i: F.get(literal([k in own for k in range(len(vocabulary.words))], "boolean"), i))
 
 
 def family_score(flags: Column, vocabulary: Vocabulary, family: str, positive_wins: bool = False) -> Column:
@@ -77,31 +81,30 @@ def family_score(flags: Column, vocabulary: Vocabulary, family: str, positive_wi
 
 def matched_words(flags: Column, vocabulary: Vocabulary, winners: Sequence[str] = ("computer",)) -> Column:
     """Distinct words found, family by family; negatives a positive hit overrules are left out."""
-    entries, overruled = [], {}
+    groups, overruled = [], {}
     for family in fv.FAMILIES:
         positive, negative = vocabulary.indexes(family, "positive"), vocabulary.indexes(family, "negative")
-        entries += [(i, "") for i in positive] + [(i, family if family in winners else "") for i in negative]
+        groups += [(positive, ""), (negative, family if family in winners else "")]
         overruled[family] = _any_flag(flags, vocabulary, positive) if family in winners else F.lit(False)
-    if not entries:
+    if not any(entries for entries, _ in groups):
         return F.array().cast("array<string>")
-    words = [vocabulary.words[i].word for i, _ in entries]
     if _flat(vocabulary):
         found = [
-            F.when(flags[i] & ~overruled[family] if family else flags[i], word)
-            for (i, family), word in zip(entries, words, strict=True)
+            F.when(flags[i] & ~overruled[family] if family else flags[i], vocabulary.words[i].word)
+            for entries, family in groups
+            for i in entries
         ]
         return F.array_distinct(F.array_compact(F.array(*found)))
-    listed = literal(
-        [{"i": i, "w": word, "f": family} for (i, family), word in zip(entries, words, strict=True)],
-        "struct<i:int,w:string,f:string>",
-    )
-    loses = F.array(*[F.when(overruled[family], F.lit(family)) for family in fv.FAMILIES])
+    words = literal([w.word for w in vocabulary.words], "string")
+    of = {i: number for number, (entries, _) in enumerate(groups) for i in entries}
+    group = literal([of.get(i, -1) for i in range(len(vocabulary.words))], "int")
 
-    def counts(entry: Column, lost: Column) -> Column:
-        return F.get(flags, entry["i"]) & ~F.coalesce(F.array_contains(lost, entry["f"]), F.lit(False))
+    def of_group(number: int, family: str) -> Column:
+        own = F.filter(flags, lambda i: F.get(group, i) == number)
+        return F.when(overruled[family], F.array().cast("array<int>")).otherwise(own) if family else own
 
-    found = bind(F.array_compact(loses), lambda lost: F.filter(listed, lambda entry: counts(entry, lost)))
-    return F.array_distinct(F.transform(found, lambda entry: entry["w"]))
+    listed = F.concat(*[of_group(number, family) for number, (_, family) in enumerate(groups)])
+    return F.array_distinct(F.transform(listed, lambda i: F.get(words, i)))
 
 
 def keyword_hits_long(df: DataFrame, vocabulary: Vocabulary, key: str, text: Column) -> DataFrame:
@@ -112,7 +115,10 @@ def keyword_hits_long(df: DataFrame, vocabulary: Vocabulary, key: str, text: Col
     )
     lowered = computed_once(df.select(key, text.alias("_lower")), {"_lower": F.lower("_lower")})
     flagged = lowered.select(key, keyword_flags(F.col("_lower"), vocabulary).alias("_flags"))
-    exploded = flagged.select(key, F.posexplode("_flags").alias("ord", "hit")).where("hit")
+    if _flat(vocabulary):
+        exploded = flagged.select(key, F.posexplode("_flags").alias("ord", "hit")).where("hit")
+    else:
+        exploded = flagged.select(key, F.explode("_flags").alias("ord"))
     return exploded.select(key, "ord", F.get(names, F.col("ord")).alias("w")).select(
         key, "ord", "w.family", "w.polarity", "w.word", "w.points"
     )

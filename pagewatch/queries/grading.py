@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pagewatch import fixed_values as fv
 from pagewatch.durable import stored
 from pagewatch.functions import rules, text, urls
-from pagewatch.functions.scoring import keyword_hits_long
+from pagewatch.functions.scoring import Vocabulary, Word, keyword_hits_long, with_classification
 from pagewatch.operators import dedupe, portals, reports
 from pagewatch.plans.course_watch import demoted
 from pagewatch.plans.graduate_watch import rule_graded
@@ -51,6 +51,56 @@ def keyword_scores(spark, sf_dir):
     )
 
 
+#: A vocabulary as large as a user's own may be: the most frequent words of the documents.
+MANY_WORDS = 2_000
+_MANY_SQL = f"""v_count AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS word FROM documents) GROUP BY word),
+v_rank AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) - 1 AS r FROM v_count ORDER BY r LIMIT {MANY_WORDS}),
+v_words AS (SELECT word, r, ['registration', 'external', 'computer'][r % 3 + 1] AS family,
+  CASE WHEN r % 5 = 0 THEN 'negative' ELSE 'positive' END AS polarity, CASE WHEN r % 5 = 0 THEN -(r % 7) - 1 ELSE r % 7 + 1 END AS points FROM v_rank),
+v_hits AS (SELECT doc_id, w.* FROM documents JOIN v_words w ON contains(lower(text), word)),
+v_wins AS (SELECT *, family = 'computer' AND polarity = 'negative' AND bool_or(family = 'computer' AND polarity = 'positive')
+  OVER (PARTITION BY doc_id) AS overruled FROM v_hits)"""
+
+
+def many_words(docs) -> Vocabulary:
+    """At most ``MANY_WORDS`` words with made-up families and points; a configuration, so it is read to the driver."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), 0)).alias("word"))
+    top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(MANY_WORDS).collect()
+    found = []
+    for place, row in enumerate(top):
+        negative, points = place % 5 == 0, place % 7 + 1
+        family = ("registration", "external", "computer")[place % 3]
+        found.append(Word(family, "negative" if negative else "positive", row["word"], -points if negative else points))
+    return Vocabulary(tuple(found))
+
+
+@query("large_vocabulary_hits", f"WITH {_MANY_SQL} SELECT word, family, polarity, points, count(*) AS n_docs, sum(doc_id) AS ids FROM v_hits GROUP BY ALL")
+def large_vocabulary_hits(spark, sf_dir):
+    docs = t.table(spark, sf_dir, "documents")
+    hits = keyword_hits_long(docs, many_words(docs), "doc_id", F.col("text"))
+    return hits.groupBy("word", "family", "polarity", "points").agg(
+        F.count("*").alias("n_docs"), F.sum("doc_id").alias("ids")
+    )
+
+
+@query(
+    "large_vocabulary_scores",
+    f"""WITH {_MANY_SQL} SELECT doc_id, coalesce(sum(points) FILTER (family = 'registration'), 0) AS registration_score,
+    coalesce(sum(points) FILTER (family = 'external'), 0) AS external_score,
+    coalesce(sum(points) FILTER (family = 'computer' AND NOT overruled), 0) AS computer_score,
+    coalesce(string_agg(word, ',' ORDER BY list_position(['registration', 'external', 'computer'], family), polarity DESC, r)
+      FILTER (NOT overruled), '') AS matched
+    FROM documents LEFT JOIN v_wins USING (doc_id) GROUP BY doc_id""",
+)
+def large_vocabulary_scores(spark, sf_dir):
+    docs = t.table(spark, sf_dir, "documents")
+    texts = docs.select("doc_id", F.lit("").alias("title"), "text", F.lit(fv.STATUS_UNRELATED).alias("deadline_status"))
+    scored = with_classification(texts, many_words(docs), exclusion_terms=())
+    return scored.select(
+        "doc_id", "registration_score", "external_score", "computer_score", F.array_join("matched_keywords", ",").alias("matched")
+    )
+
+
 _WEAK = "grade = 'C' AND NOT (" + " OR ".join(f"contains(lower(title), '{w}')" for w in fv.WEAK_TITLE_WORDS) + ")"
 _REASON_SQL = f"""CASE grade WHEN 'A' THEN printf('{fv.REASON_A}', deadline_status) WHEN 'B' THEN printf('{fv.REASON_B}', deadline_status)
   WHEN 'C' THEN printf('{fv.REASON_C}', registration_score, external_applicant_status, computer_course_status) ELSE '{fv.REASON_D}' END"""

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewatch import fixed_values as fv
+from pagewatch.functions.automaton import finder
 from pagewatch.functions import dates, hashing, rules, scoring, text, urls
 
 
@@ -281,3 +282,39 @@ def test_portal_print_ignores_date(spark):
 def test_order_ranks(spark):
     assert column(spark, ["A", "D", "x"], rules.grade_rank) == [0, 3, 9]
     assert column(spark, list(fv.REPORT_STATUS_ORDER) + ["x"], rules.status_rank) == [0, 1, 2, 3, 4, 5, 9]
+
+
+# many words in one pass
+
+
+@pytest.mark.parametrize(
+    "words", [[], [""], ["a"], ["ab", "b", "ab", "", "abc", "bca"], ["시간제", "시간", "간제등", "\U0001f600"], [f"w{n}" for n in range(3000)]]
+)
+@pytest.mark.parametrize("text", ["", "a", "abcab", "시간제등록 \U0001f600", "w1 w2999 w12345 w"])
+def test_finder_against_each_word(words, text):
+    assert list(finder(words)(text)) == [i for i, w in enumerate(words) if w in text]
+
+
+def _of_size(size):
+    """Words that overlap, repeat and belong to every family, in no order of families."""
+    kinds = [(f, p) for p in ("positive", "negative") for f in ("computer", "registration", "external")]
+    return scoring.Vocabulary(
+        tuple(scoring.Word(*kinds[n % 6], f"w{n // 2 % 211}" + "x" * (n % 2), n % 9 - 4) for n in range(size))
+    )
+
+
+def test_long_and_short_vocabularies_agree(spark, monkeypatch):
+    texts = [("w1 w22x", "w100 W7X"), ("", ""), (None, "w1"), ("w210x w210", "w1x " * 5000), ("nothing", None)]
+    rows = spark.createDataFrame(
+        [(n, title, body, "모집중") for n, (title, body) in enumerate(texts)],
+        "id int, title string, text string, deadline_status string",
+    )
+    vocabulary, out = _of_size(400), []
+    for flat in (1, 1000):
+        monkeypatch.setattr(scoring, "FLAT_WORDS", flat)
+        monkeypatch.setattr("pagewatch.functions.text.FLAT_WORDS", flat)
+        graded = sorted(scoring.with_classification(rows, vocabulary).collect())
+        hits = sorted(scoring.keyword_hits_long(rows, vocabulary, "id", F.col("text")).collect())
+        out.append((graded, hits))
+    assert out[0] == out[1]
+    assert out[0][1]
