@@ -197,15 +197,17 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     held = F.pmod(F.xxhash64("_id", F.lit("held")), F.lit(4)) == 0
 
     def make():
-        return lambda words, good, apart: (statistics(words)[1], int(good), bool(apart))
+        return lambda words, mark, good, apart: (mark, statistics(words)[1], int(good), bool(apart))
 
     found = each_row(
-        met.select("_text", "_good", held),
+        met.select("_text", F.xxhash64("_id"), "_good", held),
         make,
-        "features array<double>, good int, held boolean",
-        [("features", pa.list_(pa.float64())), ("good", pa.int32()), ("held", pa.bool_())],
+        "mark long, features array<double>, good int, held boolean",
+        [("mark", pa.int64()), ("features", pa.list_(pa.float64())), ("good", pa.int32()), ("held", pa.bool_())],
     )
-    taught = sorted(found.limit(rows).collect(), key=lambda r: (r["features"], r["good"], r["held"]))
+    # where ids repeat more rows may match than the bound: put in order, then cut
+    taught = found.orderBy("mark", "features", "good").limit(rows).collect()
+    taught.sort(key=lambda r: (r["features"], r["good"], r["held"]))
     return fit(
         np.array([r["features"] for r in taught], np.float64).reshape(-1, len(FEATURES)),
         np.array([float(r["good"] > 0) for r in taught]),

@@ -316,6 +316,19 @@ def test_id_file_blocks(tmp_path, monkeypatch):
         assert reader.block(3) == everything[1200:1600]  # any block can be read alone
 
 
+def test_trees_are_the_same_whatever_the_order_of_rows(spark):
+    """Also where ids repeat, so that more rows match than the bound takes."""
+    rows = [(i % 40, f"word{i} " * (i % 90 + 1) + "the of " * (i % 7)) for i in range(160)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    seen = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(1 + len(seen) * 4)
+        trees = quality.learn(docs, labels, rows=60)
+        kept = quality.graded(docs, trees).select("id", "n_words", "score").collect()
+        seen.append((trees.threshold, sorted(map(tuple, kept))))
+    assert seen[0] == seen[1]
+
+
 # secrets
 
 
