@@ -37,12 +37,13 @@ def typed_files(files: DataFrame, headers: DataFrame | None = None, max_bytes: i
     else:
         suffix = detect_suffix(F.col("url"), F.col("content_disposition"), F.col("content_type"))
         rows = files.join(headers, "url", "left").withColumn("suffix", suffix).drop("content_disposition", "content_type")
+    already = F.col("refused") if "refused" in files.columns else F.lit(None).cast("string")
     if max_bytes is None:
-        return rows.withColumn("refused", F.lit(None).cast("string"))
+        return rows.withColumn("refused", already)
     large = F.col("length") > max_bytes
     return rows.withColumns(
         {
-            "refused": F.when(large, F.format_string(f"%d bytes, over {max_bytes}", "length")),
+            "refused": F.coalesce(already, F.when(large, F.format_string(f"%d bytes, over {max_bytes}", "length"))),
             "content": F.when(~large, F.col("content")),
         }
     )

@@ -30,8 +30,20 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).withColumnRenamed("value", "raw")
 
 
-def read_attachments(spark: SparkSession, path: str, base_url: str) -> DataFrame:
-    """Attachment files with the url they were fetched from (``base_url`` + path below ``path``)."""
+def read_attachments(spark: SparkSession, path: str, base_url: str, max_bytes: int | None = None) -> DataFrame:
+    """Attachment files with the url they were fetched from (``base_url`` + path below ``path``).
+
+    Files of more than ``max_bytes`` stay as rows with ``refused`` and null content: their length
+    comes from the listing, and they are never opened. Spark lists no files of no bytes.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     below = F.regexp_replace("path", "^.*?" + re.escape(path.strip("/")) + "/", "")
-    return files.select(F.concat(F.lit(base_url.rstrip("/") + "/"), below).alias("url"), "length", "content")
+    url = F.concat(F.lit(base_url.rstrip("/") + "/"), below).alias("url")
+    if max_bytes is None:
+        return files.select(url, "length", "content")
+    # both filters reach the listing, and the second scan asks for no content
+    none = F.lit(None)
+    read = files.where(F.col("length") <= max_bytes).select(url, "length", "content", none.cast("string").alias("refused"))
+    reason = F.format_string("%d bytes, over %d", "length", F.lit(max_bytes))
+    refused = files.where(F.col("length") > max_bytes).select(url, "length", none.cast("binary").alias("content"), reason.alias("refused"))
+    return read.unionByName(refused)

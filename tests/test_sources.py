@@ -35,6 +35,22 @@ def test_attachment_files(spark, tmp_path):
     assert [(r.url, r.length, r.suffix) for r in files.collect()] == [("https://f.example/files/a/x.hwpx", 3, ".hwpx")]
 
 
+def test_large_attachments_are_never_opened(spark, tmp_path):
+    (tmp_path / "small.bin").write_bytes(b"12345")
+    (tmp_path / "edge.bin").write_bytes(b"x" * 10)
+    # more than a row of this source can hold: opening it would fail the job
+    with (tmp_path / "huge.bin").open("wb") as huge:
+        huge.truncate(3 << 30)
+    files = pages.read_attachments(spark, str(tmp_path), "https://f.example", max_bytes=10)
+    rows = {r.url.rsplit("/", 1)[1]: r for r in files.collect()}
+    assert {n: (r.length, r.refused) for n, r in rows.items()} == {
+        "small.bin": (5, None), "edge.bin": (10, None), "huge.bin": (3 << 30, "3221225472 bytes, over 10"),
+    }
+    assert rows["huge.bin"].content is None and bytes(rows["small.bin"].content) == b"12345"
+    texts = attachments.extract_texts(attachments.typed_files(files)).collect()
+    assert {r.url.rsplit("/", 1)[1]: r.error for r in texts}["huge.bin"] == "3221225472 bytes, over 10"
+
+
 def test_page_stream_is_parsed(spark, tmp_path):
     from pagewatch.operators.page_parse import parse_pages
 
