@@ -27,29 +27,34 @@ def _keys(docs: DataFrame, doc_id: str, text: str, prefix_chars: int, digest: bo
     return normal.select(*columns, *([F.sha2("normal", 256).alias("digest")] if digest else []))
 
 
+def _shared_prefixes(keys: DataFrame) -> DataFrame:
+    """The (length, prefix hash) of groups of several rows."""
+    return keys.groupBy("length", "prefix").agg(F.count("*").alias("n")).filter("n > 1").select("length", "prefix")
+
+
 def exact_groups(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prefix_chars: int = PREFIX_CHARS, digest_all: bool = False
 ) -> DataFrame:
     """One row per document: id, digest, keep_id, group_size, kept.
 
-    Lengths that occur once end their rows' search; of the others, prefix hashes
-    that occur once do; the rest are compared by their full hash. Without
-    ``digest_all`` the full hash is taken in a second scan, of surviving groups
-    alone, and is null elsewhere. With it, the caller wants every row's hash: the
-    first scan, which has the text at hand, takes it, and the refinement runs on
-    the stored keys.
+    Rows whose length no other row has end their search; of the others, rows whose
+    prefix hash no other row of that length has; the rest are compared by their full
+    hash. One aggregate over (length, prefix hash) takes both first steps, since a
+    pair that occurs twice is of a length that does, and a common length does not
+    come to one task. Without ``digest_all`` the full hash is taken in a second scan,
+    of surviving groups alone, and is null elsewhere. With it, the caller wants every
+    row's hash: the first scan, which has the text at hand, takes it, and the
+    refinement runs on the stored keys.
 
     Every group is counted where its rows are before anything is shuffled. The
     joins carry keys, never texts (but for the second scan), and a hot key on
     their row side is one that Spark can split.
     """
     keys = stored(_keys(docs, doc_id, text, prefix_chars, digest_all).withColumn("row", F.monotonically_increasing_id()))
-    lengths = keys.groupBy("length").agg(F.count("*").alias("n")).filter("n > 1").select("length")
-    same_length = keys.join(lengths, "length", "left_semi")
-    prefixes = same_length.groupBy("length", "prefix").agg(F.count("*").alias("n")).filter("n > 1").select("length", "prefix")
+    prefixes = _shared_prefixes(keys)
     if digest_all:
         rows = keys
-        survivors = same_length.join(prefixes, ["length", "prefix"], "left_semi")
+        survivors = keys.join(prefixes, ["length", "prefix"], "left_semi")
     else:
         prefixes = stored(prefixes)
         full = _keys(docs, doc_id, text, prefix_chars, True).join(prefixes, ["length", "prefix"], "left_semi")
@@ -73,22 +78,34 @@ def exact_groups(
     )
 
 
-def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     """The documents that stay, with all their columns.
 
-    Rows are found again by id and full hash. Rows that share both are copies of
-    one row; a row number, cut to one before any shuffle, leaves one of them.
+    Rows outside surviving groups of (length, prefix hash) stay as they are: their
+    texts are neither hashed in full nor moved by a group. A surviving group's rows
+    are found by id, length and prefix hash, hashed in full, and cut to one per
+    hash, in every task before any shuffle and once more after it: the smallest id
+    (null last), of repeated rows with that id any one.
     """
-    digest, name, kept_id, kept_digest = fresh(docs, "digest", "number", "kept_id", "kept_digest")
-    kept = exact_groups(docs, doc_id, text, digest_all=True).filter("kept").select(
-        F.col("id").alias(kept_id), F.col("digest").alias(kept_digest)
+    length, prefix, digest, number = fresh(docs, "length", "prefix", "digest", "number")
+    its_id, its_length, its_prefix = fresh(docs, "its_id", "its_length", "its_prefix")
+    keys = stored(_keys(docs, doc_id, text, prefix_chars, False))
+    suspects = keys.join(_shared_prefixes(keys), ["length", "prefix"], "left_semi")
+    suspects = stored(suspects.select(F.col("id").alias(its_id), F.col("length").alias(its_length), F.col("prefix").alias(its_prefix)))
+    rows = docs.withColumns(
+        {length: F.length(normal_text(text)), prefix: F.xxhash64(F.substring(normal_text(text), 1, prefix_chars))}
+    )
+    same = (
+        F.col(doc_id).eqNullSafe(F.col(its_id)) & (F.col(length) == F.col(its_length)) & (F.col(prefix) == F.col(its_prefix))
     )
-    rows = docs.withColumn(digest, F.sha2(normal_text(text), 256))
-    found = rows.join(
-        kept, F.col(doc_id).eqNullSafe(F.col(kept_id)) & (F.col(digest) == F.col(kept_digest)), "left_semi"
+    first = Window.partitionBy(digest).orderBy(F.col(doc_id).asc_nulls_last())
+    one_each = (
+        rows.join(suspects, same, "left_semi")
+        .withColumn(digest, F.sha2(normal_text(text), 256))
+        .withColumn(number, F.row_number().over(first))
+        .filter(F.col(number) == 1)
     )
-    order = Window.partitionBy(doc_id, digest).orderBy(digest)
-    return found.withColumn(name, F.row_number().over(order)).filter(F.col(name) == 1).drop(name, digest)
+    return rows.join(suspects, same, "left_anti").select(docs.columns).unionByName(one_each.select(docs.columns))
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:
