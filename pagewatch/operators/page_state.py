@@ -26,9 +26,12 @@ def page_updates(fetched: DataFrame, seq: str = "seq") -> DataFrame:
     )
 
 
-def update_page_state(state: DataFrame, updates: DataFrame, seq: str = "seq") -> DataFrame:
-    """Upsert by url. Header columns are always replaced; html and text survive when not supplied (NULL)."""
-    fields = ["url", *REPLACED, *KEPT]
+def update_page_state(state: DataFrame, updates: DataFrame, seq: str = "seq", kept: tuple[str, ...] = KEPT) -> DataFrame:
+    """Upsert by url. Header columns are always replaced; html and text survive when not supplied (NULL).
+
+    ``kept`` are the columns that survive: of a page store the keys of its contents.
+    """
+    fields = ["url", *REPLACED, *kept]
     old = state.select(*fields, F.lit(0).alias("_side"), F.lit(0).cast("bigint").alias("_seq"))
     new = updates.select(*fields, F.lit(1).alias("_side"), F.col(seq).cast("bigint").alias("_seq"))
     order = F.struct("_side", "_seq")
@@ -37,9 +40,9 @@ def update_page_state(state: DataFrame, updates: DataFrame, seq: str = "seq") ->
         .groupBy("url")
         .agg(
             F.max_by(F.struct(*REPLACED), order).alias("_row"),
-            *[F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in KEPT],
+            *[F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in kept],
         )
-        .select("url", "_row.*", *KEPT)
+        .select("url", "_row.*", *kept)
     )
 
 

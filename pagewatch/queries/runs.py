@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pagewatch import schemas
-from pagewatch.durable import stored
+from pagewatch.durable import shared_folder, stored
 from pagewatch.functions import hashing
 from pagewatch.operators import changes, health, outbox, page_state, reports
 from pagewatch.plans import course_watch
 from pagewatch.queries import tables as t
 from pagewatch.queries.registry import query
 from pagewatch.queries.texts import GRADUATE_PRINT_SQL
+from pagewatch.sources import page_store
 from pagewatch.sources.config import active_boards, empty, in_region, mark_skipped
 
 # --------------------------------------------------------- run snapshots
@@ -315,6 +318,56 @@ def page_reuse(spark, sf_dir):
     return rows.select("url", "seq", "unchanged", "cached", "if_none_match", "if_modified_since")
 
 
+def _page_store(spark, sf_dir) -> page_store.PageStore:
+    store = page_store.PageStore(spark, f"{shared_folder(spark)}/stores/{uuid.uuid4().hex}", buckets=8)
+    fetched = _fetched(spark, sf_dir)
+    for number, part in enumerate((fetched.where("seq < 2"), fetched.where("seq >= 2"))):
+        store.update(part, number)
+    return store
+
+
+@query(
+    "page_store_rows",
+    t.with_sql("SELECT url, etag, last_modified, content_hash, checked_at, html, extracted_text FROM v_pages", PAGE_STATE_SQL),
+)
+def page_store_rows(spark, sf_dir):
+    """The rows of ``page_state_upsert`` from two runs over a store that holds every content once."""
+    return _page_store(spark, sf_dir).states()
+
+
+@query(
+    "page_store_reuse",
+    t.with_sql(
+        """SELECT f.url, f.seq, coalesce(p.content_hash = sha256(f.content), false) AS unchanged,
+        CASE WHEN p.content_hash = sha256(f.content) THEN coalesce(p.html, '') END AS cached
+        FROM v_fetch f LEFT JOIN v_pages p ON p.url = f.url""",
+        PAGE_STATE_SQL,
+    ),
+)
+def page_store_reuse(spark, sf_dir):
+    rows = page_store.with_page_reuse(_fetched(spark, sf_dir).select("url", "seq", "content"), _page_store(spark, sf_dir))
+    return rows.select("url", "seq", "unchanged", "cached")
+
+
+_KEPT_PAGES = 50
+
+
+@query(
+    "page_store_contents",
+    t.with_sql(
+        f"""SELECT sha256(value) AS key, length(value) AS n_chars FROM (
+          SELECT unnest([html, extracted_text]) AS value FROM (SELECT * FROM v_pages ORDER BY checked_at DESC, url LIMIT {_KEPT_PAGES}))
+        WHERE value IS NOT NULL GROUP BY value""",
+        PAGE_STATE_SQL,
+    ),
+)
+def page_store_contents(spark, sf_dir):
+    """What a store holds after pruning: the contents of the states checked last, each once."""
+    store = _page_store(spark, sf_dir)
+    store.prune(2, keep=_KEPT_PAGES, dead_share=0.0)
+    return store.contents().select("key", F.length("value").alias("n_chars"))
+
+
 @query(
     "recent_page_states",
     """SELECT key AS url, checked_at FROM (SELECT 'https://o.example.com/' || o_orderkey::VARCHAR AS key,

@@ -51,6 +51,8 @@ PAGES = _table(long="page_id", string="url html")
 NOTICE_STATE = _table(string="url content_fingerprint grade deadline_status checked_at")
 SEEN = _table(string="key")
 PAGE_STATE = _table(string="url etag last_modified content_hash checked_at html extracted_text")
+PAGE_HEADERS = _table(string="url etag last_modified content_hash checked_at html_key text_key")
+PAGE_CONTENTS = _table(string="key value")
 DELIVERY_STATE = _table(
     string="delivery_id status", long="attempt_count",
     string_="logical_key message_preview updated_at message_id error_type resolved_at",

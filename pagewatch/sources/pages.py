@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pagewatch import schemas
+from pagewatch.durable import stored
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -14,9 +15,27 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def latest_fetch(pages: DataFrame) -> DataFrame:
-    """One row per url: the fetch with the greatest page_id. A task passes on one row per url at most."""
-    last = Window.partitionBy("url").orderBy(F.col("page_id").desc())
-    return pages.withColumn("_fetch", F.row_number().over(last)).where("_fetch = 1").drop("_fetch")
+    """One row per url: the fetch with the greatest page_id (null is the least), of several such the greatest html hash.
+
+    The latest is found from url, page_id and hash alone, and its row by a semi-join
+    on the three: nothing sorts html, and where the found keys are few Spark sends
+    them to the rows. Only fetches that the corpus holds several times as they are
+    go through a window, one per url and task.
+    """
+    html_hash = F.xxhash64("html").alias("_hash")
+    keys = pages.select("url", F.struct("page_id", html_hash).alias("_fetch")).groupBy("url", "_fetch").count()
+    last = keys.groupBy("url").agg(F.max("_fetch").alias("_fetch"), F.max_by("count", "_fetch").alias("_copies"))
+    last = stored(last.select(F.col("url").alias("_url"), F.col("_fetch.page_id").alias("_page_id"), "_fetch._hash", "_copies"))
+    same = (
+        F.col("url").eqNullSafe(F.col("_url")) & F.col("page_id").eqNullSafe(F.col("_page_id")) & (F.xxhash64("html") == F.col("_hash"))
+    )
+    once = pages.join(last.where("_copies = 1").hint("shuffle_hash"), same, "left_semi")
+    several = last.where("_copies > 1")
+    if not several.head(1):
+        return once
+    first = Window.partitionBy("url").orderBy("page_id")
+    copies = pages.join(several.hint("shuffle_hash"), same, "left_semi").withColumn("_copy", F.row_number().over(first))
+    return once.unionByName(copies.where("_copy = 1").drop("_copy"))
 
 
 def stream_pages(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:

@@ -127,7 +127,7 @@ class TableSet:
         """A table's rows at a version (the current one by default), of all buckets or some."""
         schema = self.tables[name].schema
         held = (version or self.current()).tables.get(name, {})
-        paths = [f"{self.path}/{folder}/{_BUCKET}={b}" for b, folder in held.items() if only is None or int(b) in only]
+        paths = [f"{self.path}/{folder}/{self.part(b)}" for b, folder in held.items() if only is None or int(b) in only]
         if not paths:
             return empty(self.spark, schema)
         found = self.spark.read.parquet(*paths)
@@ -136,6 +136,11 @@ class TableSet:
             raise DurableStateError(f"table {name} has an unexpected layout: {self.path}")
         return found.select(*schema.names)
 
+    @staticmethod
+    def part(bucket: str) -> str:
+        """The folder of a bucket within that of a change."""
+        return f"{_BUCKET}={bucket}"
+
     def _dealt(self, name: str, rows: DataFrame) -> DataFrame:
         return rows.withColumn(_BUCKET, F.pmod(F.xxhash64(self.tables[name].key), F.lit(self.buckets)).cast("int"))
 

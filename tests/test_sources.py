@@ -65,3 +65,14 @@ def test_round_robin(spark):
     rows = [(0, 1), (0, 2), (1, 1), (2, 1), (2, 2)]
     frame = spark.createDataFrame(rows, "board_idx long, board_rank long").orderBy(F.rand(1))
     assert [tuple(r) for r in links.round_robin(frame).collect()] == [(0, 1), (1, 1), (2, 1), (0, 2), (2, 2)]
+
+
+def test_latest_fetch(spark):
+    rows = [("u", 1, "old"), ("u", 3, "new"), ("v", 2, "same"), ("v", 2, "same"), ("w", None, "none"), (None, 5, "x"), (None, 4, "y"), ("z", 1, None), ("z", 0, "b")]
+    fetches = spark.createDataFrame(rows, "url string, page_id long, html string")
+    got = sorted((tuple(r) for r in pages.latest_fetch(fetches).collect()), key=repr)
+    assert got == sorted([("u", 3, "new"), ("v", 2, "same"), ("w", None, "none"), (None, 5, "x"), ("z", 1, None)], key=repr)
+    differ = spark.createDataFrame([("u", 1, "a"), ("u", 1, "b"), ("u", 1, "c")], fetches.schema)
+    assert pages.latest_fetch(differ).count() == 1 and pages.latest_fetch(fetches.limit(0)).count() == 0
+    plan = pages.latest_fetch(differ)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Window" not in plan

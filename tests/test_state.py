@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pagewatch import fixed_values as fv, schemas
 from pagewatch.operators import changes, dedupe, outbox, page_state, reports
 from pagewatch.operators.ordering import sorted_ranges, with_last_before, with_position, with_rank
-from pagewatch.sources import config, state as state_tables, tableset
+from pagewatch.sources import config, page_store, state as state_tables, tableset
 from pagewatch.sources.sinks import write_results
 from pagewatch.streaming import watch
 
@@ -232,6 +232,53 @@ def test_page_state(spark):
     assert {r.url: (r.unchanged, r.cached) for r in reuse.collect()} == {"u": (True, "h"), "v": (False, None)}
 
 
+FETCHED = "url string, seq long, etag string, last_modified string, content string, checked_at string, html string, extracted_text string"
+
+
+def test_page_store_holds_a_content_once(spark, tmp_path):
+    store = page_store.PageStore(spark, str(tmp_path / "p"), buckets=4)
+    assert store.states().count() == 0
+    first = spark.createDataFrame(
+        [("u", 0, "e1", None, "c", "t1", "same", "same"), ("v", 1, "e", "", "c", "t0", "same", None), ("w", 2, "", "", "c", "t3", "x" * 500_001, "")],
+        FETCHED,
+    )
+    second = spark.createDataFrame([("u", 0, None, "m2", "d", "t2", None, "text"), ("v", 1, "", "", "k", "t4", "new", None)], FETCHED)
+    store.update(first, 0)
+    before = store.tables.current()
+    assert sorted(len(r.value) for r in store.contents().collect()) == [0, 4, 500_001]
+    store.update(second, 1)
+    assert store.update(second, 1) is None
+    now = store.tables.current()
+    assert now.tables["contents"]["1"] == before.tables["contents"]["1"]  # the first run's folder stands as it was
+    assert sorted(r.value for r in store.tables.read("contents", now, [2]).collect()) == ["new", "text"]
+    state = config.empty(spark, schemas.PAGE_STATE)
+    for rows in (first, second):
+        state = page_state.update_page_state(state, page_state.page_updates(rows))
+    as_set = lambda df: {tuple(r) for r in df.select(*schemas.PAGE_STATE.names).collect()}
+    assert as_set(store.states()) == as_set(state)
+    probes = spark.createDataFrame([("u", "d"), ("v", "z"), ("nowhere", None)], "url string, content string")
+    want = {tuple(r) for r in page_state.with_page_reuse(probes, state).collect()}
+    assert {(r.url, r.content, r.content_hash, r.unchanged, r.cached) for r in page_store.with_page_reuse(probes, store).collect()} == want
+
+
+def test_page_store_prunes_contents_without_a_name(spark, tmp_path):
+    store = page_store.PageStore(spark, str(tmp_path / "p"), buckets=4)
+    row = lambda url, at, html: (url, 0, "", "", html, at, html, None)
+    store.update(spark.createDataFrame([row("a", "t1", "A"), row("b", "t2", "B"), row("c", "t3", "C")], FETCHED), 0)
+    store.update(spark.createDataFrame([row("d", "t4", "D")], FETCHED), 1)
+    one = store.tables.current().tables["contents"]["2"]
+    store.prune(2, keep=3)  # a third of the first folder is without a name: it stays
+    assert {r.value for r in store.contents().collect()} == set("ABCD")
+    store.prune(3, keep=2)  # two thirds are: it is written anew
+    assert {r.value for r in store.contents().collect()} == set("CD") and {r.html for r in store.states().collect()} == set("CD")
+    assert store.tables.current().tables["contents"]["2"] == one
+    store.tables.retain(1)
+    assert len(store.tables.files.names("tables/contents")) == 2 and store.states().count() == 2
+    twice = spark.createDataFrame([row("e", "t5", "E"), row("e", "t5", "F")], FETCHED)
+    with pytest.raises(outbox.DurableStateError):
+        store.update(twice, 4)
+
+
 # ---------------------------------------------------------- state tables
 def test_state_table(spark, tmp_path):
     table = state_tables.StateTable(spark, str(tmp_path / "s"), schemas.SEEN)
