@@ -61,6 +61,11 @@ def history_rows(items: DataFrame, min_score: int = fv.HISTORY_MIN_SCORE) -> Dat
     )
 
 
+def keyed_history(rows: DataFrame) -> DataFrame:
+    """History rows with the ``key`` that a table of them is dealt by."""
+    return rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in fv.HISTORY_FIELDS]).withColumn("key", history_key())
+
+
 def merge_history(existing: DataFrame, current: DataFrame) -> DataFrame:
     """Merged history; this run beats earlier ones, within a side the greatest row wins."""
     fields = list(fv.HISTORY_FIELDS)

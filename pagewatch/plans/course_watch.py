@@ -7,14 +7,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pagewatch import fixed_values as fv
+from pagewatch import fixed_values as fv, schemas
 from pagewatch.durable import stored
 from pagewatch.functions import dates, hashing, rules, scoring
 from pagewatch.operators import attachments as att
 from pagewatch.operators import changes, courses, dedupe, details, health, links, page_parse, reports
 from pagewatch.sources.config import mark_skipped
 from pagewatch.sources.pages import latest_fetch
-from pagewatch.sources.state import StateTable
+from pagewatch.sources.tableset import Keyed, TableSet, Version
+from pagewatch.streaming import watch
 
 
 #: A notice's place is its board and its rank on it; a board has fewer links than this many bits count.
@@ -263,9 +264,36 @@ def finish(
     )
 
 
-def commit(end: RunEnd, results: StateTable, history: StateTable, state: StateTable, seen: StateTable, run_id: int) -> None:
-    """Write what a run leaves: results and history, then state, then seen. A run written before writes nothing."""
-    results.write(end.results, run_id)
-    history.write(end.history, run_id)
-    state.write(end.state, run_id)
-    seen.write(end.seen, run_id)
+#: What runs of the course watch keep: notice state, seen urls and history change in one commit.
+COURSE_TABLES = {**watch.RUN_TABLES, "history": Keyed(schemas.KEYED_HISTORY, "key")}
+
+
+def run_and_commit(
+    store: TableSet, run_id: int, deliver: Callable[[DataFrame], DataFrame], pages: DataFrame, boards: DataFrame,
+    universities: DataFrame, vocabulary: scoring.Vocabulary, words: courses.CourseWords, *, as_of: Column, checked_at: Column,
+    recover: Callable[[DataFrame], DataFrame] | None = None, **options,
+) -> Version | None:
+    """A whole run against the tables of ``store`` (``COURSE_TABLES``), from pages to its commit.
+
+    Targets are handed to ``deliver`` at most once, after an intent is durable, and
+    results, history, state and seen become current together: see
+    ``watch.run_once``. A run whose items were recorded before it died goes on from
+    them and crawls nothing again. None if the run was committed before. Only the
+    buckets that the run's rows fall into are rewritten.
+    """
+    if store.has_batch(run_id):
+        return None
+    if watch.has_intent(store, run_id):
+        items = store.read("state").limit(0)  # not looked at: the recorded rows count
+    else:
+        version = store.current()
+        items = run(
+            pages, boards, universities, vocabulary, words, seen=store.read("seen", version), state=store.read("state", version),
+            as_of=as_of, checked_at=checked_at, **options,
+        ).items
+    return watch.run_once(items, run_id, store, deliver, as_of, recover=recover)
+
+
+def results(store: TableSet, run_id: int) -> DataFrame:
+    """The marked rows of a committed run."""
+    return store.spark.read.parquet(f"{store.path}/{store.current().tables['results'][str(run_id)]}")

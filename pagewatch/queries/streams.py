@@ -15,6 +15,7 @@ from pagewatch.queries.registry import query
 from pagewatch.queries.runs import DELIVERY_SQL, HOT_DELIVERY_SQL, RUNS_SQL, event_columns, snapshot_columns
 from pagewatch.sources.config import empty
 from pagewatch.sources.pages import read_pages
+from pagewatch.sources.tableset import TableSet
 from pagewatch.streaming import delivery, watch
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -201,6 +202,29 @@ def course_watch_of_fetches(spark, sf_dir):
     return _watched(spark, sf_dir, site.unionAll(earlier).unionAll(site), boards)
 
 
+@query(
+    "course_watch_two_runs",
+    f"""WITH item AS ({_COURSE_WATCH_SQL}),
+      two AS (SELECT 1 AS run, url, title, 'new' AS change_type FROM item UNION ALL
+        SELECT 2, url, title, CASE WHEN split_part(url, '/', 5)::INT % 3 = 0 THEN 'content_changed' ELSE 'unchanged' END FROM item)
+    SELECT run, url, title, change_type FROM two UNION ALL SELECT 0, url, 'state', '2026-06-16' FROM item""",
+)
+def course_watch_two_runs(spark, sf_dir):
+    """Two whole runs over kept tables, a third of the pages changed in between: both runs' rows and the state they leave."""
+    site, boards = _site(spark, sf_dir)
+    store = TableSet(spark, f"{shared_folder(spark)}/stores/{uuid.uuid4().hex}", course_watch.COURSE_TABLES, buckets=8)
+    changed = F.when(F.col("page_id") % 3 == 0, F.concat("html", F.lit("<p>one more paragraph</p>"))).otherwise(F.col("html"))
+    for number, (pages, day) in enumerate(((site, "2026-06-15"), (site.withColumn("html", changed), "2026-06-16")), 1):
+        course_watch.run_and_commit(
+            store, number, lambda targets: targets, pages, boards, t.universities(spark, sf_dir), t.VOCABULARY, COURSES,
+            as_of=t.as_of(), checked_at=F.lit(day),
+        )
+    kept = store.read("state").select(F.lit(0).alias("run"), "url", F.lit("state").alias("title"), F.col("checked_at").alias("change_type"))
+    for number in (1, 2):
+        kept = kept.unionAll(course_watch.results(store, number).select(F.lit(number), "url", "title", "change_type"))
+    return kept
+
+
 def _watched(spark, sf_dir, site, boards):
     run = course_watch.run(
         site, boards, t.universities(spark, sf_dir), t.VOCABULARY, COURSES,

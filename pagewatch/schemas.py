@@ -31,6 +31,7 @@ def _row(names: tuple[str, ...]) -> T.StructType:
 RESULTS = _row(fv.RESULT_FIELDS)
 GRADUATE_RESULTS = _row(fv.GRADUATE_FIELDS)
 HISTORY = _row(fv.HISTORY_FIELDS)
+KEYED_HISTORY = _row((*fv.HISTORY_FIELDS, "key"))
 # Built from types rather than DDL text: workers import this module without a session.
 _KINDS = {
     "string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "flag": T.BooleanType(),

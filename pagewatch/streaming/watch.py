@@ -14,7 +14,7 @@ from pagewatch.durable import stored
 from pagewatch.functions import rules
 from pagewatch.functions.dates import is_stale, should_run
 from pagewatch.functions.hashing import notice_key
-from pagewatch.operators import changes
+from pagewatch.operators import changes, dedupe
 from pagewatch.operators.outbox import DurableStateError
 from pagewatch.sources.tableset import Files, Keyed, TableSet, Version
 
@@ -71,6 +71,11 @@ def change_rows(snapshots: DataFrame, ttl_ms: int | None = None) -> DataFrame:
 RUN_TABLES = {"state": Keyed(schemas.NOTICE_STATE, "url"), "seen": Keyed(schemas.SEEN, "key")}
 
 
+def has_intent(store: TableSet, batch_id: int) -> bool:
+    """Whether the marked rows of a run are recorded."""
+    return store.files.exists(f"runs/{batch_id}/intent.json")
+
+
 def run_once(
     batch: DataFrame, batch_id: int, store: TableSet, deliver: Callable[[DataFrame], DataFrame], as_of: Column, *,
     recover: Callable[[DataFrame], DataFrame] | None = None, seq: str = "seq", max_age: int = fv.DEFAULT_MAX_AGE_DAYS,
@@ -83,7 +88,8 @@ def run_once(
     rows, so it ends in the same tables. One that died between intent and sent rows
     may have delivered: nothing is delivered again, ``recover`` is asked which of
     the targets arrived (without it none count as sent; they stay targets).
-    Returns the version of this batch, or None if it was committed before.
+    A store that has a ``history`` table gets the run's history rows in the same
+    commit; their columns must then be among those of ``batch``. Returns the version of this batch, or None if it was committed before.
     """
     if store.has_batch(batch_id):
         return None
@@ -115,9 +121,15 @@ def run_once(
     sent = spark.read.schema(marked.schema).parquet(f"{store.path}/{outcome['sent']}")
     settled = stored(changes.items_to_update_state(marked, sent, as_of, max_age))
     handled = stored(changes.items_to_mark_seen(marked, sent, as_of, max_age, seq).select(F.col("url").alias("key")).distinct())
+    merged = {}
+    if "history" in store.tables:
+        rows = stored(dedupe.keyed_history(dedupe.history_rows(marked)))
+        merge = lambda old, new: dedupe.keyed_history(dedupe.merge_history(old, new))
+        merged["history"] = store.changed("history", rows, merge, version)
     return store.commit(
         version,
         batch_id,
+        **merged,
         state=store.changed("state", settled.where("url != ''"), lambda old, new: changes.update_notice_state(old, new, seq), version),
         seen=store.changed("seen", handled, lambda old, new: old.union(new).distinct(), version),
         results={**version.tables.get("results", {}), str(batch_id): intent["marked"]},

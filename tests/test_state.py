@@ -562,3 +562,25 @@ def test_summary_lists_show_the_first_of_each(spark):
     assert [f.url for f in row.failed_boards] == ["x1", "x2"] and [f.url for f in row.failed_details] == [f"d{n}" for n in range(5)]
     empty = reports.with_lists(reports.run_summary(items.limit(0), as_of()), items.limit(0), None, as_of()).head()
     assert (empty.deduped_count, empty.preview_items, empty.failed_boards) == (0, [], [])
+
+
+def test_history_changes_with_the_run_that_brings_it(spark, tmp_path):
+    from pagewatch.plans import course_watch
+
+    store = tableset.TableSet(spark, str(tmp_path / "store"), course_watch.COURSE_TABLES, buckets=4)
+    layout = RUN_ITEM + ", registration_score int, university_name string, region string, title string, source_type string, application_start_date string, application_end_date string"
+    row = lambda i, url, score, region: (i, url, "1", "A", "모집중", "r", AS_OF, score, "한국대", region, "2026학년도 1학기 안내", "board", "", None)
+    first = spark.createDataFrame([row(0, "a", 90, "old"), row(1, "b", 90, "old"), row(2, "c", 1, "old"), row(3, "", 90, "old")], layout)
+    second = spark.createDataFrame([row(0, "a", 90, "new"), row(1, "d", 90, "new")], layout)
+    for number, batch in enumerate((first, second)):
+        assert not watch.has_intent(store, number)
+        watch.run_once(batch, number, store, lambda targets: targets, as_of())
+        assert watch.has_intent(store, number) and store.current().number == number + 1
+    want = dedupe.merge_history(dedupe.history_rows(first), dedupe.history_rows(second))
+    got = store.read("history").drop("key")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert sorted((r.url, r.region) for r in got.collect()) == [("", "old"), ("a", "new"), ("b", "old"), ("d", "new")]
+    assert sorted(r.change_type for r in course_watch.results(store, 1).collect()) == ["new", "unchanged"]
+    # a committed run is not run again: nothing of what it is given is looked at
+    nothing = [None] * 5
+    assert course_watch.run_and_commit(store, 1, None, *nothing, as_of=as_of(), checked_at=None) is None
