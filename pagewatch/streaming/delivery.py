@@ -15,6 +15,8 @@ from pagewatch.operators.outbox import iso_time
 
 #: Events of one id that wait for the watermark are held in buckets of so many seconds.
 BUCKET_SECONDS = 86_400
+#: Ids are dealt into so many keys of state; the number belongs to a checkpoint and must stay as it was.
+SHARDS = 1024
 ENTRY = ("status", "attempt_count", "logical_key", "message_preview", "updated", "message_id", "error_type", "resolved")
 _ENTRY_DDL = (
     "status STRING, attempt_count BIGINT, logical_key STRING, message_preview STRING, updated BIGINT, "
@@ -45,14 +47,16 @@ def step(entry: tuple, event: list) -> tuple:
 
 
 class DeliveryProcessor(StatefulProcessor):
-    """Folds an id's events in order of (time, event id).
-
-    The settled entry is a value, events that may still be preceded by others
-    wait in buckets of time, which the value lists. A bucket is folded into the
-    entry when the watermark has passed its end, and is then forgotten. After each
-    micro-batch the entry as it is with all waiting events goes out under a new
-    revision. One frame of input and one bucket are held at a time, however many
-    events an id has.
+    """Folds the events of a shard's ids, each id's in order of (time, event id).
+
+    Ids are dealt into shards, so that state is asked for once a shard and bucket
+    and frames hold many ids. An id's settled entry is a value of its own; events
+    that may still be preceded by others wait in buckets of time, which the shard
+    lists. A bucket is folded into the entries when the watermark has passed its
+    end, and is then forgotten. After each micro-batch the entry of every id that
+    had events, as it is with all that wait, goes out under a new revision. One
+    frame of input, one bucket and the entries of the ids met are held at a time,
+    however many events an id has.
     """
 
     def __init__(self, bucket_seconds: int = BUCKET_SECONDS) -> None:
@@ -60,66 +64,97 @@ class DeliveryProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._value = handle.getValueState("value", f"{_ENTRY_DDL}, revision BIGINT, buckets STRING")
+        self._buckets = handle.getValueState("buckets", "buckets STRING")
+        self._settled = handle.getMapState("settled", "delivery_id STRING", f"{_ENTRY_DDL}, revision BIGINT")
         self._waiting = handle.getMapState("waiting", "bucket BIGINT", "events STRING")
 
-    def _read(self) -> tuple[tuple, int, list[int]]:
-        """The settled entry, the revision last sent, and the buckets that wait, in order."""
-        held = self._value.get()
-        return (NOTHING, 0, []) if held is None else (tuple(held[: len(ENTRY)]), held[len(ENTRY)], json.loads(held[len(ENTRY) + 1]))
+    def _listed(self) -> list[int]:
+        """The buckets that wait, in order."""
+        held = self._buckets.get()
+        return [] if held is None else json.loads(held[0])
 
-    def _folded(self, entry: tuple, bucket: int) -> tuple:
-        for event in sorted(json.loads(self._waiting.getValue((bucket,))[0]), key=lambda e: (e[0], e[1])):
-            entry = step(entry, event)
-        return entry
+    def _read(self, name: str | None) -> tuple[tuple, int]:
+        """The settled entry of an id and the revision last sent."""
+        held = self._settled.getValue(_state_key(name))
+        return (NOTHING, 0) if held is None else (tuple(held[: len(ENTRY)]), held[len(ENTRY)])
+
+    def _events(self, bucket: int) -> list[list]:
+        return json.loads(self._waiting.getValue((bucket,))[0])
+
+    def _in_order(self, bucket: int) -> list[list]:
+        return sorted(self._events(bucket), key=lambda e: (e[0], e[1]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        entry, revision, buckets = self._read()
+        buckets, entries = self._listed(), {}
         for frame in rows:
-            plain = frame[list(_EVENT)].astype(object).where(frame[list(_EVENT)].notna(), None)
             new: dict[int, list[list]] = {}
-            for event in plain.itertuples(index=False, name=None):
-                event = [int(event[0]), int(event[1]), *event[2:]]
-                new.setdefault(event[0] // self._width, []).append(event)
+            for name, at, number, *rest in _plain(frame):
+                entries[name] = None
+                new.setdefault(int(at) // self._width, []).append([int(at), int(number), *rest, name])
             for bucket, events in new.items():
                 if bucket in buckets:
-                    events = json.loads(self._waiting.getValue((bucket,))[0]) + events
+                    events = self._events(bucket) + events
                 else:
                     insort(buckets, bucket)
                     self._handle.registerTimer((bucket + 1) * self._width // 1000)
                 self._waiting.updateValue((bucket,), (json.dumps(events),))
-        self._value.update((*entry, revision + 1, json.dumps(buckets)))
+        self._buckets.update((json.dumps(buckets),))
+        revisions = {}
+        for name in entries:
+            entry, revision = self._read(name)
+            self._settled.updateValue(_state_key(name), (*entry, revision + 1))
+            entries[name], revisions[name] = entry, revision + 1
         for bucket in buckets:
-            entry = self._folded(entry, bucket)
-        yield pd.DataFrame([(key[0], *entry, revision + 1)], columns=["delivery_id", *ENTRY, "revision"]).astype(
-            {"updated": "Int64", "resolved": "Int64"}
-        )
+            for event in self._in_order(bucket):
+                if event[-1] in entries:
+                    entries[event[-1]] = step(entries[event[-1]], event[:-1])
+        yield pd.DataFrame(
+            [(name, *entry, revisions[name]) for name, entry in entries.items()], columns=["delivery_id", *ENTRY, "revision"]
+        ).astype({"updated": "Int64", "resolved": "Int64"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        entry, revision, buckets = self._read()
+        buckets, entries, revisions = self._listed(), {}, {}
         for bucket in [b for b in buckets if (b + 1) * self._width <= passed]:
-            entry = self._folded(entry, bucket)
+            for event in self._in_order(bucket):
+                name = event[-1]
+                if name not in entries:
+                    entries[name], revisions[name] = self._read(name)
+                entries[name] = step(entries[name], event[:-1])
             self._waiting.removeKey((bucket,))
             buckets.remove(bucket)
-        self._value.update((*entry, revision, json.dumps(buckets)))
+        for name, entry in entries.items():
+            self._settled.updateValue(_state_key(name), (*entry, revisions[name]))
+        self._buckets.update((json.dumps(buckets),))
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-def delivery_updates(events: DataFrame, lateness: str = "7 days", bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+def _state_key(name: str | None) -> tuple[str]:
+    """A null id has a key of its own."""
+    return ("null" if name is None else f"={name}",)
+
+
+def _plain(frame: pd.DataFrame) -> Iterator[tuple]:
+    columns = frame[["delivery_id", *_EVENT]]
+    return columns.astype(object).where(columns.notna(), None).itertuples(index=False, name=None)
+
+
+def delivery_updates(
+    events: DataFrame, lateness: str = "7 days", bucket_seconds: int = BUCKET_SECONDS, shards: int = SHARDS
+) -> DataFrame:
     """A stream of entries, one per id and micro-batch, with a ``revision`` that grows per id.
 
     ``events`` as for ``outbox.delivery_state``, in any order; one that comes later
     than ``lateness`` behind the latest is dropped. Needs the RocksDB state store.
     """
     rows = events.withWatermark("ts", lateness).select(
-        "delivery_id", "ts", F.unix_micros("ts").alias("at"), "event_id", "event", "status", "logical_key",
+        F.pmod(F.xxhash64("delivery_id"), F.lit(shards)).alias("shard"), "delivery_id", "ts", F.unix_micros("ts").alias("at"), "event_id", "event", "status", "logical_key",
         message_preview(F.col("message")).alias("preview"), "message_id", "error_type",
     )
-    return rows.groupBy("delivery_id").transformWithStateInPandas(
+    return rows.groupBy("shard").transformWithStateInPandas(
         statefulProcessor=DeliveryProcessor(bucket_seconds),
         outputStructType=f"delivery_id STRING, {_ENTRY_DDL}, revision BIGINT",
         outputMode="Update",

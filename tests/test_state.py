@@ -534,6 +534,63 @@ def test_delivery_stream_equals_the_table(spark, tmp_path, ids, lateness):
     assert updates.count() > len(ids)  # a row per id and batch
 
 
+class HeldState(dict):
+    """A value, map and handle of state in memory."""
+
+    def get(self):
+        return super().get("value")
+
+    def update(self, value):
+        self["value"] = value
+
+    def getValue(self, key):
+        return super().get(key)
+
+    updateValue, removeKey = dict.__setitem__, dict.__delitem__
+
+
+class HeldStates:
+    def __init__(self):
+        self.states, self.timers = {}, set()
+
+    def getValueState(self, name, schema, ttl=None):
+        return self.states.setdefault(name, HeldState())
+
+    getMapState = getValueState
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+def test_delivery_processor_folds_many_ids_at_once(spark):
+    """One frame a shard, whatever its ids, with buckets folded in between; a null id is one of them."""
+    import datetime as dt
+    import types
+
+    import pandas as pd
+
+    from pagewatch.streaming import delivery
+
+    rows = sorted(delivery_rows(random.Random(3), 400, [None, "null", "=a", *(f"d{i}" for i in range(40))]), key=lambda r: (r[7], r[8]))
+    events = spark.createDataFrame(rows, schemas.DELIVERY_EVENTS)
+    want = {r.delivery_id: r for r in outbox.delivery_state(events.withColumn("delivery_id", F.coalesce("delivery_id", F.lit("none")))).collect()}
+    handle, processor, last = HeldStates(), delivery.DeliveryProcessor(), {}
+    processor.init(handle)
+    for at in range(0, 400, 100):
+        part = [(r[0], int(r[7].replace(tzinfo=dt.timezone.utc).timestamp() * 1e6), r[8], r[1], r[2], r[3], r[4].replace("  ", " "), r[5], r[6]) for r in rows[at : at + 100]]
+        frame = pd.DataFrame(part, columns=["delivery_id", *delivery._EVENT])
+        (out,) = processor.handleInputRows((0,), iter([frame.iloc[:60], frame.iloc[60:]]), None)
+        assert set(out["delivery_id"].map(lambda v: v if isinstance(v, str) else None)) == {p[0] for p in part}
+        last |= {r.delivery_id if isinstance(r.delivery_id, str) else "none": r for r in out.itertuples()}
+        for timer in sorted(t for t in handle.timers if t * 1000 <= part[-1][1]):
+            handle.timers.discard(timer)
+            passed = types.SimpleNamespace(getExpiryTimeInMs=lambda timer=timer: timer)
+            assert list(processor.handleExpiredTimer((0,), None, passed)) == []
+    assert len(handle.states["waiting"]) == 1  # all but the last day's bucket are settled
+    got = {k: (r.status, r.attempt_count, r.logical_key, r.message_preview) for k, r in last.items() if isinstance(r.status, str)}
+    assert got == {k: (r.status, r.attempt_count, r.logical_key, r.message_preview) for k, r in want.items()}
+
+
 def test_late_rows_go_to_their_own_output(spark, tmp_path):
     import datetime as dt
 
