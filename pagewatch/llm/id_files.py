@@ -25,6 +25,7 @@ import uuid
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +69,12 @@ class LibraryEncoder(Encoder):
         yield self._ids(b"".join(parts).decode())
 
 
+@lru_cache(maxsize=1)
+def library_encoder(path: str) -> LibraryEncoder:
+    """One for all tasks that a Python process works off: the file is read once, and words stay remembered."""
+    return LibraryEncoder(path)
+
+
 def planes(ids: np.ndarray) -> list[bytes]:
     """The byte planes of a block of ids."""
     return [np.ascontiguousarray(p).tobytes() for p in ids.astype("<u4").view(np.uint8).reshape(-1, 4).T]
@@ -203,7 +210,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, doc
                         store.create_dir(root, recursive=True)
                         name = f"{root}/{shard:08d}-{uuid.uuid4().hex}.ids"
                         writer = IdWriter(store.open_output_stream(name), kind)
-                        encoder = LibraryEncoder(path)
+                        encoder = library_encoder(path)
 
                     def blocks(words=words):
                         yield from encoder.blocks(words)
