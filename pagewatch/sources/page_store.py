@@ -59,7 +59,7 @@ class PageStore:
         if narrow.groupBy("url", seq).count().where("count > 1").head(1):
             raise DurableStateError(f"several pages of one url and {seq}: {self.tables.path}")
         headers = self.tables.changed(
-            "headers", narrow, lambda old, new: page_state.update_page_state(old, new, seq, tuple(KEYS.values())), version
+            "headers", narrow, lambda old, new: page_state.update_headers(old, new, seq, tuple(KEYS.values())), version
         )
         # of the rows with a new content the first by url names it; only names and hashes are grouped
         named = [
