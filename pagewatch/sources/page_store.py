@@ -41,9 +41,9 @@ class PageStore:
         """Whole page states, in the layout of ``schemas.PAGE_STATE``."""
         version = self.tables.current()
         found = self.headers(version)
-        for value, key in KEYS.items():
+        for value, key in reversed(KEYS.items()):  # rows are held, contents stream past them; html, the widest, comes last
             content = self.contents(version).select(F.col("key").alias(key), F.col("value").alias(value))
-            found = found.join(content, key, "left")
+            found = found.hint("shuffle_hash").join(content, key, "left")
         return found.select(*schemas.PAGE_STATE.names)
 
     def update(self, fetched: DataFrame, batch_id: int, seq: str = "seq") -> Version | None:
@@ -71,7 +71,7 @@ class PageStore:
         new = stored(first.join(self.contents(version).select("key"), "key", "left_anti").select("key", "place.*"))
         parts = F.array(*[F.struct(F.lit(v).alias("part"), F.col(k).alias("key"), F.col(v).alias("value")) for v, k in KEYS.items()])
         rows = updates.select("url", F.col(seq).alias("seq"), F.inline(parts)).where("key IS NOT NULL")
-        written = rows.join(new, ["url", "seq", "part", "key"], "left_semi").select("key", "value")
+        written = rows.join(new.hint("shuffle_hash"), ["url", "seq", "part", "key"], "left_semi").select("key", "value")
         folders = {**version.tables.get("contents", {}), **self._written(written, version)}
         return self.tables.commit(version, batch_id, headers=headers, contents=folders)
 
@@ -101,7 +101,7 @@ class PageStore:
             if share[0] - share[1] > dead_share * share[0]:
                 del folders[number]
                 if share[1]:
-                    again.append(rows.join(live, "key", "left_semi"))
+                    again.append(rows.join(live.hint("shuffle_hash"), "key", "left_semi"))
         if again:
             whole = again[0]
             for rows in again[1:]:
@@ -114,9 +114,9 @@ def with_page_reuse(fetched: DataFrame, store: PageStore) -> DataFrame:
     """``page_state.with_page_reuse`` from a store: hashes are compared first, html is met by the unchanged rows alone."""
     version = store.tables.current()
     before = store.headers(version).select("url", F.col("content_hash").alias("_hash"), F.col("html_key").alias("_key"))
-    rows = fetched.withColumn("content_hash", content_hash(F.col("content"))).join(before, "url", "left")
+    rows = fetched.withColumn("content_hash", content_hash(F.col("content"))).join(before.hint("shuffle_hash"), "url", "left")
     unchanged = F.coalesce(F.col("_hash") == F.col("content_hash"), F.lit(False))
     rows = rows.withColumn("unchanged", unchanged).withColumn("_key", F.when(F.col("unchanged"), F.col("_key")))
     html = store.contents(version).select(F.col("key").alias("_key"), F.col("value").alias("_value"))
-    found = rows.join(html, "_key", "left")
+    found = rows.hint("shuffle_hash").join(html, "_key", "left")
     return found.withColumn("cached", F.when(F.col("unchanged"), F.coalesce("_value", F.lit("")))).drop("_hash", "_key", "_value")

@@ -641,3 +641,28 @@ def test_history_changes_with_the_run_that_brings_it(spark, tmp_path):
     # a committed run is not run again: nothing of what it is given is looked at
     nothing = [None] * 5
     assert course_watch.run_and_commit(store, 1, None, *nothing, as_of=as_of(), checked_at=None) is None
+
+
+def test_no_value_of_a_page_is_sorted(spark, tmp_path):
+    """Plans of upsert, reuse and store: contents stream past narrow rows."""
+    state = spark.createDataFrame([("a", "e", "", "h", "d1", "<a>", "A"), ("b", "e", "", "h", "d1", "<b>", None), (None, "e", "", "h", "d1", "<n>", "N")], schemas.PAGE_STATE)
+    layout = "url string, seq long, etag string, last_modified string, content string, checked_at string, html string, extracted_text string"
+    rows = [("a", 1, None, None, "c", "d2", None, "A2"), ("a", 2, "x", None, "c2", "d3", "<a2>", None), ("c", 1, None, None, "c", "d2", None, None), (None, None, "y", None, "c", "d2", None, "N2")]
+    fetched = spark.createDataFrame(rows + rows[:1], layout)  # one row comes twice
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    new = page_state.update_page_state(state, page_state.page_updates(spark.createDataFrame(rows, layout)))
+    assert "Sort" not in plan(new) and "ShuffledHashJoin" in plan(new)
+    again = page_state.update_page_state(state, page_state.page_updates(fetched))
+    want = [(None, "y", "d2", "<n>", "N2"), ("a", "x", "d3", "<a2>", "A2"), ("b", "e", "d1", "<b>", None), ("c", "", "d2", None, None)]
+    for df in (new, again):
+        got = [(r.url, r.etag, r.checked_at, r.html, r.extracted_text) for r in df.collect()]
+        assert sorted(got, key=lambda r: r[0] or "") == want
+    store = page_store.PageStore(spark, str(tmp_path / "store"), buckets=2)
+    store.update(spark.createDataFrame(rows, layout), 0)
+    assert "Sort" not in plan(store.states())
+    asked = fetched.select("url", "seq", "content")
+    for df in (page_state.with_page_reuse(asked, new), page_store.with_page_reuse(asked, store)):
+        assert "Sort" not in plan(df)
+        assert sorted((r.url or "", r.seq or 0, r.unchanged, r.cached) for r in df.collect()) == [
+            ("", 0, False, None), ("a", 1, False, None), ("a", 1, False, None), ("a", 2, True, "<a2>"), ("c", 1, True, "")
+        ]
