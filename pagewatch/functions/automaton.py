@@ -7,6 +7,9 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
+#: So many texts and their positions are Python objects at once.
+ROWS = 128
+
 
 def finder(words: Sequence[str]) -> Callable[[str], list[int]]:
     """A function from a text to the ascending positions of the words it holds.
@@ -35,6 +38,17 @@ def finder(words: Sequence[str]) -> Callable[[str], list[int]]:
     return found
 
 
+def places_in(batches: Iterator[pa.Array], words: Sequence[str]) -> Iterator[pa.Array]:
+    """Per batch of texts the positions of the words each holds. ``ROWS`` texts and their positions are Python objects at once."""
+    found = finder(words)
+    for batch in batches:
+        parts = []
+        for at in range(0, len(batch), ROWS):
+            rows = [found(v.as_py()) if v.is_valid else [] for v in batch.slice(at, ROWS)]
+            parts.append(pa.array(rows, pa.list_(pa.int32())))
+        yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+
+
 def word_places(text: Column, words: Sequence[str]) -> Column:
     """Positions in ``words`` of those that are substrings of ``text``, ascending; of a null text none.
 
@@ -45,9 +59,6 @@ def word_places(text: Column, words: Sequence[str]) -> Column:
 
     @F.arrow_udf("array<int>")
     def places(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        found = finder(words)
-        for batch in batches:
-            rows = (found(v.as_py()) if v.is_valid else [] for v in batch)
-            yield pa.array(rows, pa.list_(pa.int32()))
+        yield from places_in(batches, words)
 
     return places(text)

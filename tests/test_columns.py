@@ -318,3 +318,22 @@ def test_long_and_short_vocabularies_agree(spark, monkeypatch):
         out.append((graded, hits))
     assert out[0] == out[1]
     assert out[0][1]
+
+
+def test_positions_of_many_texts_are_python_objects_a_few_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from pagewatch.functions import automaton
+
+    words = [f"w{i}x" for i in range(1_000)]
+    text = " ".join(words[300:])
+    batch = pa.array([text, None, ""] + [text] * 2_000)
+    tracemalloc.start()
+    (got,) = automaton.places_in(iter([batch]), words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist()[:4] == [list(range(300, 1_000)), [], [], list(range(300, 1_000))] and len(got) == len(batch)
+    assert peak < 6 << 20  # the positions of all texts are 11 MB of pointers alone
+    assert [len(a) for a in automaton.places_in(iter([batch[:0]]), words)] == [0]
