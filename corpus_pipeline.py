@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pagewatch.durable import stored
-from pagewatch.llm import bpe, exact, mixing, near, quality
+from pagewatch.llm import bpe, exact, mixing, near, quality, simhash
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near.without_near_copies(docs)
+    """Texts that SimHash links, as in op7, and texts of like word shingles: components are those of both."""
+    return near.without_near_copies(docs, alike=simhash.near_classes(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -218,6 +218,14 @@ def links(met: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, round
     return roots if roots is not None else met.select("node", F.col("node").alias("root")).limit(0)
 
 
+def _with_classes(roots: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``node, root`` over all links and over ``classes`` (mark, class): nodes of one class are linked by a star."""
+    nodes = stored(rows.select("mark", "node").distinct().join(classes, "mark").select("node", "class").distinct())
+    least = nodes.groupBy("class").agg(F.min("node").alias("v"))
+    stars = nodes.join(least, "class").filter("node != v").select(F.col("node").alias("u"), "v")
+    return components(stars.union(roots.filter("node != root").select(F.col("node").alias("u"), F.col("root").alias("v"))).distinct())
+
+
 def without_near_copies(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -226,8 +234,12 @@ def without_near_copies(
     similarity: float = SIMILARITY,
     rounds: int = ROUNDS,
     each: int = EACH,
+    alike: DataFrame | None = None,
 ) -> DataFrame:
-    """One document of each component stays, that with its smallest id, with all its columns."""
+    """One document of each component stays, that with its smallest id, with all its columns.
+
+    ``alike`` (mark, class; mark is the hash of a text) links texts that another method finds alike.
+    """
     rows = stored(signatures(docs, doc_id, text, shingle_words))
     classes = rows.select("node", "mark", "size", "keys").dropDuplicates(["node"])
     entries = stored(classes.select("node", "mark", "size", F.explode("keys").alias("key")))
@@ -239,6 +251,8 @@ def without_near_copies(
     sets = stored(_sets(docs, text, met.select("mark").distinct(), shingle_words))
     weighed = stored(met.select("key", "node", "size").join(sketches, "node"))
     roots = links(weighed, sets, similarity, rounds, each)
+    if alike is not None:
+        roots = _with_classes(roots, rows, alike)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("first")
     placed = rows.groupBy("node").agg(first).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return rows_kept(docs, placed.groupBy("root").agg(F.min("first").alias("chosen")).select("chosen.*"), doc_id, text)

@@ -183,13 +183,13 @@ def _first() -> Column:
 
 
 def _grouped(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """All rows, and for each class of equal fingerprints its component's first row."""
+    """All rows, and for each class of equal fingerprints its component and that one's first row."""
     rows = stored(fingerprints(docs, doc_id, text))
     classes = stored(rows.groupBy("fp").agg(_first().alias("first")))
     roots = components(links(classes.select("fp")))
     placed = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = placed.groupBy("root").agg(F.min("first").alias("chosen"))
-    return rows, placed.join(named, "root").select("fp", "chosen")
+    return rows, placed.join(named, "root").select("fp", "root", "chosen")
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -198,6 +198,12 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return rows.join(classes, "fp").select("id", "fp", F.col("chosen.id").alias("component"))
 
 
+def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``mark, class``: the component of every text, by the hash of the text."""
+    rows, classes = _grouped(docs, doc_id, text)
+    return rows.select("fp", "mark").distinct().join(classes, "fp").select("mark", F.col("root").alias("class"))
+
+
 def rows_kept(docs: DataFrame, kept: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The rows whose id and mark are in ``kept``, with all their columns.
 

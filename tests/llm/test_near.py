@@ -96,3 +96,15 @@ def test_no_more_pairs_are_found_than_a_few_for_each_entry(spark):
     kept, groups = brute_kept([(r["doc_id"], r["text"]) for r in docs.collect()])
     out = near.without_near_copies(docs)
     assert out.count() == groups and {r["doc_id"] for r in out.collect()} == kept
+
+
+def test_the_stage_links_what_simhash_links_too(spark):
+    """Three shingles many times over outvote forty rare ones in a fingerprint, but not in a set of shingles."""
+    line = "alpha beta gamma " * 300
+    texts = [line, line + " ".join(f"rare{i}" for i in range(40)), "something else " + " ".join(f"w{i}" for i in range(60)), None]
+    docs = documents(spark, texts)  # and one without an id
+    assert near.without_near_copies(docs).count() == 5
+    left = corpus_pipeline.near_dedup(spark, docs, "")
+    assert left.columns == docs.columns and left.count() == 4
+    assert {(r["text"] or "")[:9] for r in left.collect()} == {"alpha bet", "something", "no id her", ""}
+    assert line in {r["text"] for r in left.collect()}
