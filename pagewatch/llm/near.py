@@ -11,7 +11,9 @@ alone is compared with the whole list: as many pairs as entries. Leaders are the
 members that meet most others, in turn of the list's largest component and of
 the others. What is linked by then is one component and needs no more pairs. At
 last every pair that is still open is looked at, however many those are, so no
-link is lost.
+link is lost. A round that links nothing leaves components and lists as they were,
+and neither is worked out again; after two such rounds, one of each kind, the pairs
+still open are looked at.
 
 Two sets of a and b shingles are similar enough only if they differ in at most
 (a + b) (1 - s) / (1 + s) shingles. A sketch of 1 024 bits has, per bit, whether an
@@ -188,14 +190,15 @@ def _open_lists(placed: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
 
 def links(met: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS, each: int = EACH) -> DataFrame:
     """``node, root`` over all links between nodes that meet (met: key, node, size, weight and the sketch's columns)."""
-    found = roots = None
+    roots, changed, idle = None, True, 0
     for turn in range(rounds + 1):
-        placed = met.withColumn("root", F.col("node")) if roots is None else met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        parts, lists, pairs, entries = _open_lists(placed)
+        if changed:
+            all_ = met.withColumn("root", F.col("node")) if roots is None else met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            parts, lists, pairs, entries = _open_lists(all_)
+            placed = all_.join(lists, "key")
         if not pairs:
             break
-        last = turn == rounds or pairs <= each * entries
-        placed = placed.join(lists, "key")
+        last = turn == rounds or pairs <= each * entries or idle == 2
         if last:
             chosen = placed.filter("root != main")
         else:
@@ -209,10 +212,14 @@ def links(met: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, round
         # of two that are both outside the main component, one order does when all are looked at
         once = (F.col("root") == F.col("main")) | (F.col("node_u") < F.col("node")) if last else F.lit(True)
         condition = (left["key"] == placed["key"]) & (F.col("root") != F.col("root_u")) & once & _may_link(similarity)
-        near = left.join(placed, condition).select(F.least("node", "node_u").alias("u"), F.greatest("node", "node_u").alias("v")).distinct()
-        linked = stored(_verified(near, sets, similarity))
-        found = linked if found is None else found.union(linked)
-        roots = stored(components(found))
+        near = stored(left.join(placed, condition).select(F.least("node", "node_u").alias("u"), F.greatest("node", "node_u").alias("v")).distinct())
+        linked = stored(_verified(near, sets, similarity)) if near.head(1) else near
+        # a turn that links nothing leaves components and lists as they are
+        changed = bool(linked.head(1))
+        idle = 0 if changed else idle + 1
+        if changed:
+            before = linked.limit(0) if roots is None else roots.filter("node != root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+            roots = stored(components(linked.union(before)))
         if last:
             break
     return roots if roots is not None else met.select("node", F.col("node").alias("root")).limit(0)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from pagewatch.llm import near
+from pagewatch.llm import graph, near
 from tests.llm.data import NASTY, documents
 
 
@@ -108,3 +108,41 @@ def test_the_stage_links_what_simhash_links_too(spark):
     assert left.columns == docs.columns and left.count() == 4
     assert {(r["text"] or "")[:9] for r in left.collect()} == {"alpha bet", "something", "no id her", ""}
     assert line in {r["text"] for r in left.collect()}
+
+
+def test_turns_that_link_nothing_work_out_no_components_again(spark, monkeypatch):
+    """Texts of one template that are no links: components were worked out anew each turn, over all links found."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    texts = []
+    for _ in range(150):
+        words = list(base)
+        for _ in range(9):
+            words[rng.randrange(200)] = f"w{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    texts += [" ".join(f"{n}-{i}" for i in range(60 + k)) for n in range(20) for k in range(3)]
+    docs = documents(spark, texts, extra=False)
+    kept, groups = brute_kept([(r["doc_id"], r["text"]) for r in docs.collect()])
+    called, linking = [], near.components
+    monkeypatch.setattr(near, "components", lambda edges: called.append(edges.count()) or linking(edges))
+    out = near.without_near_copies(docs, each=0)
+    assert out.count() == groups and {r["doc_id"] for r in out.collect()} == kept
+    assert called[0] and len(called) < near.ROUNDS + 1
+
+
+def test_a_component_is_written_in_few_files(spark, monkeypatch):
+    """Each table had a file for every partition of the shuffles."""
+    written, stored = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df: written.append(out := stored(df)) or out)
+    edges = spark.createDataFrame([(i + 1, i) for i in range(600)] + [(5000 + i, 4000) for i in range(300)], "u long, v long")
+    wanted = {"spark.sql.shuffle.partitions": "61", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    held = {key: spark.conf.get(key) for key in wanted}
+    try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        roots = {r["node"]: r["root"] for r in graph.components(edges).collect()}
+    finally:
+        for key, value in held.items():
+            spark.conf.set(key, value)
+    assert roots == {i: 0 for i in range(601)} | {i: 4000 for i in (4000, *range(5000, 5300))}
+    assert len(written) > 2 and all(len(t.inputFiles()) <= spark.sparkContext.defaultParallelism for t in written[1:])
