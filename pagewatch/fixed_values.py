@@ -47,6 +47,8 @@ RANGE_PATTERN = (
 )
 LONG_DATE_PATTERN = r"(20[0-9]{2})[.\-/년 ]+\s*([0-9]{1,2})[.\-/월 ]+\s*([0-9]{1,2})"
 SHORT_DATE_PATTERN = r"([0-9]{2})[.\-/]([0-9]{1,2})[.\-/]([0-9]{1,2})"
+#: A text that matches the pattern below holds one of these.
+POSTED_DATE_LABELS = ("게시일", "작성일", "등록일")
 POSTED_DATE_PATTERN = (
     r"(?:게시일|작성일|등록일|작성일자)\s*[:：]?\s*"
     r"((?:19|20)[0-9]{2}[^0-9]{0,5}[0-9]{1,2}[^0-9]{0,5}[0-9]{1,2})"

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pagewatch import fixed_values as fv
 from pagewatch.functions import urls
 from pagewatch.functions.dates import first_date
-from pagewatch.functions.text import distinct_in_order, non_empty, normalize_space
+from pagewatch.functions.staging import bind
+from pagewatch.functions.text import contains_any, distinct_in_order, non_empty, normalize_space
 
 MIN_SELECTED_CHARS = 80
 
@@ -21,7 +22,9 @@ def _first_found(texts: Column) -> Column:
 def posted_date(meta_dates: Column, date_texts: Column, page_text: Column) -> Column:
     """Date from meta tags, else from date elements, else from labelled text; blank when none."""
     labelled = F.regexp_extract(normalize_space(page_text), fv.POSTED_DATE_PATTERN, 1)
-    return F.coalesce(_first_found(meta_dates), _first_found(date_texts), first_date(labelled))
+    # first_date reads its text many times; squeezing white space neither makes nor breaks a label
+    in_text = F.when(contains_any(page_text, fv.POSTED_DATE_LABELS), bind(labelled, first_date)).otherwise("")
+    return F.coalesce(_first_found(meta_dates), _first_found(date_texts), in_text)
 
 
 def page_title(title_texts: Column, fallback: Column, most: int | None = None) -> Column:

@@ -252,3 +252,16 @@ def test_image_texts_can_regrade(spark):
     ).orderBy("seq").collect()
     assert (got[0].grade, got[0].ocr_checked, got[0].deadline_status, got[0].date_source) == ("D", True, "마감됨", "이미지 OCR:i1")
     assert (got[1].grade, got[1].ocr_checked, got[1].ocr_evidence) == ("D", False, {})
+
+
+def test_a_labelled_date_is_looked_for_once_and_found_in_any_white_space(spark):
+    """The whole page text was squeezed again for every part of the date read from it."""
+    texts = [
+        "공지 작성일자 　\n : \t2026. 6.\n7 끝", "등록일2025-12-31 게시일 2024-01-02", "게시일 : 곧, 작성일: 26.1.2", "작 성일 2026-06-07",
+        "2026-06-07", "게시일：2019년 1월 2일", "", None,
+    ]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, page_text string")
+    none = F.array().cast("array<string>")
+    found = rows.select("i", details.posted_date(none, none, F.col("page_text")).alias("date"))
+    assert [r["date"] for r in found.orderBy("i").collect()] == ["2026-06-07", "2025-12-31", "", "", "", "2019-01-02", "", ""]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
