@@ -7,6 +7,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Parquet's writer looks at the size of a page after 100 to 10 000 rows, which of html may be gigabytes;
+#: so many bytes are also laid out at once when a dictionary grows too large.
+PAGE_CHECKS = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "64"}
+#: Spark's reader holds up to 4 096 rows of a row group at a time, their values uncompressed.
+LONG_VALUES = PAGE_CHECKS | {"parquet.block.row.count.limit": "64"}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder from ``spark.checkpoint.dir``; a scratch one only on a local master."""
@@ -27,8 +33,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: columnar, pruned, no lineage."""
+def stored(df: DataFrame, long_values: bool = False) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: columnar, pruned, no lineage.
+
+    ``long_values`` for columns such as html: pages and row groups of few rows.
+    """
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(LONG_VALUES if long_values else {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def in_small_pages(df: DataFrame) -> DataFrame:
+    """``df``, whose long values are written by whoever asked for it: from now on this session's writers look at pages often."""
+    for name, value in PAGE_CHECKS.items():
+        df.sparkSession.conf.set(name, value)
+    return df

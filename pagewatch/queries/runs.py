@@ -290,7 +290,7 @@ def _page_state(spark, sf_dir):
     updates = page_state.page_updates(_fetched(spark, sf_dir))
     first, later = updates.where("seq < 2"), updates.where("seq >= 2")
     nothing = first.drop("seq").limit(0)
-    return page_state.update_page_state(stored(page_state.update_page_state(nothing, first)), later)
+    return page_state.update_page_state(stored(page_state.update_page_state(nothing, first), long_values=True), later)
 
 
 @query(
@@ -312,7 +312,7 @@ def page_state_upsert(spark, sf_dir):
     ),
 )
 def page_reuse(spark, sf_dir):
-    state = stored(_page_state(spark, sf_dir))
+    state = stored(_page_state(spark, sf_dir), long_values=True)
     rows = page_state.with_page_reuse(_fetched(spark, sf_dir).select("url", "seq", "content"), state)
     rows = rows.join(page_state.conditional_headers(state).hint("shuffle_hash"), "url", "left")
     return rows.select("url", "seq", "unchanged", "cached", "if_none_match", "if_modified_since")

@@ -1,5 +1,6 @@
 """State across runs: changes, history, delivery, state tables, sinks and streams."""
 
+import glob
 import json
 import random
 
@@ -666,3 +667,42 @@ def test_no_value_of_a_page_is_sorted(spark, tmp_path):
         assert sorted((r.url or "", r.seq or 0, r.unchanged, r.cached) for r in df.collect()) == [
             ("", 0, False, None), ("a", 1, False, None), ("a", 1, False, None), ("a", 2, True, "<a2>"), ("c", 1, True, "")
         ]
+
+
+def pages_of(spark, folder, column):
+    """Rows of every page of a column, and of every row group, in the files of a folder."""
+    jvm, pages, groups = spark._jvm, [], []
+    for file in glob.glob(f"{folder}/*.parquet"):
+        at = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(file), spark._jsc.hadoopConfiguration())
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(at)
+        for block in reader.getFooter().getBlocks():
+            index = reader.readOffsetIndex(next(c for c in block.getColumns() if c.getPath().toDotString() == column))
+            groups.append(block.getRowCount())
+            firsts = [index.getFirstRowIndex(i) for i in range(index.getPageCount())] + [block.getRowCount()]
+            pages += [b - a for a, b in zip(firsts, firsts[1:])]
+        reader.close()
+    return pages, groups
+
+
+def _long_after_short(spark):
+    """200 short values, then 100 of 100 000 characters, in one partition."""
+    n = F.col("id")
+    html = F.when(n < 200, n.cast("string")).otherwise(F.concat(n.cast("string"), F.repeat(F.lit("x"), 100_000)))
+    named = spark.range(0, 300, 1, 1).select(F.format_string("u%03d", n).alias("url"), n.alias("seq"), F.lit("c").alias("content"), html.alias("html"))
+    text = [F.lit(None).cast("string").alias(c) for c in ("etag", "last_modified", "checked_at", "extracted_text")]
+    return named.select("*", *text)
+
+
+def test_pages_of_a_file_hold_few_long_values(spark, tmp_path):
+    """A writer that looks at sizes seldom puts all long values into one page, a reader takes a row group's rows at once."""
+    from pagewatch.durable import stored
+
+    fetched = _long_after_short(spark)
+    state = stored(page_state.update_page_state(config.empty(spark, schemas.PAGE_STATE), page_state.page_updates(fetched)), long_values=True)
+    pages, groups = pages_of(spark, state.inputFiles()[0].removeprefix("file:").rpartition("/")[0], "html")
+    assert sum(pages) == sum(groups) == 300 and max(groups) <= 64
+    reuse = page_state.with_page_reuse(fetched.select("url", "content"), state)
+    reuse.orderBy("url").coalesce(1).write.parquet(str(tmp_path / "reuse"))
+    pages, _ = pages_of(spark, str(tmp_path / "reuse"), "cached")
+    assert sum(pages[:-1]) >= 200 and max(pages[1:]) <= 64  # a page over 1 MB ends within 64 rows
+    assert reuse.where("unchanged AND length(cached) > 100000").count() == 100
