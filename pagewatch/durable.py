@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 PAGE_CHECKS = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "64"}
 #: Spark's reader holds up to 4 096 rows of a row group at a time, their values uncompressed.
 LONG_VALUES = PAGE_CHECKS | {"parquet.block.row.count.limit": "64"}
+#: Generated code of a join that holds the outer side makes all rows of a streamed row, such as html that
+#: very many urls share, before the first is taken; without it they are made one by one.
+LONG_VALUES_SESSION = PAGE_CHECKS | {"spark.sql.codegen.join.buildSideOuterShuffledHashJoin.enabled": "false"}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,8 +46,8 @@ def stored(df: DataFrame, long_values: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def in_small_pages(df: DataFrame) -> DataFrame:
-    """``df``, whose long values are written by whoever asked for it: from now on this session's writers look at pages often."""
-    for name, value in PAGE_CHECKS.items():
+def for_long_values(df: DataFrame) -> DataFrame:
+    """``df``, which whoever asked for it joins and writes: from now on this session holds few of its long values at a time."""
+    for name, value in LONG_VALUES_SESSION.items():
         df.sparkSession.conf.set(name, value)
     return df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pagewatch import fixed_values as fv
-from pagewatch.durable import in_small_pages, stored
+from pagewatch.durable import for_long_values, stored
 from pagewatch.functions.hashing import content_hash
 from pagewatch.functions.text import non_empty
 
@@ -75,7 +75,7 @@ def update_page_state(state: DataFrame, updates: DataFrame, seq: str = "seq") ->
         found = found.hint("shuffle_hash").join(own, same, "left").drop("_url", "_own")
     if tied:
         found = found.where("NOT _tied").unionByName(found.where("_tied").dropDuplicates(["url"]))
-    return in_small_pages(found.select("url", "_row.*", *KEPT))
+    return for_long_values(found.select("url", "_row.*", *KEPT))
 
 
 def most_recent(state: DataFrame, keep: int = fv.KEPT_PAGE_STATES) -> DataFrame:
@@ -103,4 +103,4 @@ def with_page_reuse(fetched: DataFrame, state: DataFrame, value: str = "html") -
     rows = rows.withColumn("unchanged", F.coalesce(F.col("_hash") == F.col("content_hash"), F.lit(False))).drop("_url", "_hash")
     values = state.select(F.col("url").alias("_url"), F.col(value).alias("_value"))
     found = rows.hint("shuffle_hash").join(values, F.col("unchanged") & (F.col("url") == F.col("_url")), "left")
-    return in_small_pages(found.withColumn("cached", F.when(F.col("unchanged"), F.coalesce("_value", F.lit("")))).drop("_url", "_value"))
+    return for_long_values(found.withColumn("cached", F.when(F.col("unchanged"), F.coalesce("_value", F.lit("")))).drop("_url", "_value"))

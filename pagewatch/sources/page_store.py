@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagewatch import fixed_values as fv, schemas
-from pagewatch.durable import stored
+from pagewatch.durable import LONG_VALUES, for_long_values, stored
 from pagewatch.functions.hashing import content_hash
 from pagewatch.operators import page_state
 from pagewatch.operators.outbox import DurableStateError
@@ -44,7 +44,7 @@ class PageStore:
         for value, key in reversed(KEYS.items()):  # rows are held, contents stream past them; html, the widest, comes last
             content = self.contents(version).select(F.col("key").alias(key), F.col("value").alias(value))
             found = found.hint("shuffle_hash").join(content, key, "left")
-        return found.select(*schemas.PAGE_STATE.names)
+        return for_long_values(found.select(*schemas.PAGE_STATE.names))
 
     def update(self, fetched: DataFrame, batch_id: int, seq: str = "seq") -> Version | None:
         """Upsert fetched pages (see ``page_state.page_updates``) as one version; None if the batch was committed before.
@@ -77,7 +77,7 @@ class PageStore:
 
     def _written(self, contents: DataFrame, version: Version) -> dict[str, str]:
         number, folder = str(version.number + 1), f"tables/contents/{uuid.uuid4().hex}"
-        contents.write.parquet(f"{self.tables.path}/{folder}/{self.tables.part(number)}")
+        contents.write.options(**LONG_VALUES).parquet(f"{self.tables.path}/{folder}/{self.tables.part(number)}")
         return {number: folder}
 
     def prune(self, batch_id: int, keep: int = fv.KEPT_PAGE_STATES, dead_share: float = DEAD_SHARE) -> Version | None:

@@ -706,3 +706,24 @@ def test_pages_of_a_file_hold_few_long_values(spark, tmp_path):
     pages, _ = pages_of(spark, str(tmp_path / "reuse"), "cached")
     assert sum(pages[:-1]) >= 200 and max(pages[1:]) <= 64  # a page over 1 MB ends within 64 rows
     assert reuse.where("unchanged AND length(cached) > 100000").count() == 100
+
+
+def outer_joins(df):
+    """The joins of a plan that ran that hold their outer side, one line each."""
+    df.collect()
+    lines = df._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0].splitlines()
+    return [line for line in lines if "ShuffledHashJoin" in line and "LeftOuter, BuildLeft" in line]
+
+
+def test_states_of_a_shared_content_are_made_one_by_one(spark, tmp_path):
+    """Generated code would make the rows of all urls of a content before one is taken; a run's contents have small row groups."""
+    store = page_store.PageStore(spark, str(tmp_path / "store"), buckets=2)
+    many = spark.range(200).select(F.format_string("u%03d", "id").alias("url"), F.col("id").alias("seq"), F.lit("c").alias("content"), F.lit("same").alias("html"))
+    empty = [F.lit(None).cast("string").alias(c) for c in ("etag", "last_modified", "checked_at")]
+    store.update(many.select("*", *empty, F.col("url").alias("extracted_text")), 0)
+    _, groups = pages_of(spark, f"{store.tables.path}/{store.tables.current().tables['contents']['1']}/_bucket=1", "value")
+    assert sum(groups) == 201 and max(groups) <= 64
+    states = store.states()
+    joins = outer_joins(states)
+    assert len(joins) == 2 and not any("*(" in line for line in joins)
+    assert {(r.html, r.extracted_text == r.url) for r in states.collect()} == {("same", True)} and states.count() == 200
