@@ -119,4 +119,5 @@ def with_page_reuse(fetched: DataFrame, store: PageStore) -> DataFrame:
     rows = rows.withColumn("unchanged", unchanged).withColumn("_key", F.when(F.col("unchanged"), F.col("_key")))
     html = store.contents(version).select(F.col("key").alias("_key"), F.col("value").alias("_value"))
     found = rows.hint("shuffle_hash").join(html, "_key", "left")
-    return found.withColumn("cached", F.when(F.col("unchanged"), F.coalesce("_value", F.lit("")))).drop("_hash", "_key", "_value")
+    cached = F.when(F.col("unchanged"), F.coalesce("_value", F.lit("")))
+    return for_long_values(found.withColumn("cached", cached).drop("_hash", "_key", "_value"))

@@ -727,3 +727,15 @@ def test_states_of_a_shared_content_are_made_one_by_one(spark, tmp_path):
     joins = outer_joins(states)
     assert len(joins) == 2 and not any("*(" in line for line in joins)
     assert {(r.html, r.extracted_text == r.url) for r in states.collect()} == {("same", True)} and states.count() == 200
+
+
+def test_reuse_of_a_shared_content_is_made_row_by_row(spark, tmp_path):
+    store = page_store.PageStore(spark, str(tmp_path / "store"), buckets=2)
+    many = spark.range(200).select(F.format_string("u%03d", "id").alias("url"), F.col("id").alias("seq"), F.lit("c").alias("content"), F.lit("same").alias("html"))
+    none = [F.lit(None).cast("string").alias(c) for c in ("etag", "last_modified", "checked_at", "extracted_text")]
+    store.update(many.select("*", *none), 0)
+    spark.conf.unset("spark.sql.codegen.join.buildSideOuterShuffledHashJoin.enabled")
+    reuse = page_store.with_page_reuse(many.select("url", "content"), store)
+    joins = outer_joins(reuse)
+    assert joins and not any("*(" in line for line in joins)
+    assert {(r.unchanged, r.cached) for r in reuse.collect()} == {(True, "same")}
