@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
-from bisect import insort
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -17,6 +17,8 @@ from pagewatch.operators.outbox import iso_time
 BUCKET_SECONDS = 86_400
 #: Ids are dealt into so many keys of state; the number belongs to a checkpoint and must stay as it was.
 SHARDS = 1024
+#: So many events of a shard are held before they are added to their buckets.
+HELD_EVENTS = 65_536
 ENTRY = ("status", "attempt_count", "logical_key", "message_preview", "updated", "message_id", "error_type", "resolved")
 _ENTRY_DDL = (
     "status STRING, attempt_count BIGINT, logical_key STRING, message_preview STRING, updated BIGINT, "
@@ -29,21 +31,20 @@ NOTHING = (None, 0, "", "", None, None, None, None)
 def step(entry: tuple, event: list) -> tuple:
     """The entry of a delivery id after one more event. ``status`` is None while there is no entry."""
     at, _, kind, status, logical_key, preview, message_id, error_type = event
-    now = dict(zip(ENTRY, entry, strict=True))
+    before, attempts, key, text, _, sent, error, resolved = entry
     if kind == "begin":
-        if now["status"] in ("delivered", "sending", "uncertain"):
+        if before in ("delivered", "sending", "uncertain"):
             return entry  # skipped or blocked
-        return ("sending", now["attempt_count"] + 1, logical_key or "", preview or "", at, None, None, None)
-    if kind == "resolve" and now["status"] is None:
+        return ("sending", attempts + 1, logical_key or "", preview or "", at, None, None, None)
+    if kind == "resolve" and before is None:
         return entry  # nothing to resolve
-    now |= {"status": status, "updated": at}
     if kind == "confirm":
-        now["message_id"] = message_id
+        sent = message_id
     elif kind == "failure":
-        now["error_type"] = error_type
+        error = error_type
     elif kind == "resolve":
-        now["resolved"] = at
-    return tuple(now[name] for name in ENTRY)
+        resolved = at
+    return (status, attempts, key, text, at, sent, error, resolved)
 
 
 class DeliveryProcessor(StatefulProcessor):
@@ -54,9 +55,10 @@ class DeliveryProcessor(StatefulProcessor):
     that may still be preceded by others wait in buckets of time, which the shard
     lists. A bucket is folded into the entries when the watermark has passed its
     end, and is then forgotten. After each micro-batch the entry of every id that
-    had events, as it is with all that wait, goes out under a new revision. One
-    frame of input, one bucket and the entries of the ids met are held at a time,
-    however many events an id has.
+    had events, as it is with all that wait, goes out under a new revision. A
+    bucket's events are added in parts and none is written again. One frame and
+    ``HELD_EVENTS`` of input, one bucket and the entries of the ids met are held
+    at a time, however many events an id has.
     """
 
     def __init__(self, bucket_seconds: int = BUCKET_SECONDS) -> None:
@@ -66,46 +68,56 @@ class DeliveryProcessor(StatefulProcessor):
         self._handle = handle
         self._buckets = handle.getValueState("buckets", "buckets STRING")
         self._settled = handle.getMapState("settled", "delivery_id STRING", f"{_ENTRY_DDL}, revision BIGINT")
-        self._waiting = handle.getMapState("waiting", "bucket BIGINT", "events STRING")
+        self._waiting = handle.getMapState("waiting", "bucket BIGINT, part BIGINT", "events STRING")
 
-    def _listed(self) -> list[int]:
-        """The buckets that wait, in order."""
+    def _listed(self) -> dict[int, int]:
+        """The buckets that wait, in order, and in how many parts."""
         held = self._buckets.get()
-        return [] if held is None else json.loads(held[0])
+        return {} if held is None else dict(json.loads(held[0]))
+
+    def _list(self, buckets: dict[int, int]) -> None:
+        self._buckets.update((json.dumps(sorted(buckets.items())),))
 
     def _read(self, name: str | None) -> tuple[tuple, int]:
         """The settled entry of an id and the revision last sent."""
         held = self._settled.getValue(_state_key(name))
         return (NOTHING, 0) if held is None else (tuple(held[: len(ENTRY)]), held[len(ENTRY)])
 
-    def _events(self, bucket: int) -> list[list]:
-        return json.loads(self._waiting.getValue((bucket,))[0])
+    def _in_order(self, bucket: int, parts: int) -> list[list]:
+        events = [e for part in range(parts) for e in json.loads(self._waiting.getValue((bucket, part))[0])]
+        events.sort(key=itemgetter(0, 1))
+        return events
 
-    def _in_order(self, bucket: int) -> list[list]:
-        return sorted(self._events(bucket), key=lambda e: (e[0], e[1]))
+    def _add(self, new: dict[int, list[list]], buckets: dict[int, int]) -> None:
+        """Events of some buckets as one more part of each."""
+        for bucket, events in new.items():
+            if bucket not in buckets:
+                self._handle.registerTimer((bucket + 1) * self._width // 1000)
+            part = buckets.get(bucket, 0)
+            self._waiting.updateValue((bucket, part), (json.dumps(events),))
+            buckets[bucket] = part + 1
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         buckets, entries = self._listed(), {}
+        new: dict[int, list[list]] = {}
+        held = 0
         for frame in rows:
-            new: dict[int, list[list]] = {}
             for name, at, number, *rest in _plain(frame):
                 entries[name] = None
                 new.setdefault(int(at) // self._width, []).append([int(at), int(number), *rest, name])
-            for bucket, events in new.items():
-                if bucket in buckets:
-                    events = self._events(bucket) + events
-                else:
-                    insort(buckets, bucket)
-                    self._handle.registerTimer((bucket + 1) * self._width // 1000)
-                self._waiting.updateValue((bucket,), (json.dumps(events),))
-        self._buckets.update((json.dumps(buckets),))
+            held += len(frame)
+            if held >= HELD_EVENTS:
+                self._add(new, buckets)
+                new, held = {}, 0
+        self._add(new, buckets)
+        self._list(buckets)
         revisions = {}
         for name in entries:
             entry, revision = self._read(name)
             self._settled.updateValue(_state_key(name), (*entry, revision + 1))
             entries[name], revisions[name] = entry, revision + 1
-        for bucket in buckets:
-            for event in self._in_order(bucket):
+        for bucket, parts in sorted(buckets.items()):
+            for event in self._in_order(bucket, parts):
                 if event[-1] in entries:
                     entries[event[-1]] = step(entries[event[-1]], event[:-1])
         yield pd.DataFrame(
@@ -116,16 +128,16 @@ class DeliveryProcessor(StatefulProcessor):
         passed = expiredTimerInfo.getExpiryTimeInMs() * 1000
         buckets, entries, revisions = self._listed(), {}, {}
         for bucket in [b for b in buckets if (b + 1) * self._width <= passed]:
-            for event in self._in_order(bucket):
+            for event in self._in_order(bucket, buckets[bucket]):
                 name = event[-1]
                 if name not in entries:
                     entries[name], revisions[name] = self._read(name)
                 entries[name] = step(entries[name], event[:-1])
-            self._waiting.removeKey((bucket,))
-            buckets.remove(bucket)
+            for part in range(buckets.pop(bucket)):
+                self._waiting.removeKey((bucket, part))
         for name, entry in entries.items():
             self._settled.updateValue(_state_key(name), (*entry, revisions[name]))
-        self._buckets.update((json.dumps(buckets),))
+        self._list(buckets)
         return iter(())
 
     def close(self) -> None:
@@ -138,8 +150,8 @@ def _state_key(name: str | None) -> tuple[str]:
 
 
 def _plain(frame: pd.DataFrame) -> Iterator[tuple]:
-    columns = frame[["delivery_id", *_EVENT]]
-    return columns.astype(object).where(columns.notna(), None).itertuples(index=False, name=None)
+    columns = [frame[name].astype(object) for name in ("delivery_id", *_EVENT)]
+    return zip(*[c.where(c.notna(), None).tolist() for c in columns], strict=True)
 
 
 def delivery_updates(

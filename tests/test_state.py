@@ -739,3 +739,35 @@ def test_reuse_of_a_shared_content_is_made_row_by_row(spark, tmp_path):
     joins = outer_joins(reuse)
     assert joins and not any("*(" in line for line in joins)
     assert {(r.unchanged, r.cached) for r in reuse.collect()} == {(True, "same")}
+
+
+class CountedState(HeldState):
+    """State in memory that counts the characters written."""
+
+    written = 0
+
+    def updateValue(self, key, value):
+        self.written += sum(len(v) for v in value if isinstance(v, str))
+        self[key] = value
+
+
+def test_waiting_events_are_written_once(monkeypatch):
+    """However many frames bring a bucket's events, and in whatever order, none is written again."""
+    import pandas as pd
+
+    from pagewatch.streaming import delivery
+
+    monkeypatch.setattr(delivery, "HELD_EVENTS", 20, raising=False)
+    day = 86_400 * 10**6
+    kinds = [("begin", None), ("failure", "failed"), ("confirm", "delivered")]
+    events = [("hot", (i % 3) * day + i, i, *kinds[i % 3], f"k{i}", f"m{i}", None, None) for i in range(900)]
+    want = delivery.NOTHING
+    for event in sorted(events, key=lambda e: e[1:3]):
+        want = delivery.step(want, list(event[1:]))
+    handle, processor = HeldStates(), delivery.DeliveryProcessor()
+    handle.getMapState = lambda name, *schema: handle.states.setdefault(name, CountedState())
+    processor.init(handle)
+    frame = pd.DataFrame(random.Random(1).sample(events, 900), columns=["delivery_id", *delivery._EVENT])
+    (out,) = processor.handleInputRows((0,), iter([frame.iloc[i : i + 20] for i in range(0, 900, 20)]), None)
+    assert (out["status"][0], out["attempt_count"][0], out["logical_key"][0]) == want[:3]
+    assert handle.states["waiting"].written < 1.2 * sum(len(json.dumps([*e[1:], e[0]])) + 2 for e in events)
